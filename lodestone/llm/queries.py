@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestone.llm import levels, mix, pieces, tokens
+from lodestone.llm import levels, mix, neighbours, pieces, tokens
 from lodestone.sources.tables import table
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = neighbours.nearest(table(spark, folder, "chunks"), table(spark, folder, "probe_chunks"))
+    return found.select(F.col("id").alias("chunk_id"), F.col("neighbour").alias("neighbour_id"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.split_oversized(table(spark, folder, "chunks")).where("piece = 0").select("chunk_id", "break_kind")
 
@@ -32,6 +38,6 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return levels.levels(table(spark, folder, "documents"), table(spark, folder, "level_samples")).select("doc_id", "level").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_pieces, p6_ids, p7_found, p7_shares, p8_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_pieces, p6_ids, p7_found, p7_shares, p8_found)}
 
 SQL: dict[str, str] = {}
