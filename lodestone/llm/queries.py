@@ -5,10 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import levels, mix, neighbours, pieces, tokens
+from lodestone.llm import duplicates, levels, mix, neighbours, personal, pieces, tokens
 from lodestone.sources.tables import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.personal_spans(table(spark, folder, "chunks"))
+
+
+def p1_masked(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = table(spark, folder, "chunks")
+    return personal.details(chunks).select("chunk_id", F.size("found").alias("details"), "clean")
+
+
+#: Words and similarity of p2's statement.
+NEAR = {"width": 3, "similarity": 0.6, "least_words": 40}
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = duplicates.pairs_of_rows(*duplicates.similar(table(spark, folder, "chunks"), **NEAR))
+    return found.select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
+
+
+def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return duplicates.grouped(*duplicates.similar(table(spark, folder, "chunks"), **NEAR))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     found = neighbours.nearest(table(spark, folder, "chunks"), table(spark, folder, "probe_chunks"))
     return found.select(F.col("id").alias("chunk_id"), F.col("neighbour").alias("neighbour_id"))
@@ -38,6 +60,6 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return levels.levels(table(spark, folder, "documents"), table(spark, folder, "level_samples")).select("doc_id", "level").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_pieces, p6_ids, p7_found, p7_shares, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_groups, p3_found, p4_found, p4_pieces, p6_ids, p7_found, p7_shares, p8_found)}
 
 SQL: dict[str, str] = {}
