@@ -100,7 +100,7 @@ _ADDRESS = re.compile(
     r")", _FLAGS
 )
 
-_BREAK = re.compile(r"[-¬­][ \t]?(?:\r\n|\n|\r)(?=[^\W\d_])")
+_BREAK = re.compile(r"[-‐¬­][ \t]?(?:\r\n|\n|\r)(?=[^\W\d_])")
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -121,6 +121,10 @@ def _automaton() -> ahocorasick.Automaton:
 _anchors = _automaton()
 
 
+def is_family_name(word: str) -> bool:
+    return any(length == len(word) and kind == "name" for _, (length, kind) in _anchors.iter(word))
+
+
 def _lower(text: str) -> str:
     low = text.lower()
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import duplicates, levels, mix, neighbours, personal, pieces, tokens
+from lodestone.llm import duplicates, levels, mix, neighbours, personal, pieces, scans, tokens
 from lodestone.sources.tables import table
 
 
@@ -44,6 +44,14 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.split_oversized(table(spark, folder, "chunks"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.noises(table(spark, folder, "chunks"))
+
+
+def p5_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.scanned(table(spark, folder, "chunks")).select("chunk_id", "page", F.size("noises").alias("noises"), "repaired")
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_column(table(spark, folder, "documents"))
 
@@ -60,6 +68,6 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return levels.levels(table(spark, folder, "documents"), table(spark, folder, "level_samples")).select("doc_id", "level").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_groups, p3_found, p4_found, p4_pieces, p6_ids, p7_found, p7_shares, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_groups, p3_found, p4_found, p4_pieces, p5_found, p5_repaired, p6_ids, p7_found, p7_shares, p8_found)}
 
 SQL: dict[str, str] = {}
