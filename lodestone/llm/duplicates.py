@@ -23,9 +23,9 @@ from lodestone.sources.tables import cut, spread
 
 #: Bands of two min-hashes: at similarity 0.6 a pair shares none with probability 0.64 ** 20 = 0.00013, at 0.7 with 0.0000014.
 BANDS = 20
-#: Members of a block above which it is split into parts compared pair by pair, members of a part, rows of a tile, hot bands
+#: Members of a block above which it is split into parts compared pair by pair, members of a part, rows of a tile, ids or bands
 #: up to which they are broadcast, and copies up to which a class of exact copies is given as all its pairs.
-HOT, PART, TILE, BROADCAST, EXPAND = 4096, 2048, 512, 50_000, 64
+HOT, PART, TILE, BROADCAST, EXPAND = 4096, 2048, 512, 200_000, 64
 
 _WORDS = re.compile(r"[^\W_]+")
 
@@ -60,13 +60,17 @@ def shingles(words: list[str], width: int) -> np.ndarray:
     return np.unique(made ^ (made >> np.uint64(32)))
 
 
-def _level(size: int) -> int:
-    """Sketches have 256 << level bits, about a third more than shingles, so differences don't drown."""
-    return max(0, int(size * 4 // 3 - 1).bit_length() - 8)
+#: Shingles above which a sketch has twice as many bits: sketches have 256 << level bits, a third more than shingles at least.
+_LEVELS = np.array([192 << i for i in range(24)])
 
 
-def sketch(own: np.ndarray) -> bytes:
-    bits = 256 << _level(len(own))
+def _level(size):
+    return np.searchsorted(_LEVELS, size)
+
+
+def sketch(own: np.ndarray, finer: int = 0) -> bytes:
+    """The parity sketch of a set; ``finer``: with 2 ** finer times as many bits."""
+    bits = 256 << (int(_level(len(own))) + finer)
     return np.packbits((np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
@@ -76,15 +80,19 @@ def fold(made: np.ndarray) -> np.ndarray:
     return made[:, :half] ^ made[:, half:]
 
 
+_FACTORS = np.random.default_rng(7).integers(1, 1 << 63, 2 * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_STEPS = np.arange(BANDS, dtype=np.uint64)
+
+
 def _bands(own: np.ndarray) -> np.ndarray:
-    factors = np.random.default_rng(7).integers(1, 1 << 63, 2 * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    least = (own[None, :] * factors[:, None]).min(axis=1)
+    least = (own[None, :] * _FACTORS[:, None]).min(axis=1)
     keys = (least[::2] * np.uint64(0x9E3779B97F4A7C15)) ^ least[1::2]
-    return (keys * np.uint64(0xBF58476D1CE4E5B9) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+    return (keys * np.uint64(0xBF58476D1CE4E5B9) + _STEPS).view(np.int64)
 
 
 def signatures(chunks: DataFrame, key: str, width: int, least_words: int) -> DataFrame:
-    """``id, class`` (hash of the words), ``size`` (shingles), ``sketch, bands`` of texts with enough words."""
+    """``id, class`` (hash of the words), ``size`` (shingles), ``sketch``, ``fine`` (one with four times as
+    many bits) and ``bands`` of texts with enough words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,11 +101,11 @@ def signatures(chunks: DataFrame, key: str, width: int, least_words: int) -> Dat
                 words = words_of(text)
                 if i is not None and len(words) >= max(least_words, width):
                     own = shingles(words, width)
-                    rows.append((i, xxhash.xxh3_128_digest(" ".join(words)), len(own), sketch(own), _bands(own)))
-            names = [("id", pa.int64()), ("class", pa.binary()), ("size", pa.int32()), ("sketch", pa.binary()), ("bands", pa.list_(pa.int64()))]
+                    rows.append((i, xxhash.xxh3_128_digest(" ".join(words)), len(own), sketch(own), sketch(own, 2), _bands(own)))
+            names = [("id", pa.int64()), ("class", pa.binary()), ("size", pa.int32()), ("sketch", pa.binary()), ("fine", pa.binary()), ("bands", pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kind) for n, (_, kind) in enumerate(names)], [name for name, _ in names])
 
-    return spread(chunks.select(F.col(key).cast("long"), "text")).mapInArrow(run, "id long, class binary, size int, sketch binary, bands array<long>")
+    return spread(chunks.select(F.col(key).cast("long"), "text")).mapInArrow(run, "id long, class binary, size int, sketch binary, fine binary, bands array<long>")
 
 
 class _Block:
@@ -106,16 +114,18 @@ class _Block:
     def __init__(self, rows: dict[str, np.ndarray], similarity: float):
         self.rows, self.similarity = rows, similarity
         self.radius = (1 - similarity) / (1 + similarity)
-        self.level = np.array([_level(s) for s in rows["size"]])
+        self.level = _level(rows["size"])
         self.at = np.zeros(len(self.level), np.int64)  # where a row's sketch stands among those of its level
         self.own: dict[int, np.ndarray] = {}
         self.folded: dict[int, np.ndarray] = {}
+        self.bits = np.zeros(len(self.level), np.int64)
         for level in np.unique(self.level):
             mine = np.flatnonzero(self.level == level)
             self.at[mine] = np.arange(len(mine))
-            self.own[level] = np.frombuffer(b"".join(rows["sketch"][mine]), np.uint64).reshape(len(mine), -1)
+            width = 32 << int(level)
+            self.own[level] = rows["raw"][rows["from"][mine][:, None] + np.arange(width)].view(np.uint64)
             self.folded[level] = fold(self.own[level]) if level else self.own[level]
-        self.bits = np.array([int(np.bitwise_count(self.own[lv][a]).sum()) for lv, a in zip(self.level, self.at, strict=True)])
+            self.bits[mine] = np.bitwise_count(self.own[level]).sum(axis=1)
 
     def sketches(self, rows: np.ndarray, level: int) -> np.ndarray:
         """At ``level``, of rows of that level or the next."""
@@ -186,7 +196,7 @@ class _Block:
 
 def _candidates(reps: DataFrame, similarity: float) -> DataFrame:
     """Distinct pairs ``a, b`` of representatives that share a band and whose sketches are within the radius."""
-    rows = reps.select("id", "size", "sketch", F.explode("bands").alias("band"))
+    rows = reps.select("id", "size", "sketch", F.explode("bands").alias("band"))  # a repeated row meets itself only
     hot = cut(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT))
     n_hot = hot.count()
     if n_hot:
@@ -201,14 +211,19 @@ def _candidates(reps: DataFrame, similarity: float) -> DataFrame:
         def pairs(table: pa.Table) -> pa.RecordBatch:
             got = {c: table.column(c).to_numpy() for c in ("id", "size", "part", "one", "two")}
             got["split"] = got["one"] != got["two"]
-            got["sketch"] = np.array(table.column("sketch").to_pylist(), object)
             new = np.ones(len(table), bool)
             for c in ("band", "one", "two"):
                 got[c] = table.column(c).to_numpy()
             new[1:] = (got["band"][1:] != got["band"][:-1]) | (got["one"][1:] != got["one"][:-1]) | (got["two"][1:] != got["two"][:-1])
             got["band"] = np.cumsum(new)
+            sketches = table.column("sketch").combine_chunks()
+            sketches = sketches.chunk(0) if isinstance(sketches, pa.ChunkedArray) else sketches
+            got["from"] = np.frombuffer(sketches.buffers()[1], np.int32, len(sketches) + 1, 4 * sketches.offset)[:-1].astype(np.int64)
+            together = np.flatnonzero(np.bincount(got["band"])[got["band"]] > 1)  # most blocks are of one row
+            got = {c: x[together] for c, x in got.items()} | {"raw": np.frombuffer(sketches.buffers()[2], np.uint8)}
             made = [np.stack([got["id"][a], got["id"][b]], axis=1) for a, b in _Block(got, similarity).near()]
             found = np.unique(np.sort(np.concatenate(made), axis=1), axis=0) if made else np.empty((0, 2), np.int64)
+            found = found[found[:, 0] < found[:, 1]]
             return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
         held: list[pa.RecordBatch] = []
@@ -232,6 +247,32 @@ def _candidates(reps: DataFrame, similarity: float) -> DataFrame:
     return rows.repartition(*own).sortWithinPartitions(*own, "size").mapInArrow(run, "a long, b long").distinct()
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    """``ids`` to be broadcast if they are at most ``BROADCAST``."""
+    return F.broadcast(ids) if ids.limit(BROADCAST + 1).count() <= BROADCAST else ids
+
+
+def _finer(reps: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose finer sketches are within the radius as well; nothing that is similar is lost here either."""
+    radius = (1 - similarity) / (1 + similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y, n in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                while len(p) != len(q):
+                    p, q = (fold(p[None])[0], q) if len(p) > len(q) else (p, fold(q[None])[0])
+                keep.append(int(np.bitwise_count(p ^ q).sum()) <= radius * n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    pairs = cut(pairs)
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    own = reps.select("id", "size", "fine").join(_small(cut(ids)), "id", "left_semi").dropDuplicates(["id"])
+    joined = pairs.join(own.toDF("a", "size_a", "fine_a"), "a").join(own.toDF("b", "size_b", "fine_b"), "b")
+    return joined.select("a", "b", "fine_a", "fine_b", (F.col("size_a") + F.col("size_b")).alias("n")).mapInArrow(run, "a long, b long")
+
+
 def _verified(chunks: DataFrame, key: str, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
     """``a, b, similarity`` of the pairs that are similar by their shingles."""
 
@@ -251,9 +292,9 @@ def _verified(chunks: DataFrame, key: str, pairs: DataFrame, width: int, similar
             keep = pa.array([s >= similarity for s in shared], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made], ["a", "b", "similarity"]).filter(keep)
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = chunks.select(F.col(key).cast("long").alias("id"), "text").join(needed, "id", "left_semi").dropDuplicates(["id"])
-    own = texts.mapInArrow(sets, "id long, own binary")
+    needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    texts = chunks.select(F.col(key).cast("long").alias("id"), "text").join(_small(needed), "id", "left_semi").dropDuplicates(["id"])
+    own = cut(texts.mapInArrow(sets, "id long, own binary"))
     joined = pairs.join(own.withColumnsRenamed({"id": "a", "own": "own_a"}), "a").join(own.withColumnsRenamed({"id": "b", "own": "own_b"}), "b")
     return joined.select("a", "b", "own_a", "own_b").mapInArrow(compare, "a long, b long, similarity double")
 
@@ -269,12 +310,13 @@ def similar(chunks: DataFrame, key: str = "chunk_id", width: int = 5, similarity
     if not 0.5 < similarity <= 1:
         raise ValueError("similarity must be above 0.5")
     made = cut(signatures(chunks, key, width, least_words))
-    first = made.groupBy("class").agg(F.min(F.struct("id", "size", "sketch", "bands")).alias("r")).select("class", "r.*")
     known = made.select("class", "id").distinct()
     classes = known.groupBy("class").agg(F.min("id").alias("representative"), F.count(F.lit(1)).alias("copies"))
-    members = known.join(classes, "class").select("id", "representative", "copies")
-    reps = cut(first.select("id", "size", "sketch", "bands"))
-    return _verified(chunks, key, cut(_candidates(reps, similarity)), width, similarity), members
+    members = cut(known.join(classes, "class").select("id", "representative", "copies"))
+    copies = members.where("id <> representative").select("id")
+    reps = made.join(_small(copies), "id", "left_anti").select("id", "size", "sketch", "fine", "bands")
+    near = _finer(reps, _candidates(reps, similarity), similarity)
+    return _verified(chunks, key, cut(near), width, similarity), members
 
 
 def pairs_of_rows(pairs: DataFrame, members: DataFrame, expand: int = EXPAND) -> DataFrame:
