@@ -1,4 +1,7 @@
-"""All queries of the core by name, and their SQL."""
+"""All queries of the core by name, and their SQL where SQL can express them."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from lodestone.plans import corpus_queries, memory_queries, search_queries, vault_queries
+
+_modules = (search_queries, corpus_queries, vault_queries, memory_queries)
+QUERIES = {name: f for m in _modules for name, f in m.QUERIES.items()}
+SQL = {name: sql for m in _modules for name, sql in m.SQL.items()}

@@ -1,0 +1,94 @@
+"""The ingest of folders into a store, from listing to committed generation."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.operators import access, ingest
+from lodestone.operators.chunking import chunk_documents
+from lodestone.plans.answer import embed
+from lodestone.plans.model import Model, OfflineModel
+from lodestone.settings import Settings
+from lodestone.sources import files
+from lodestone.sources.store import Store
+from lodestone.sources.tables import cut
+
+
+def ingest_paths(store: Store, roots: list[str], model: Model | None = None, settings: Settings | None = None, force: bool = False, prune: bool = True) -> dict:
+    """Brings ``store`` up to the files below ``roots`` and returns the report.
+
+    Files that are as known are not read; a file whose parsing fails is recorded and loses its chunks, the others go on;
+    files in folders without access are counted and not read; documents whose files are gone from a scanned folder are
+    removed. A generation is committed only if something changed. All chunks of a store must be embedded by one model:
+    another one is refused.
+    """
+    import os
+
+    spark: SparkSession = store.spark
+    model, s = model or OfflineModel(), settings or Settings()
+    space = [type(model).__name__, len(model.embed(["dimension"])[0])]
+    if (known_space := store.meta("space")) and known_space != space:
+        raise ValueError(f"the store was embedded by {known_space}, not by {space}")
+    documents, chunks = store.table("documents"), store.table("chunks")
+    listed = cut(files.listing(spark, roots))
+    readable, shut = access.gate(listed, store.table("folder_permissions"))
+    known = documents.select("path", "mtime", "size", "content_hash", "status")
+    first = ingest.classify(readable.withColumn("content_hash", F.lit(None).cast("string")), known, force)
+    unread = first.where("action = 'unchanged'").select("path")
+    wanted = readable.join(unread, "path", "left_anti")
+    read = cut(files.extract(files.contents(spark, roots, wanted)).join(wanted.select("path", "mtime", "size"), "path"))
+    failed = read.where("error is not null")
+    actions = cut(
+        ingest.classify(read.where("error is null"), known, force)
+        .unionByName(unread.withColumn("action", F.lit("unchanged")))
+        .unionByName(failed.select("path", F.lit("failed").alias("action")))
+        .unionByName(shut.select("path", F.lit("blocked").alias("action")))
+    )
+    gone = documents.select("doc_id", "path").where("false")
+    if prune:
+        folders = [r for r in roots if os.path.isdir(r)]
+        gone = ingest.pruned(documents, listed, folders)
+    gone = cut(gone)
+    counts = ingest.report(actions.unionByName(gone.select("path", F.lit("removed").alias("action")))).first().asDict()
+    touched = actions.where("action = 'touched'").limit(1).count() > 0
+    if not any(counts[k] for k in ("added", "updated", "removed", "failed")) and not touched:
+        return counts | {"generation": store.generation}
+    fresh = read.join(actions.where("action in ('added', 'updated')"), "path", "left_semi")
+    now = F.current_timestamp().cast("timestamp_ntz")
+    row = lambda df, status, error: df.select(
+        F.lit(0).cast("long").alias("doc_id"), "path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.when(F.lit(status == "ok"), F.col("content_hash")).otherwise("").alias("content_hash"),
+        "mtime", F.col("size").cast("long").alias("size"), F.lit(status).alias("status"), error.alias("error"), now.alias("ingested_at"),
+    )
+    kept = ingest.refresh_stats(documents.join(gone.select("doc_id"), "doc_id", "left_anti").select(documents.columns), listed, actions)
+    merged = cut(ingest.merge_documents(kept, row(fresh, "ok", F.lit(None).cast("string")).unionByName(row(failed, "error", F.col("error")))))
+    ids = merged.select("path", "doc_id")
+    pieces = chunk_documents(fresh.join(ids, "path").select("doc_id", "text", "pages"), s.chunk_target_tokens, s.chunk_overlap_ratio)
+    pieces = cut(pieces.withColumn("chunk_id", F.col("doc_id") * 1_000_000 + F.col("chunk_idx")))
+    made = pieces.join(embed(pieces, "chunk_id", "text", model, model.document_prefix), "chunk_id")
+    dropped = gone.select("doc_id").unionByName(read.join(actions.where("action in ('added', 'updated', 'failed')"), "path", "left_semi").join(ids, "path").select("doc_id"))
+    left = ingest.cascade(chunks, dropped)
+    generation = store.commit({"documents": merged, "chunks": left.unionByName(made.select(left.columns))}, {"space": space})
+    return counts | {"generation": generation}
+
+
+def set_access(store: Store, changes: DataFrame) -> int:
+    """Sets levels of folders (``path, access_level, changed_at``); folders without access lose their documents at once."""
+    folders = access.set_levels(store.table("folder_permissions"), changes)
+    shut = changes.where("access_level = 'no_access'").select("path")
+    documents, chunks = store.table("documents"), store.table("chunks")
+    kept = access.purge(documents, shut)
+    gone = documents.join(kept.select("doc_id"), "doc_id", "left_anti")
+    return store.commit({"folder_permissions": folders, "documents": kept.select(documents.columns), "chunks": ingest.cascade(chunks, gone)})
+
+
+def delete_document(store: Store, doc_id: int) -> int:
+    """Removes a document and its chunks; its folder must allow editing."""
+    documents = store.table("documents")
+    own = access.resolve(documents.where(F.col("doc_id") == doc_id), store.table("folder_permissions")).first()
+    if own is None:
+        raise KeyError(f"no document {doc_id}")
+    if own["access_level"] != "edit":
+        raise PermissionError(f"{own['path']} is {own['access_level']}")
+    gone = documents.where(F.col("doc_id") == doc_id).select("doc_id")
+    return store.commit({"documents": documents.where(F.col("doc_id") != doc_id), "chunks": ingest.cascade(store.table("chunks"), gone)})
