@@ -35,9 +35,9 @@ def syllables(word: str, lang: str) -> int:
     """Syllables of a lower-case word: vowel groups where a word can be hyphenated, without mute endings; at least 1."""
     n = len(_VOWELS[lang].findall(word))
     if lang == "en":
-        if re.search(r"[^aeiouylr]e$|[^aeiouy]re$|[^aeioutdy]ed$|[^aeiouysxzcgh]es$", word):
+        if re.search(r"[^aeiouylr]e$|[aeiouy][lr]e$|[^aeioutdy]ed$|[^aeiouysxzcgh]es$", word):
             n -= 1
-        n += len(re.findall(r"i[ao](?!u)|eo|ua|[^aeiouy]le$|ying", word)) - len(re.findall(r"[ctsgx]i[ao]", word))
+        n += len(re.findall(r"i[ao](?!u)|eo|ua|ying", word)) - len(re.findall(r"[ctsgx]i[ao]", word))
     elif lang == "fr":
         n -= bool(re.search(r"[^aeiouyé](?:e|es|ent)$", word))
         n += len(re.findall(r"[iu]é|éa|éo|ié", word))

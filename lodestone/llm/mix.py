@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.tokens import VOCABULARY, count_tokens
@@ -32,6 +32,11 @@ def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
+def _draw(level: int) -> Column:
+    """A number in 0..1 from the row's key, another one on each level of the tree."""
+    return F.pmod(F.xxhash64(F.lit(level), "doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+
+
 def _pivot(rows: pd.DataFrame) -> pd.DataFrame:
     """Rounds the column ``part``: of two fractions one gives tokens to the other until one of them is 0 or 1, and which of
     the two gives is drawn so that both keep their mean. At most one row keeps a fraction, the sum in tokens stays.
@@ -76,7 +81,7 @@ def mix(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY)
         sizes.join(F.broadcast(made.select("source", "copies", "documents")), "source")
         .withColumn("whole", F.floor("copies"))
         .withColumn("part", F.when(F.col("tokens") > 0, F.col("copies") - F.col("whole")).otherwise(0.0))
-        .withColumn("draw", F.pmod(F.xxhash64(F.lit("draw"), "doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40)))
+        .withColumn("draw", _draw(0))
         .withColumn("leaf", F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.ceil(F.col("documents") / LEAF))))
         .drop("copies", "documents")
     )
@@ -86,11 +91,12 @@ def mix(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY)
     fraction = (F.col("part") > 0) & (F.col("part") < 1)
     whole, left = done.where(~fraction), done.where(fraction)
     width = made.agg(F.max(F.ceil(F.col("documents") / LEAF))).first()[0] or 1
+    level = 0
     while width > 1:  # one turn for documents up to LEAF * FAN in a source, two up to LEAF * FAN ** 2
-        width = -(-width // FAN)
-        left = cut(left.withColumn("leaf", F.floor(F.col("leaf") / FAN)).groupBy("source", "leaf").applyInPandas(_pivot, kinds))
+        width, level = -(-width // FAN), level + 1
+        left = cut(left.withColumn("leaf", F.floor(F.col("leaf") / FAN)).withColumn("draw", _draw(level)).groupBy("source", "leaf").applyInPandas(_pivot, kinds))
         whole, left = whole.unionByName(left.where(~fraction)), left.where(fraction)
-    last = left.withColumn("part", (F.col("draw") < F.col("part")).cast("double"))
+    last = left.withColumn("part", (_draw(-1) < F.col("part")).cast("double"))
     used = whole.unionByName(last).select("doc_id", "source", "tokens", (F.col("whole") + F.round("part")).cast("long").alias("copies"))
     return used, made
 
