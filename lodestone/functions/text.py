@@ -28,13 +28,19 @@ def _folds() -> tuple[str, str]:
 FOLD_FROM, FOLD_TO = _folds()
 
 
-def folded(text: Column) -> Column:
-    return F.translate(F.lower(text), FOLD_FROM, FOLD_TO)
+def folded(term: Column) -> Column:
+    """A lower-case term without marks. Only terms beyond ASCII are looked at letter by letter."""
+    return F.when(term.rlike(r"[^\x00-\x7F]"), F.translate(term, FOLD_FROM, FOLD_TO)).otherwise(term)
+
+
+def raw_terms(text: Column) -> Column:
+    """All terms of a text in order, lower case, not folded; folding changes no border."""
+    return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
 def index_terms(text: Column) -> Column:
-    """All terms of a text in order."""
-    return F.regexp_extract_all(folded(text), F.lit(TERM), F.lit(0))
+    """All terms of a text in order, as they are searched."""
+    return F.transform(raw_terms(text), folded)
 
 
 def query_tokens(text: Column) -> Column:

@@ -13,7 +13,8 @@ def pack(ranked: DataFrame, budget: int = 3000, extra: int = 20) -> DataFrame:
     ``ranked`` has ``qid, place, text``; adds ``cost`` and ``spent``. Stops at the first row that doesn't fit."""
     order = Window.partitionBy("qid").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     costed = ranked.withColumn("cost", approx_tokens(F.coalesce("text", F.lit(""))) + extra).withColumn("spent", F.sum("cost").over(order))
-    return costed.where((F.col("spent") <= budget) | (F.row_number().over(Window.partitionBy("qid").orderBy("place")) == 1))
+    costed = costed.withColumn("_n", F.row_number().over(Window.partitionBy("qid").orderBy("place")))
+    return costed.where((F.col("spent") <= budget) | (F.col("_n") == 1)).drop("_n")
 
 
 def prompt_blocks(included: DataFrame) -> DataFrame:

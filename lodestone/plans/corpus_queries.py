@@ -134,7 +134,7 @@ def pii_merge(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     f"""WITH {CH}, s AS (SELECT span_id, chunk_id, trim(pii_spans.text, ' ') AS needle, ch.text AS body FROM pii_spans JOIN ch USING (chunk_id)),
- o AS (SELECT span_id, list_filter(range(0, length(body)::BIGINT), i -> substr(body, i + 1, length(needle)) = needle) AS places FROM s WHERE length(needle) > 0)
+ o AS (SELECT span_id, list_filter(range(0, length(body)::BIGINT), lambda i: substr(body, i + 1, length(needle)) = needle) AS places FROM s WHERE length(needle) > 0)
  SELECT span_id, len(places)::BIGINT AS places, places[1]::INT AS first_place FROM o WHERE len(places) > 0"""
 )
 def pii_locate(spark: SparkSession, folder: str) -> DataFrame:

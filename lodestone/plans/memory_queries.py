@@ -70,10 +70,10 @@ def recent_turns(spark: SparkSession, folder: str) -> DataFrame:
     return memory.newest(table(spark, folder, "conversation_turns")).select("turn_id", "role", "content", "created_at")
 
 
-@query(f"WITH {TURNS} SELECT * FROM (SELECT turn_id, role, created_at::DATE AS day, row_number() OVER (PARTITION BY created_at::DATE ORDER BY turn_id DESC) AS n FROM turns) WHERE n <= 10".replace("SELECT * FROM (SELECT turn_id", "SELECT turn_id, role, day FROM (SELECT turn_id"))
+@query(f"WITH {TURNS} SELECT * FROM (SELECT turn_id, role, strftime(created_at, '%Y-%m-%d') AS day, row_number() OVER (PARTITION BY created_at::DATE ORDER BY turn_id DESC) AS n FROM turns) WHERE n <= 10".replace("SELECT * FROM (SELECT turn_id", "SELECT turn_id, role, day FROM (SELECT turn_id"))
 def memory_prune_turns(spark: SparkSession, folder: str) -> DataFrame:
     """The newest ten turns of each day, as if a day were a conversation."""
-    turns = table(spark, folder, "conversation_turns").withColumn("day", F.to_date("created_at"))
+    turns = table(spark, folder, "conversation_turns").withColumn("day", F.date_format("created_at", "yyyy-MM-dd"))
     return memory.newest(turns, by="day").select("turn_id", "role", "day")
 
 
@@ -91,7 +91,7 @@ def memory_prune_items(spark: SparkSession, folder: str) -> DataFrame:
     return _items_of(spark, folder).select("item_id", "importance")
 
 
-_tok = r"list_distinct(list_filter(regexp_extract_all(lower(%s), '[\p{L}\p{N}_]+'), t -> length(t) > 1))"
+_tok = r"list_distinct(list_filter(regexp_extract_all(lower(%s), '[\p{L}\p{N}_]+'), lambda t: length(t) > 1))"
 _search = f"""{_items}, {QS}, sr AS (SELECT qid, item_id, text, len(list_intersect({_tok % "question"}, {_tok % "text"}))::BIGINT AS overlap, importance FROM qs, items),
  found AS (SELECT * FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY overlap DESC, importance DESC, item_id) AS place, item_id, overlap, text FROM sr) WHERE place <= 5)"""
 

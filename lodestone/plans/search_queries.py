@@ -45,7 +45,7 @@ def thirds(asked: DataFrame) -> DataFrame:
 FOLD = f"translate(lower(%s), '{X.FOLD_FROM}', '{X.FOLD_TO}')"
 CH = "ch AS (SELECT DISTINCT ON (chunk_id) chunk_id, doc_id, chunk_idx, text, char_start, char_end, page FROM chunks WHERE chunk_id IS NOT NULL)"
 QS = "qs AS (SELECT DISTINCT ON (turn_id) turn_id AS qid, content AS question FROM conversation_turns WHERE turn_id % 100 = 0 AND content IS NOT NULL)"
-THIRDS = r"""subs AS (SELECT qid * 10 + sub AS qid, array_to_string(list_filter(w, (x, i) -> floor((i - 1) * 3.0 / len(w)) = sub), ' ') AS question
+THIRDS = r"""subs AS (SELECT qid * 10 + sub AS qid, array_to_string(list_filter(w, lambda x, i: floor((i - 1) * 3.0 / len(w)) = sub), ' ') AS question
   FROM (SELECT qid, regexp_extract_all(question, '\S+') AS w, unnest([0, 1, 2]) AS sub FROM qs)), thirds AS (SELECT * FROM subs WHERE question <> '')"""
 
 
@@ -54,10 +54,10 @@ def bm25_ctes(source: str, k: int = 8) -> str:
  wp AS (SELECT chunk_id, unnest(l) AS term, generate_subscripts(l, 1) AS pos FROM wl),
  dl AS (SELECT chunk_id, coalesce(len(l), 0) AS dl FROM wl),
  st AS (SELECT count(*)::DOUBLE AS n_all, avg(dl)::DOUBLE AS avgdl FROM dl),
- tk AS (SELECT qid, unnest(list_distinct(list_filter(regexp_extract_all(lower(question), '[\p{{L}}\p{{N}}_]+'), t -> length(t) > 1))) AS token FROM {source}),
+ tk AS (SELECT qid, unnest(list_distinct(list_filter(regexp_extract_all(lower(question), '[\p{{L}}\p{{N}}_]+'), lambda t: length(t) > 1))) AS token FROM {source}),
  ph AS (SELECT qid, terms, count(*) AS times FROM (SELECT qid, regexp_extract_all({FOLD % "token"}, '[\p{{L}}\p{{N}}]+') AS terms FROM tk) WHERE len(terms) > 0 GROUP BY ALL),
- pt AS (SELECT terms, unnest(terms) AS term, generate_subscripts(terms, 1) AS at FROM (SELECT DISTINCT terms FROM ph)),
- hit AS (SELECT terms, chunk_id, pos - at AS start FROM pt JOIN wp USING (term) GROUP BY ALL HAVING count(*) = len(terms)),
+ pt AS (SELECT terms, unnest(terms) AS term, generate_subscripts(terms, 1) AS ix FROM (SELECT DISTINCT terms FROM ph)),
+ hit AS (SELECT terms, chunk_id, pos - ix AS start FROM pt JOIN wp USING (term) GROUP BY ALL HAVING count(*) = len(terms)),
  tf AS (SELECT terms, chunk_id, count(*)::DOUBLE AS tf FROM hit GROUP BY ALL),
  df AS (SELECT terms, count(*)::DOUBLE AS df FROM tf GROUP BY ALL),
  sc AS (SELECT qid, chunk_id, round(sum(times * greatest(ln((n_all - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
@@ -184,7 +184,7 @@ def context_pack(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     rf"""WITH {CH}, {QS}, {_packed}, inc AS (SELECT pk.qid, pk.place, d.filename, d.path, pk.page, pk.chunk_idx FROM pk JOIN documents d USING (doc_id)),
  ans AS (SELECT qid, CASE WHEN qid % 200 = 0 THEN 'See [2], [1] and [9] or [1].' ELSE 'No marks [0] [77].' END AS answer FROM qs),
- mk AS (SELECT a.qid, list_filter(list_transform(regexp_extract_all(answer, '\[(\d+)\]', 1), x -> x::INT), x -> x > 0 AND x <= m) AS marks FROM ans a JOIN (SELECT qid, max(place) AS m FROM inc GROUP BY qid) USING (qid)),
+ mk AS (SELECT a.qid, list_filter(list_transform(regexp_extract_all(answer, '\[(\d+)\]', 1), lambda x: x::INT), lambda x: x > 0 AND x <= m) AS marks FROM ans a JOIN (SELECT qid, max(place) AS m FROM inc GROUP BY qid) USING (qid)),
  us AS (SELECT inc.*, row_number() OVER (PARTITION BY qid, path, page ORDER BY place) AS k FROM inc JOIN mk USING (qid) WHERE len(marks) = 0 OR list_contains(marks, place))
  SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY place) AS source_no, filename, path, page, chunk_idx FROM us WHERE k = 1"""
 )

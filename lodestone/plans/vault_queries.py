@@ -51,9 +51,9 @@ def folder_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     """WITH top AS (SELECT max(folder_id) AS m FROM folder_permissions),
- fresh AS (SELECT path || '/new' AS path, 'no_access' AS access_level, updated_at AS at FROM folder_permissions WHERE folder_id % 7 = 0)
+ fresh AS (SELECT path || '/new' AS path, 'no_access' AS access_level, updated_at AS changed FROM folder_permissions WHERE folder_id % 7 = 0)
  SELECT folder_id, path, CASE WHEN folder_id % 5 = 0 THEN 'readonly' ELSE access_level END AS access_level, created_at, CASE WHEN folder_id % 5 = 0 THEN updated_at + INTERVAL 1 DAY ELSE updated_at END AS updated_at FROM folder_permissions
- UNION ALL SELECT m + row_number() OVER (ORDER BY path), path, access_level, at, at FROM fresh, top"""
+ UNION ALL SELECT m + row_number() OVER (ORDER BY path), path, access_level, changed, changed FROM fresh, top"""
 )
 def acl_upsert(spark: SparkSession, folder: str) -> DataFrame:
     folders = table(spark, folder, "folder_permissions")
