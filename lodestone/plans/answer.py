@@ -97,7 +97,7 @@ def sub_queries(questions: DataFrame, said: DataFrame, settings: Settings | None
     """As ``split_questions``, from the model's JSON ``qid, answer``."""
     s = settings or Settings()
     items = F.from_json("answer", "sub_queries array<struct<question string, search_query string, key_terms array<string>>>")["sub_queries"]
-    rows = said.select("qid", F.posexplode(items).alias("sub", "i")).select("qid", "sub", F.trim("i.question").alias("question"), F.trim("i.search_query").alias("search_query"), F.slice(F.filter(F.transform(F.coalesce("i.key_terms", F.array().cast("array<string>")), F.trim), lambda t: F.length(t) > 0), 1, 5).alias("key_terms"))
+    rows = said.select("qid", F.posexplode(items).alias("sub", "i")).select("qid", "sub", F.trim("i.question").alias("question"), F.trim("i.search_query").alias("search_query"), F.slice(F.filter(F.transform(F.coalesce("i.key_terms", F.array().cast("array<string>")), lambda t: F.trim(t)), lambda t: F.length(t) > 0), 1, 5).alias("key_terms"))
     rows = rows.where("question <> '' and search_query <> ''").withColumn("sub", F.row_number().over(Window.partitionBy("qid").orderBy("sub"))).where(F.col("sub") <= s.max_subqueries)
     rest = questions.join(rows.select("qid").distinct(), "qid", "left_anti").select("qid", F.lit(1).alias("sub"), "question", F.col("question").alias("search_query"), F.array().cast("array<string>").alias("key_terms"))
     return rows.unionByName(rest)
@@ -107,7 +107,7 @@ def verdicts(said: DataFrame) -> DataFrame:
     """``qid, confidence, is_complete, gaps`` of the model's JSON: 0.5 and true if missing, clamped, up to five gaps that
     aren't blank; all null where the model failed."""
     v = F.from_json("answer", "confidence double, is_complete boolean, gaps array<string>")
-    gaps = F.slice(F.filter(F.transform(F.coalesce(v["gaps"], F.array().cast("array<string>")), F.trim), lambda g: F.length(g) > 0), 1, 5)
+    gaps = F.slice(F.filter(F.transform(F.coalesce(v["gaps"], F.array().cast("array<string>")), lambda g: F.trim(g)), lambda g: F.length(g) > 0), 1, 5)
     ok = F.col("answer").isNotNull()
     return said.select("qid", F.when(ok, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(v["confidence"], F.lit(0.5))))).alias("confidence"), F.when(ok, F.coalesce(v["is_complete"], F.lit(True))).alias("is_complete"), F.when(ok, gaps).alias("gaps"))
 

@@ -1,0 +1,158 @@
+import os
+import zipfile
+
+import pytest
+
+from lodestone.operators import access, ingest
+from lodestone.plans import vault
+from lodestone.plans.answer import answer_in_parts, answer_single, split_questions, sub_queries, summarize, summarize_together, verdicts
+from lodestone.plans.model import Composite, ModelError, OfflineModel, Unavailable, build_model
+from lodestone.settings import Settings
+from lodestone.sources import files
+from lodestone.sources.store import Store
+from lodestone.streaming import jobs
+
+
+@pytest.fixture
+def home(tmp_path):
+    root = tmp_path / "in"
+    (root / "sub" / ".hidden").mkdir(parents=True)
+    (root / "a.txt").write_text("The apple harvest was good this year. " * 10)
+    (root / "sub" / "b.MD").write_text("Cars need oil and the engine needs care. " * 10)
+    (root / "sub" / ".hidden" / "secret.txt").write_text("hidden")
+    (root / ".dot.txt").write_text("hidden")
+    (root / "c.html").write_text("no")
+    (root / "bad.pdf").write_text("not a pdf")
+    with zipfile.ZipFile(root / "d.docx", "w") as z:
+        w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+        cell = "<w:tc><w:p><w:r><w:t>{}</w:t></w:r></w:p></w:tc>"
+        z.writestr("word/document.xml", f"<w:document {w}><w:body><w:p><w:r><w:t>First</w:t></w:r></w:p><w:tbl><w:tr>{cell.format('x')}{cell.format('y')}</w:tr></w:tbl><w:p><w:r><w:t>Last</w:t></w:r></w:p></w:body></w:document>")
+    return root
+
+
+def by_path(store):
+    return {os.path.basename(r["path"]): r for r in store.table("documents").collect()}
+
+
+def test_ingest_again_and_again(spark, home, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    first = vault.ingest_paths(store, [str(home)])
+    assert {k: first[k] for k in ("added", "updated", "skipped", "removed", "blocked", "failed", "generation")} == {"added": 3, "updated": 0, "skipped": 0, "removed": 0, "blocked": 0, "failed": 1, "generation": 1}
+    docs = by_path(store)
+    assert set(docs) == {"a.txt", "b.MD", "d.docx", "bad.pdf"} and docs["bad.pdf"]["status"] == "error" and docs["bad.pdf"]["content_hash"] == ""
+    chunks = store.table("chunks").collect()
+    assert {r["text"] for r in chunks if r["doc_id"] == docs["d.docx"]["doc_id"]} == {"First\n\nLast\n\nx | y"}
+    assert all(len(r["embedding"]) == 32 for r in chunks)
+
+    os.utime(home / "a.txt", (1000, 1000))
+    (home / "sub" / "b.MD").write_text("Bicycles need air. " * 5)
+    (home / "d.docx").unlink()
+    second = vault.ingest_paths(store, [str(home)])
+    assert [second[k] for k in ("added", "updated", "skipped", "removed", "failed")] == [0, 1, 1, 1, 1]
+    after = by_path(store)
+    assert after["a.txt"]["mtime"] == 1000 and after["b.MD"]["doc_id"] == docs["b.MD"]["doc_id"] and "d.docx" not in after
+    assert {r["doc_id"] for r in store.table("chunks").collect()} == {after["a.txt"]["doc_id"], after["b.MD"]["doc_id"]}
+
+    changes = spark.createDataFrame([(str(home / "sub"), "no_access")], "path string, access_level string").selectExpr("*", "current_timestamp()::timestamp_ntz AS changed_at")
+    vault.set_access(store, changes)
+    assert set(by_path(store)) == {"a.txt", "bad.pdf"}
+    third = vault.ingest_paths(store, [str(home)])
+    assert third["blocked"] == 1 and third["added"] == 0
+
+    asked = spark.createDataFrame([(1, "apple harvest"), (2, "zzzz")], "qid long, question string")
+    got = {r["qid"]: r for r in answer_single(asked, store.table("chunks"), store.table("documents"), vectors=store.table("chunks").select("chunk_id", "embedding")).collect()}
+    assert got[1]["answer"].startswith("See [1]") and got[1]["sources"][0]["filename"] == "a.txt"
+
+    with pytest.raises(PermissionError):
+        vault.set_access(store, spark.createDataFrame([(str(home), "readonly")], "path string, access_level string").selectExpr("*", "current_timestamp()::timestamp_ntz AS changed_at"))
+        vault.delete_document(store, by_path(store)["a.txt"]["doc_id"])
+    with pytest.raises(ValueError):
+        vault.ingest_paths(store, [str(home)], model=Composite(OfflineModel(), OfflineModel()))
+    seen = []
+    (home / "new.txt").write_text("New text about pears.")
+    query = jobs.watch(store, [str(home)], on_change=seen.append, once=True)
+    query.awaitTermination(120)
+    assert len(seen) == 1 and seen[0]["added"] == 1
+
+
+def test_reminders_are_fired_once(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    rows = spark.sql("SELECT * FROM VALUES (1L, 'a', TIMESTAMP_NTZ'2020-01-01 00:00:00', TIMESTAMP_NTZ'2020-01-01 00:00:00', 'pending', CAST(NULL AS STRING)), (2L, 'b', TIMESTAMP_NTZ'2999-01-01 00:00:00', TIMESTAMP_NTZ'2020-01-01 00:00:00', 'pending', 'x') AS t(reminder_id, title, due_at, created_at, status, source_text)")
+    store.commit({"reminders": rows})
+    fired = []
+    for _ in range(2):
+        jobs.notify(store, fired.extend, once=True).awaitTermination(120)
+    assert [r["reminder_id"] for r in fired] == [1] and {r["status"] for r in store.table("reminders").collect()} == {"notified", "pending"}
+
+
+def test_store_keeps_the_last_generation(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    assert store.generation == 0 and store.table("facts").count() == 0
+    store.commit({"facts": spark.createDataFrame([(1, "a", "b", "c", 0.5, None)], "fact_id long, subject string, predicate string, object string, confidence double, source string")}, {"k": 1})
+    assert store.generation == 1 and store.table("facts").count() == 1 and store.meta("k") == 1
+    store.truncate("facts")
+    assert store.generation == 2 and store.table("facts").count() == 0 and store.meta("k") == 1
+
+
+def test_levels_of_nested_and_odd_folders(spark):
+    rules = spark.createDataFrame([("/v", "edit"), ("/v/a_b", "no_access"), ("/v/a_b/x/", "readonly"), ("/", "readonly"), (None, "edit")], "path string, access_level string")
+    rows = spark.createDataFrame([("/v/a_b/f",), ("/v/a%b/f",), ("/v/azb/f",), ("/v/a_b/x/y/f",), ("/v/a_b",), ("/w",), (None,), ("/v/a_b",)], "path string").selectExpr("*", "1 AS _level0")
+    got = {(r["path"], r["access_level"]) for r in access.resolve(rows, rules).collect()}
+    assert got == {("/v/a_b/f", "no_access"), ("/v/a%b/f", "edit"), ("/v/azb/f", "edit"), ("/v/a_b/x/y/f", "readonly"), ("/v/a_b", "no_access"), ("/w", "readonly"), (None, "edit")}
+    assert access.resolve(rows, rules.limit(0)).where("access_level <> 'edit'").count() == 0
+    assert access.purge(rows.where("path is not null"), rules.where("path = '/v/a_b'")).count() == 3
+    with pytest.raises(ValueError):
+        access.set_levels(rules.selectExpr("1L AS folder_id", "*"), spark.createDataFrame([("/x", "all")], "path string, access_level string").selectExpr("*", "1 AS changed_at"))
+
+
+def test_classification(spark):
+    known = spark.createDataFrame([("/a", 1.0, 1, "h", "ok"), ("/b", 1.0, 1, "h", "ok"), ("/c", 1.0, 1, "h", "ok"), ("/e", 1.0, 1, "", "error")], "path string, mtime double, size long, content_hash string, status string")
+    listing = spark.createDataFrame([("/a", 1.0, 1, "h"), ("/b", 2.0, 1, "h"), ("/c", 2.0, 1, "i"), ("/d", 1.0, 1, "h"), ("/e", 1.0, 1, "h")], "path string, mtime double, size long, content_hash string")
+    act = lambda **k: {r["path"]: r["action"] for r in ingest.classify(listing, known, **k).collect()}
+    assert act() == {"/a": "unchanged", "/b": "touched", "/c": "updated", "/d": "added", "/e": "updated"}
+    assert set(act(force=True).values()) == {"updated", "added"}
+
+
+def test_models(spark):
+    assert isinstance(build_model("offline", "none"), Composite)
+    with pytest.raises(ValueError):
+        build_model("x")
+    with pytest.raises(ModelError):
+        Unavailable().chat("", "")
+    asked = spark.createDataFrame([(1, "compare the rent of both flats and list all the open payments of march"), (2, "rent")], "qid long, question string")
+    parts = split_questions(asked, OfflineModel(), Settings())
+    assert {(r["qid"], r["sub"]) for r in parts.collect()} == {(1, 1), (1, 2), (2, 1)}
+    assert split_questions(asked, Unavailable(), Settings()).where("search_query = question").count() == 2
+    said = spark.createDataFrame([(1, '{"sub_queries": [{"question": " ", "search_query": "x"}, {"question": "q", "search_query": "s", "key_terms": ["a", " ", "b"]}]}'), (2, "no json")], "qid long, answer string")
+    assert {(r["qid"], r["search_query"], tuple(r["key_terms"])) for r in sub_queries(asked, said).collect()} == {(1, "s", ("a", "b")), (2, "rent", ())}
+    checked = spark.createDataFrame([(1, '{"confidence": 7, "gaps": ["a", " ", "b"]}'), (2, None)], "qid long, answer string")
+    assert [tuple(r)[1:] for r in verdicts(checked).orderBy("qid").collect()] == [(1.0, True, ["a", "b"]), (None, None, None)]
+
+
+def test_answers_in_parts(spark):
+    chunks = spark.createDataFrame([(i, i % 3, i, f"{w} text number {i} " * 5, 0, 10, None) for i, w in enumerate(["rent", "payments", "flats", "garden", "rent", "march"])], "chunk_id long, doc_id long, chunk_idx int, text string, char_start int, char_end int, page int")
+    docs = spark.createDataFrame([(i, f"f{i}.txt", f"/f{i}.txt") for i in range(3)], "doc_id long, filename string, path string")
+    facts = spark.createDataFrame([(5, "payments", "are", "late", 0.9)], "fact_id long, subject string, predicate string, object string, confidence double")
+    asked = spark.createDataFrame([(1, "compare the rent of both flats and list all the open payments of march"), (2, "garden"), (3, None)], "qid long, question string")
+    got = {r["qid"]: r for r in answer_in_parts(asked.where("qid < 3"), chunks, docs, facts=facts).collect()}
+    assert got[1]["pipeline"] == "full" and got[1]["confidence"] is not None and got[1]["sources"] and got[2]["pipeline"] == "fast" and got[2]["checked"] is None
+    failing = {r["qid"]: r["answer"] for r in answer_in_parts(asked.where("qid = 1"), chunks, docs, model=Composite(Unavailable(), OfflineModel())).collect()}
+    assert failing == {1: "NOT_FOUND"}
+
+
+def test_summaries(spark):
+    docs = spark.createDataFrame([(1, "a", "Short text. " * 3), (2, "b", None), (3, "c", "Long sentence here. " * 400)], "doc_id long, filename string, text string")
+    got = {r["doc_id"]: r["summary"] for r in summarize(docs, limit_tokens=100).collect()}
+    assert got[2] is None and got[1].startswith("SUMMARISE") and got[3].startswith("Partial")
+    assert summarize_together(docs.where("doc_id <> 2")).count() == 1
+    with pytest.raises(ValueError):
+        summarize(docs, "haiku")
+    with pytest.raises(ValueError):
+        summarize_together(docs.limit(0))
+
+
+def test_extraction_never_throws():
+    assert files.extract_one("x.txt", b"ok \xff")[0] == "ok �"
+    for name, data in (("x.docx", b"zip?"), ("x.pdf", b""), ("x.exe", b""), ("x.txt", None), (None, b"")):
+        text, pages, error = files.extract_one(name, data)
+        assert text is None and pages == [] and error
