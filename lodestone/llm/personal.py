@@ -41,7 +41,7 @@ OWN_NUMBER = (
 _B = r"(?:[ \t ]|[ \t ]?\r?\n[ \t]?|\r)"  # one blank, or a line break within a detail
 _FLAGS = re.IGNORECASE
 _family = rf"(?:[od]['’])?(?:{'|'.join(NAME_STEMS.split())})(?:{'|'.join(NAME_ENDS.split())})"
-_given = rf"(?:(?:{'|'.join(sorted(GIVEN.split(), key=len, reverse=True))})(?![\w'’])|[^\W\d_]\.)"
+_given = rf"(?:(?:{'|'.join(sorted(GIVEN.split(), key=len, reverse=True)).replace('-', '-?')})(?![\w'’])|[^\W\d_]\.)"
 _particle = "|".join(p.replace(" ", f"{_B}+") for p in PARTICLES)
 _surname = rf"(?:(?:{_particle}){_B}+)?{_family}(?:-?{_family})?"
 _NAME_BEFORE = re.compile(rf"(?<![\w'’-])(?:{_given}{_B}*)(?:{_given}{_B}*)*{_surname}(?![\w'’])", _FLAGS)
@@ -55,17 +55,18 @@ _EMAIL = re.compile(
     rf"(?<![\w.+@-])[a-z0-9](?:[\w.+%-]*[\w+%-])?(?:{_B}?{_AT}{_B}?{_label}(?:{_point}{_label})*?{_point}[a-z]{{2,}}(?:{_point}[a-z]{{2,}})*|{_B}at{_B}{_label}(?:{_spelt}{_label})*?{_spelt}[a-z]{{2,}}(?:{_spelt}[a-z]{{2,}})*)(?![\w@])", _FLAGS | re.ASCII
 )
 
-_S = rf"(?:[  -]|{_B})"
+_H = r"-(?:\r?\n)?"
+_S = rf"(?:{_H}|[  -]|{_B})"
 _PHONE = re.compile(
     r"(?:"
-    rf"(?:\+|00)1[ .-]?\(?\d{{3}}\)?{_S}\d{{3}}{_S}\d{{4}}"
+    rf"(?:\+|00)1(?:\.|{_S})?\(?\d{{3}}\)?{_S}\d{{3}}{_S}\d{{4}}"
     rf"|1{_S}\(\d{{3}}\){_S}?\d{{3}}{_S}\d{{4}}"
     rf"|\(\d{{3}}\){_S}?\d{{3}}{_S}\d{{4}}"
     rf"|\+44{_S}\(?0?\)?\d{{2}}{_S}\d{{4}}{_S}\d{{4}}|020{_S}\d{{4}}{_S}\d{{4}}"
-    rf"|\+49{_S}\(?0?\)?\d{{2,4}}{_S}\d{{4,6}}{_S}\d{{2,4}}|0049\d{{2,3}}{_S}\d{{6,8}}|0\d{{2,4}}/\d{{4,6}}-\d{{2,4}}"
+    rf"|\+49{_S}\(?0?\)?\d{{2,4}}{_S}\d{{4,6}}{_S}\d{{2,4}}|0049\d{{2,3}}{_S}\d{{6,8}}|0\d{{2,4}}/\d{{4,6}}{_H}\d{{2,4}}"
     rf"|\+33{_S}\(?0?\)?[1-9](?:{_S}\d\d){{4}}|0[1-9](?:\.\d\d){{4}}|0[1-9](?: \d\d){{4}}"
     rf"|\+34{_S}\d{{3}}{_S}\d{{2,3}}{_S}\d{{2,3}}(?:{_S}\d{{2,3}})?"
-    r"|\d{3}\.\d{3}\.\d{4}|\d{3}-\d{3}-\d{4}|555-\d{4}"
+    rf"|\d{{3}}\.\d{{3}}\.\d{{4}}|\d{{3}}{_H}\d{{3}}{_H}\d{{4}}|555{_H}\d{{4}}"
     rf")(?:{_B}?,?{_B}?(?:ext\.?|extension|x|durchwahl|app\.|poste){_B}?\d{{1,5}})?(?![\d]|[./-]\d)", _FLAGS
 )
 _ID = re.compile(
@@ -73,8 +74,8 @@ _ID = re.compile(
     rf"[a-z]{{2}}\d{{2}}(?:\d{{12,26}}|(?:{_S}\d{{4}}){{3,6}}(?:{_S}\d{{1,4}})?)"
     rf"|\d{{4}}(?:{_S}\d{{4}}){{3}}"
     rf"|[a-z]{{2}}{_B}?\d\d{_B}?\d\d{_B}?\d\d{_B}?[a-z]"
-    r"|[a-z]-\d{7,8}-[a-z]|[a-z]\d\d[a-z]\d{5}"
-    rf"|\d{{3}}-\d\d-\d{{4}}|\d{{3}}{_B}\d\d{_B}\d{{4}}"
+    rf"|[a-z]{_H}\d{{7,8}}{_H}[a-z]|[a-z]\d\d[a-z]\d{{5}}"
+    rf"|\d{{3}}{_H}\d\d{_H}\d{{4}}|\d{{3}}{_B}\d\d{_B}\d{{4}}"
     r")(?![\w]|[./-]\w)", _FLAGS
 )
 _PLAIN = re.compile(r"\d{8,12}(?![\w]|[./-]\d)")
@@ -82,7 +83,7 @@ _cue = "|".join(sorted((re.escape(c).replace(r"\ ", rf"{_B}+") for c in OWN_NUMB
 _OWN = re.compile(rf"(?:^|(?<=[^\w])){'(?:' + _cue + ')'}{_B}?[:=#]?{_B}{{0,2}}$", _FLAGS)
 _DIGIT = re.compile(r"(?<![\d])(?<!\d[.,/-])\d")
 
-_town = "|".join(t.replace(" ", f"{_B}+").replace("-", "-(?:\r?\n)?") for t in TOWNS)
+_town = "|".join(t.replace(" ", f"{_B}+").replace("-", "-?(?:\r?\n)?") for t in TOWNS)
 _post = rf"(?:\d{{5}}|[a-z]{{1,2}}\d{{1,2}}[a-z]?{_B}\d[a-z]{{2}})(?!\w)"
 _place = rf"(?:,?{_B}+{_post}{_B}+(?:{_town})|,?{_B}*(?:{_town})(?:,?{_B}+{_post})?|,{_B}*{_post})"
 _word = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
