@@ -70,4 +70,23 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_groups, p3_found, p4_found, p4_pieces, p5_found, p5_repaired, p6_ids, p7_found, p7_shares, p8_found)}
 
-SQL: dict[str, str] = {}
+_CH = "ch AS (SELECT DISTINCT ON (chunk_id) chunk_id, text, embedding FROM chunks WHERE chunk_id IS NOT NULL AND text IS NOT NULL)"
+_gap = r"[\s\x0B\x1c-\x1f\x{85}\p{Z}]"
+_line = r"(?:\r\n|[\n\r\x0B\f\x{85}\x{2028}\x{2029}])"
+_blank = rf"{_line}(?:[\t \x1c-\x1f\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{202f}}\x{{205f}}\x{{3000}}])*{_line}"
+_fits = "list_max(list_transform(regexp_split_to_array({0}, '{1}'), lambda x: length(x))) <= 1600"
+
+SQL: dict[str, str] = {
+    "p2_found": rf"""WITH {_CH}, w AS (SELECT chunk_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM ch),
+ sh AS (SELECT DISTINCT chunk_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 40),
+ n AS (SELECT chunk_id, count(*) AS n FROM sh GROUP BY chunk_id),
+ both_have AS (SELECT a.chunk_id AS x, b.chunk_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.chunk_id < b.chunk_id GROUP BY ALL)
+ SELECT x AS chunk_id_a, y AS chunk_id_b FROM both_have JOIN n p ON p.chunk_id = x JOIN n q ON q.chunk_id = y WHERE c / (p.n + q.n - c) >= 0.6""",
+    "p3_found": """WITH v AS (SELECT DISTINCT ON (chunk_id) chunk_id, embedding::DOUBLE[] AS e FROM chunks WHERE chunk_id IS NOT NULL AND len(embedding) = 64),
+ u AS (SELECT * FROM v WHERE list_sum(list_transform(e, lambda x: x * x)) > 0)
+ SELECT chunk_id, neighbour_id FROM (SELECT a.chunk_id, b.chunk_id AS neighbour_id, row_number() OVER (PARTITION BY a.chunk_id ORDER BY list_cosine_similarity(a.e, b.e) DESC, b.chunk_id) AS k
+  FROM u a JOIN (SELECT DISTINCT chunk_id FROM probe_chunks) USING (chunk_id) JOIN u b ON a.chunk_id <> b.chunk_id) WHERE k <= 10""",
+    "p4_found": rf"""WITH {_CH}, t AS (SELECT chunk_id, regexp_replace(text, '^{_gap}+|{_gap}+$', '', 'g') AS t FROM ch), big AS (SELECT * FROM t WHERE length(t) > 1600)
+ SELECT chunk_id, CASE WHEN {_fits.format("t", _blank)} THEN 'paragraph' WHEN {_fits.format(f"regexp_replace(t, '([.!?]){_gap}', '" + chr(92) + "1' || chr(10), 'g')", _line)} THEN 'sentence'
+  WHEN {_fits.format("t", _gap)} THEN 'word' ELSE 'none' END AS break_kind FROM big""",
+}
