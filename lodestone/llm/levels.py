@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,12 @@ FUNCTION_WORDS = {
 }
 LEVELS = ("basic", "general", "expert")
 
-_WORD = re.compile(r"[^\W\d_]+")
-_SENTENCE = re.compile(r"[.!?…]+[\"'»”)\]]*(?=\s|$)|\n\s*\n")
+#: Letters that are no part of a number, code, address or endless string.
+_WORD = re.compile(r"(?<![\w@/+=|{}<>\\%])[^\W\d_]{1,44}(?![\w@/+=|{}<>\\%])")
+_BETWEEN = re.compile(r"(?<=[.!?…])[\"'»”)\]]*\s+|\s{2,}|\s[-–—|•*]\s")
+#: Words of a sentence above which it isn't believed (lists, text without marks) and cut into pieces of PIECE words, and words
+#: that a sentence counts for at most.
+LONG, PIECE, WEIGHT = 30, 15, 30
 _VOWELS = {
     "en": re.compile(r"[aeiouyáéíóúäöü]+"),
     "de": re.compile(r"aa|ee|oo|au|äu|eu|ei|ai|ie|[aeiouyäöüéà]"),
@@ -44,17 +49,19 @@ def syllables(word: str, lang: str) -> int:
     return max(1, n)
 
 
-def _grades(words: int, sentences: int, letters: int, beats: int, long3: int, long6: int) -> list[float]:
-    """Grades of the classic formulas; the coefficients are their published values."""
-    per, syl, let = words / sentences, beats / words, letters / words
-    return [
-        0.39 * per + 11.8 * syl - 15.59,  # Flesch-Kincaid
-        0.4 * (per + 100 * long3 / words),  # Gunning fog
-        1.043 * (30 * long3 / sentences) ** 0.5 + 3.1291,  # SMOG
-        4.71 * let + 0.5 * per - 21.43,  # automated readability index
-        5.88 * let - 29.6 * sentences / words - 15.8,  # Coleman-Liau
-        (per + 100 * long6 / words - 10) / 4,  # LIX, on the scale of grades
-    ]
+def _grades(words: np.ndarray, letters: np.ndarray, beats: np.ndarray, long3: np.ndarray, long6: np.ndarray) -> np.ndarray:
+    """Grades of each sentence by the classic formulas (formula, sentence); the coefficients are their published values."""
+    syl, let = beats / words, letters / words
+    return np.stack(
+        [
+            0.39 * words + 11.8 * syl - 15.59,  # Flesch-Kincaid
+            0.4 * (words + 100 * long3 / words),  # Gunning fog
+            1.043 * np.sqrt(30 * long3) + 3.1291,  # SMOG
+            4.71 * let + 0.5 * words - 21.43,  # automated readability index
+            5.88 * let - 29.6 / words - 15.8,  # Coleman-Liau
+            (words + 100 * long6 / words - 10) / 4,  # LIX, on the scale of grades
+        ]
+    )
 
 
 class _Words(dict):
@@ -74,15 +81,26 @@ _tell = {lang: frozenset(words.split()) for lang, words in FUNCTION_WORDS.items(
 
 
 def grade(text: str | None) -> tuple[str | None, float | None]:
-    """Language by function words, and the median of the grades; nulls for a text without words."""
-    words = _WORD.findall(text.lower()) if text else []
-    if not words:
+    """Language by function words, and the grade; nulls for a text without words.
+
+    A sentence's grade is the median of the formulas, a text's the median over its sentences, weighted by their words, so that
+    a few sentences of another kind - an address, a price list, a quotation - don't move it.
+    """
+    sentences = [w for s in _BETWEEN.split(text.lower()) if (w := _WORD.findall(s))] if text else []
+    if not sentences:
         return None, None
+    if any(len(w) > LONG for w in sentences):
+        sentences = [p for w in sentences for p in ([w[i : i + PIECE] for i in range(0, len(w), PIECE)] if len(w) > LONG else [w])]
+    words = list(chain.from_iterable(sentences))
     counts = {lang: sum(map(own.__contains__, words)) for lang, own in _tell.items()}
     lang = max(counts, key=counts.__getitem__)
-    sums = np.fromiter(map(_known[lang].__getitem__, words), np.dtype((np.int64, 4)), len(words)).sum(axis=0).tolist()
-    sentences = sum(1 for s in _SENTENCE.split(text) if s and _WORD.search(s))
-    return lang, float(np.median(_grades(len(words), max(1, sentences), *sums)))
+    sizes = np.fromiter(map(len, sentences), np.int64, len(sentences))
+    each = np.fromiter(map(_known[lang].__getitem__, words), np.dtype((np.int64, 4)), len(words))
+    sums = np.add.reduceat(each, np.cumsum(sizes) - sizes, axis=0)
+    own = np.median(_grades(sizes.astype(float), *sums.T), axis=0)
+    order = np.argsort(own, kind="stable")
+    weight = np.cumsum(np.minimum(sizes[order], WEIGHT))
+    return lang, float(own[order[np.searchsorted(weight, weight[-1] / 2)]])
 
 
 def graded(df: DataFrame, keep: tuple[str, ...]) -> DataFrame:
