@@ -25,7 +25,7 @@ GIVEN = (
     "ravi renske rose salome sten summer sunniva søren tamsin teodor thandi tobin ulric viola will wilma wim ximena yara yasmo zoë zofia łucja"
 )
 PARTICLES = ("von der", "van der", "von", "van", "de la", "del", "de", "di", "da", "le", "la")
-#: Street words, towns of the vault's region, and what stands before a person's own number. Fixed values.
+#: Street words, towns of the collection's region, and what stands before a person's own number. Fixed values.
 STREETS_BEHIND = ("street", "st.", "road", "rd.", "rd", "lane", "ln.", "row", "hill", "close", "terrace", "court", "avenue", "ave.", "ave", "drive", "square", "place", "way")
 STREETS_JOINED = ("straße", "strasse", "str.", "allee", "weg", "gasse", "platz", "ring", "damm")
 STREETS_BEFORE = ("c/", "rue", "chemin", "avenue", "boulevard", "place", "impasse", "calle", "avenida", "paseo", "plaza", "camino")
