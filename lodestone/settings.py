@@ -9,7 +9,7 @@ from dataclasses import dataclass, fields, replace
 
 @dataclass(frozen=True)
 class Settings:
-    data_dir: str = "vault"
+    data_dir: str = "store"
     chunk_target_tokens: int = 400
     chunk_overlap_ratio: float = 0.15
     vector_top_k: int = 8

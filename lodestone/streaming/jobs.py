@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lodestone.operators import reminders
-from lodestone.plans.vault import ingest_paths
+from lodestone.plans.intake import ingest_paths
 from lodestone.sources.store import Store
 
 

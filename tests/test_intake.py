@@ -4,7 +4,7 @@ import zipfile
 import pytest
 
 from lodestone.operators import access, ingest
-from lodestone.plans import vault
+from lodestone.plans import intake
 from lodestone.plans.answer import answer_in_parts, answer_single, split_questions, sub_queries, summarize, summarize_together, verdicts
 from lodestone.plans.model import Composite, ModelError, OfflineModel, Unavailable, build_model
 from lodestone.settings import Settings
@@ -36,7 +36,7 @@ def by_path(store):
 
 def test_ingest_again_and_again(spark, home, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
-    first = vault.ingest_paths(store, [str(home)])
+    first = intake.ingest_paths(store, [str(home)])
     assert {k: first[k] for k in ("added", "updated", "skipped", "removed", "blocked", "failed", "generation")} == {"added": 3, "updated": 0, "skipped": 0, "removed": 0, "blocked": 0, "failed": 1, "generation": 1}
     docs = by_path(store)
     assert set(docs) == {"a.txt", "b.MD", "d.docx", "bad.pdf"} and docs["bad.pdf"]["status"] == "error" and docs["bad.pdf"]["content_hash"] == ""
@@ -47,16 +47,16 @@ def test_ingest_again_and_again(spark, home, tmp_path):
     os.utime(home / "a.txt", (1000, 1000))
     (home / "sub" / "b.MD").write_text("Bicycles need air. " * 5)
     (home / "d.docx").unlink()
-    second = vault.ingest_paths(store, [str(home)])
+    second = intake.ingest_paths(store, [str(home)])
     assert [second[k] for k in ("added", "updated", "skipped", "removed", "failed")] == [0, 1, 1, 1, 1]
     after = by_path(store)
     assert after["a.txt"]["mtime"] == 1000 and after["b.MD"]["doc_id"] == docs["b.MD"]["doc_id"] and "d.docx" not in after
     assert {r["doc_id"] for r in store.table("chunks").collect()} == {after["a.txt"]["doc_id"], after["b.MD"]["doc_id"]}
 
     changes = spark.createDataFrame([(str(home / "sub"), "no_access")], "path string, access_level string").selectExpr("*", "current_timestamp()::timestamp_ntz AS changed_at")
-    vault.set_access(store, changes)
+    intake.set_access(store, changes)
     assert set(by_path(store)) == {"a.txt", "bad.pdf"}
-    third = vault.ingest_paths(store, [str(home)])
+    third = intake.ingest_paths(store, [str(home)])
     assert third["blocked"] == 1 and third["added"] == 0
 
     asked = spark.createDataFrame([(1, "apple harvest"), (2, "zzzz")], "qid long, question string")
@@ -64,10 +64,10 @@ def test_ingest_again_and_again(spark, home, tmp_path):
     assert got[1]["answer"].startswith("See [1]") and got[1]["sources"][0]["filename"] == "a.txt"
 
     with pytest.raises(PermissionError):
-        vault.set_access(store, spark.createDataFrame([(str(home), "readonly")], "path string, access_level string").selectExpr("*", "current_timestamp()::timestamp_ntz AS changed_at"))
-        vault.delete_document(store, by_path(store)["a.txt"]["doc_id"])
+        intake.set_access(store, spark.createDataFrame([(str(home), "readonly")], "path string, access_level string").selectExpr("*", "current_timestamp()::timestamp_ntz AS changed_at"))
+        intake.delete_document(store, by_path(store)["a.txt"]["doc_id"])
     with pytest.raises(ValueError):
-        vault.ingest_paths(store, [str(home)], model=Composite(OfflineModel(), OfflineModel()))
+        intake.ingest_paths(store, [str(home)], model=Composite(OfflineModel(), OfflineModel()))
     seen = []
     (home / "new.txt").write_text("New text about pears.")
     query = jobs.watch(store, [str(home)], on_change=seen.append, once=True)
