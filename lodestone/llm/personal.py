@@ -1,7 +1,8 @@
 """Problem 1: personal details in free text, found by anchors and expanded by local parsers.
 
 An Aho-Corasick automaton finds family names, at-signs and street words in one pass over the text; a number's first digit is
-an anchor as well. Around each anchor a parser of that kind looks for the borders of a valid detail, or finds none.
+an anchor as well. Around each anchor a parser of that kind looks for the borders of a valid detail, or finds none. Names and
+towns that are in no list are found by the evidence of ``names``: in their own text, and from the whole corpus.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.names import TOWN, TOWN_AFTER, Lexicon, learned, lowered
 from lodestone.sources.tables import spread
 
 #: Parts of which family names are made, given names, and particles. Fixed values.
@@ -84,8 +86,8 @@ _OWN = re.compile(rf"(?:^|(?<=[^\w])){'(?:' + _cue + ')'}{_B}?[:=#]?{_B}{{0,2}}$
 _DIGIT = re.compile(r"(?<![\d])(?<!\d[.,/-])\d")
 
 _town = "|".join(t.replace(" ", f"{_B}+").replace("-", "-?(?:\r?\n)?") for t in TOWNS)
-_post = rf"(?:\d{{5}}|[a-z]{{1,2}}\d{{1,2}}[a-z]?{_B}\d[a-z]{{2}})(?!\w)"
-_place = rf"(?:,?{_B}+{_post}{_B}+(?:{_town})|,?{_B}*(?:{_town})(?:,?{_B}+{_post})?|,{_B}*{_post})"
+_post = rf"(?:(?:[a-z]{{2}}{_B})?\d{{5}}(?:-\d{{4}})?|[a-z]{{1,2}}\d{{1,2}}[a-z]?{_B}\d[a-z]{{2}})(?!\w)"
+_place = rf"(?:,?{_B}+{_post}{_B}+(?:{_town})|,?{_B}*(?:{_town})(?:,?{_B}+{_post})?|,{_B}+(?-i:{TOWN}),?{_B}+{_post}|,{_B}+{_post}[ \xa0](?-i:{TOWN_AFTER})|,{_B}*{_post})"
 _word = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
 _behind = "|".join(re.escape(s) for s in sorted(STREETS_BEHIND, key=len, reverse=True))
 _joined = "|".join(re.escape(s) for s in sorted(STREETS_JOINED, key=len, reverse=True))
@@ -126,9 +128,9 @@ def is_family_name(word: str) -> bool:
     return any(length == len(word) and kind == "name" for _, (length, kind) in _anchors.iter(word))
 
 
-def _lower(text: str) -> str:
-    low = text.lower()
-    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+#: The lists as a source of ``names.Lexicon``.
+LISTED = {"listed": frozenset(GIVEN.split()), "other_family": frozenset(stem + end for stem in NAME_STEMS.split() for end in NAME_ENDS.split())}
+_common = Lexicon(**LISTED)
 
 
 def _around(pattern: re.Pattern, text: str, start: int, end: int, reach: int) -> tuple[int, int] | None:
@@ -141,8 +143,8 @@ def _around(pattern: re.Pattern, text: str, start: int, end: int, reach: int) ->
     return None
 
 
-def spans(text: str | None) -> list[tuple[int, int, str]]:
-    """The details of a text in order: start, end, kind. Details don't overlap; of two the one that begins first, then the
+def spans(text: str | None, lexicon: Lexicon = _common) -> list[tuple[int, int, str]]:
+    """The details of a text in order: start, end, kind; ``lexicon`` has the names and towns known so far. Details don't overlap; of two the one that begins first, then the
     longer one, stays. None for null and empty texts."""
     if not text:
         return []
@@ -158,7 +160,7 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
         source = "".join([*parts, text[last:]]) if cuts else text
     else:
         source = text
-    low = _lower(source)
+    low = lowered(source)
     found: list[tuple[int, int, str]] = []
     done = dict.fromkeys(("name", "email", "street", "joined"), -1)
     for at, (length, kind) in _anchors.iter(low):
@@ -180,9 +182,11 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
                 continue
             span = _around(_ADDRESS, source, start, end, 60)
             if span:
+                span = (span[0], lexicon.town(source, span[1]))
                 found.append((*span, "address"))
         if span:
             done[kind] = span[1]
+    found += [(start, end, "name") for start, end, _ in lexicon.names(source, low)]
     at = 0
     while (m := _DIGIT.search(source, at)) is not None:
         i = at = m.start()
@@ -245,12 +249,14 @@ def details(chunks: DataFrame, key: str = "chunk_id", with_text: bool = True) ->
     """``key, found, clean`` of every row of ``chunks``: the details as ``array<struct<span_start,span_end,kind>>`` and the text with
     typed placeholders (null if not asked for). Null texts have an empty list and stay null; repeated rows stay repeated."""
 
+    known = chunks.sparkSession.sparkContext.broadcast(learned(chunks, **LISTED))
     kind = pa.list_(pa.struct([("span_start", pa.int32()), ("span_end", pa.int32()), ("kind", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = Lexicon(known.value["family"], known.value["given"], known.value["town"], **LISTED)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            found = [spans(t) for t in texts]
+            found = [spans(t, lexicon) for t in texts]
             clean = [masked(t, f) for t, f in zip(texts, found, strict=True)] if with_text else [None] * len(texts)
             rows = pa.array([[{"span_start": s, "span_end": e, "kind": k} for s, e, k in f] for f in found], kind)
             yield pa.RecordBatch.from_arrays([batch.column(0), rows, pa.array(clean, pa.string())], ["key", "found", "clean"])

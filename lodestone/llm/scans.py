@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.personal import is_family_name
+from lodestone.llm.names import COMMON_FAMILY, PARTICLE_WORDS, Lexicon, lowered
+from lodestone.llm.personal import LISTED, is_family_name
 from lodestone.sources.tables import spread
 
 #: What scanners make of characters: as read, and as meant. Fixed values.
@@ -59,8 +60,9 @@ _by_first = _swaps()
 class Reader:
     """Decodes words against a vocabulary."""
 
-    def __init__(self, vocabulary: frozenset[str]):
+    def __init__(self, vocabulary: frozenset[str], family: frozenset[str] = frozenset()):
         self.words = vocabulary
+        self.family = COMMON_FAMILY | family
         self.known: dict[str, str | None] = {}
 
     def read(self, word: str) -> str | None:
@@ -90,6 +92,9 @@ class Reader:
         self.known[word] = found
         return found
 
+    def is_family(self, word: str) -> bool:
+        return word in self.family or is_family_name(word)
+
     def split(self, word: str) -> list[str] | None:
         """``word`` as two words of the vocabulary that were run together, if it is that."""
         for i in range(3, len(word) - 2):
@@ -134,7 +139,7 @@ def _furniture(lines: list[tuple[int, str]], reader: Reader) -> list[str | None]
             continue  # a heading of the text stands apart
         elif before is None and (after is None or kinds[i + 1] is None):
             continue
-        elif any(is_family_name(w) for w in words):
+        elif any(reader.is_family(w) for w in words):
             continue
         else:
             kinds[i] = "header"
@@ -180,9 +185,9 @@ def examine(text: str | None, reader: Reader) -> tuple[list[tuple[int, str]], st
         if mark == "-":
             own = re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)*$", tail.lower())
             hyphened = f"{own[0]}-{rest.lower()}" if own else ""
-            if hyphened in reader.words or reader.read(hyphened) or is_family_name(left.lower()) and not is_family_name(whole):
+            if hyphened in reader.words or reader.read(hyphened) or reader.is_family(left.lower()) and not reader.is_family(whole):
                 put = False
-            elif reader.read(whole) or is_family_name(whole):
+            elif reader.read(whole) or reader.is_family(whole):
                 put = True
             elif "@" in token or any(c.isdigit() for c in rest[:1]):
                 put = "@" not in token
@@ -233,7 +238,7 @@ def examine(text: str | None, reader: Reader) -> tuple[list[tuple[int, str]], st
         if digits > 2 or digits * 2 > len(low) or low.isdigit():
             continue
         meant = reader.read(low)
-        if meant is None and raw.isalpha() and raw.islower() and not is_family_name(low):
+        if meant is None and raw.isalpha() and raw.islower() and not reader.is_family(low):
             # no damage that gets a row: a word in two pieces, or two words in one
             after = _RUN.match(whole, m.end() + 1) if whole[m.end() : m.end() + 1] in (" ", "\n") else None
             if after and after[0].lower() not in reader.words and reader.read(after[0].lower()) is None and low + after[0].lower() in reader.words:
@@ -241,7 +246,7 @@ def examine(text: str | None, reader: Reader) -> tuple[list[tuple[int, str]], st
             elif pair := reader.split(low):
                 fixes.append((start, start + len(raw), " ".join(pair)))
             continue
-        if meant is None or meant == low or is_family_name(low):
+        if meant is None or meant == low or reader.is_family(low):
             continue
         if raw.isupper():
             meant = meant.upper()
@@ -295,39 +300,59 @@ def _paragraphs(stream: str, fixes: list[tuple[int, int, str]], ends: list[int])
     return "\n\n".join(reversed(out))
 
 
-def vocabulary(chunks: DataFrame) -> list[str]:
-    """Words (also with hyphens) of the texts without pages, as often as SHARE says; counted over all of them."""
+def vocabulary(chunks: DataFrame) -> tuple[list[str], list[str]]:
+    """Words (also with hyphens) of the texts without pages, as often as SHARE says, and family names, which stand more often
+    after titles and labels than in lower case; counted over all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
+        shown: Counter[str] = Counter()
+        lexicon = Lexicon(**LISTED)
         total = 0
+
+        def rows() -> pa.RecordBatch:
+            sums: dict[str, list[int]] = {}
+            for word, n in counts.items():
+                own = sums.setdefault(word.lower(), [0, 0, 0])
+                own[0] += n
+                own[1] += n if word.islower() else 0
+            for word, n in shown.items():
+                sums.setdefault(word, [0, 0, 0])[2] += n
+            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), *[pa.array([v[i] for v in sums.values()], pa.int64()) for i in range(3)]], ["word", "n", "small", "shown"])
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                words = _WORD.findall(text.lower())
+                words = _WORD.findall(text)
                 total += len(words)
                 counts.update(words)
                 counts.update([p for w in words if "-" in w for p in w.split("-")])
+                for start, end, kind in lexicon.names(text, lowered(text)):
+                    if kind in ("title", "label"):
+                        own = [w for w in _WORD.findall(text[start:end]) if w.lower() not in PARTICLE_WORDS]
+                        shown[own[-1].lower()] += 1
             if len(counts) > 500_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+                yield rows()
                 counts.clear()
+                shown.clear()
         counts[""] = total  # the empty word holds the number of all
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+        yield rows()
 
     texts = spread(chunks.where("page is null and text is not null").select("text"))
-    counted = texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = texts.mapInArrow(run, "word string, n long, small long, shown long").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "small", "shown")])
     total = counted.where("word = ''").agg(F.sum("n")).first()[0] or 0
-    return [r["word"] for r in counted.where(F.col("n") >= max(2, SHARE * total)).where("word <> ''").select("word").collect()]  # at most 1 / SHARE words
+    known = counted.where((F.col("n") >= max(2, SHARE * total)) | (F.col("shown") > F.col("small"))).where("word <> ''").select("word", F.col("n") >= max(2, SHARE * total), F.col("shown") > F.col("small")).collect()
+    return [w for w, often, _ in known if often], [w for w, _, family in known if family]  # at most 1 / SHARE words, and names
 
 
 def scanned(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
     """``key, page, noises, repaired`` of every chunk with a page: noises as ``array<struct<pos,noise_kind>>`` and the text as
     continuous paragraphs. Null texts have no noises and stay null; repeated rows stay; with no text that has no page there
     is no vocabulary, so only furniture and plain line-end marks are found."""
-    words = chunks.sparkSession.sparkContext.broadcast(frozenset(vocabulary(chunks)))
+    words = chunks.sparkSession.sparkContext.broadcast(tuple(map(frozenset, vocabulary(chunks))))
     kind = pa.list_(pa.struct([("pos", pa.int32()), ("noise_kind", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(words.value)
+        reader = Reader(*words.value)
         for batch in batches:
             made = [examine(t, reader) for t in batch.column(2).to_pylist()]
             rows = pa.array([[{"pos": p, "noise_kind": k} for p, k in n] for n, _ in made], kind)

@@ -45,3 +45,26 @@ def test_spans_never_overlap(spark, folder):
         for start, end, _ in personal.spans(r["text"]):
             assert last <= start < end and r["text"][start:end].strip() == r["text"][start:end]
             last = end
+
+
+OPEN = [
+    ("Call John Smith or J. R. Becker today.", [("name", "John Smith"), ("name", "J. R. Becker")]),
+    ("María García López met Mr Zbigniew Kowalczyk.", [("name", "María García López"), ("name", "Zbigniew Kowalczyk")]),
+    ("Dear Aoife Brennan, thanks. García López, Ana", [("name", "Aoife Brennan"), ("name", "García López, Ana")]),
+    ("Tenant: Ngozi van den Okafor\n\nFrau Vogt kommt.", [("name", "Ngozi van den Okafor")]),
+    ("Dear Harrow Team, John called. Smith Holdings, THOMAS SAID THAT", []),
+    ("at 12 Baker Street, London NW1 6XE. Then", [("address", "12 Baker Street, London NW1 6XE")]),
+    ("Lindenstraße 7, 10115 Berlin\nBitte; 40 Elm Road, Springfield, IL 62704.", [("address", "Lindenstraße 7, 10115 Berlin"), ("address", "40 Elm Road, Springfield, IL 62704")]),
+    ("12 Chapel Court, 00381 Please call", [("address", "12 Chapel Court, 00381")]),
+]
+
+
+@pytest.mark.parametrize("text,want", OPEN)
+def test_names_and_towns_of_no_list(text, want):
+    assert [(k, text[a:b]) for a, b, k in personal.spans(text)] == want
+
+
+def test_names_and_towns_known_from_other_texts(spark, chunks):
+    rows = [(1, "Dear Mr Aoife Brennan,"), (2, "at 4 Elm Road, Leeds LS1 4AP"), (3, "then A. Brennan and Aoife Quirk left 9 Oak Lane, Leeds today, Plan B. The brennan")]
+    got = {rows[2][1][r["span_start"] : r["span_end"]] for r in personal.personal_spans(chunks(rows[:2] + [(3, rows[2][1][:-15])])).collect() if r["chunk_id"] == 3}
+    assert got == {"A. Brennan", "Aoife Quirk", "9 Oak Lane, Leeds"}

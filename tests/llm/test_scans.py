@@ -42,3 +42,9 @@ def test_edges(spark, chunks):
     whole = scans.scanned(chunks(rows)).collect()
     assert len(whole) == 6 and {r["repaired"] for r in whole if r["chunk_id"] in (1, 2, 3)} == {None, "", "the budget"}
     assert scans.noises(chunks([])).count() == 0
+
+
+def test_family_names_of_no_list_are_no_damage(spark, chunks):
+    assert [k for _, k in scans.examine("the hartrnan", scans.Reader(WORDS | {"hartman"}, frozenset({"hartrnan"})))[0]] == []
+    rows = [(i, 1, 0, t, 0, 0, None, None) for i, t in enumerate(["Mr John Abernathy came.", "the committee reviewed", "the committee"])]
+    assert "abernathy" in scans.vocabulary(chunks(rows))[1]
