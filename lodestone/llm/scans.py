@@ -1,8 +1,8 @@
 """Problem 5: scanner damage and page furniture in texts of scanned pages.
 
 Lines of furniture are told by their form and neighbours. The rest is one stream of characters without lines: words broken
-at line ends are put together again, and each is decoded against the corpus's own vocabulary as the cheapest reading under
-breaks, merges, splits and confused characters. Paragraphs are then chosen over all line ends at once by least cost.
+at line ends are put together again, and the stream is decoded against a trie of the corpus's own vocabulary as the cheapest
+sequence of words under added and dropped blanks, hyphens and confused characters. Paragraphs are then chosen over all line ends at once by least cost.
 """
 
 from __future__ import annotations
@@ -11,13 +11,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.names import COMMON_FAMILY, PARTICLE_WORDS, Lexicon, lowered
 from lodestone.llm.personal import LISTED, is_family_name
-from lodestone.sources.tables import spread
+from lodestone.sources.tables import cut, spread
 
 #: What scanners make of characters: as read, and as meant. Fixed values.
 CONFUSED = (
@@ -30,8 +31,17 @@ FIRMS = "board gmbh ltd group bakery clinic fils trust holdings logistics seguro
 #: there are at most 1 / SHARE words of it, whatever the size of the corpus.
 SHARE = 2e-6
 
+#: Costs of a reading: a confusion, a blank or hyphen added within a word, one at a line end, a blank dropped, a word of one or
+#: of two letters beside a dropped blank, and a word that stays unknown, of up to four letters too. Words of one letter are
+#: only these.
+CONFUSION, ADDED, ADDED_LINE, DROPPED, ONE, TWO, UNKNOWN, UNKNOWN_SHORT = 1.0, 1.5, 1.6, 1.5, 0.75, 0.5, 3.2, 2.4
+SINGLE = frozenset("aiyoeuàó")
+#: Known words on each side of an unknown one that its reading can take in: more blanks cost more than it.
+AROUND = int(UNKNOWN / ADDED)
+
 _LINE = re.compile(r"\r\n|\n|\r")
 _RUN = re.compile(r"[\w@¦~|]*[^\W\d_][\w@¦~|]*(?:\([\w@¦~|]*[^\W\d_][\w@¦~|]*)*|\([\w@¦~]*[^\W\d_][\w@¦~]*")
+_PARTS = re.compile(r"[^ \n-]+")
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 _MARK = re.compile(r"([^\W\d_][\w@¦~(]*|[@¦~])([-‐¬­])[ \t]*$")
 _MAIL = re.compile(r"\S+\s?(?:@|[(\[]at[)\]])\s?\S+[.]\w{2,}|\w+@\w+[.]\w+", re.IGNORECASE)
@@ -64,6 +74,10 @@ class Reader:
         self.words = vocabulary
         self.family = COMMON_FAMILY | family
         self.known: dict[str, str | None] = {}
+        self.paths: dict[tuple[str, frozenset[int]], list[tuple[int, int, str, int]]] = {}
+        self.trie = ahocorasick.Automaton()
+        for word in vocabulary:
+            self.trie.add_word(word, True)
 
     def read(self, word: str) -> str | None:
         """The vocabulary's word that ``word`` (lower case) stands for with at most two confusions, itself if it is one, else
@@ -95,12 +109,81 @@ class Reader:
     def is_family(self, word: str) -> bool:
         return word in self.family or is_family_name(word)
 
-    def split(self, word: str) -> list[str] | None:
-        """``word`` as two words of the vocabulary that were run together, if it is that."""
-        for i in range(3, len(word) - 2):
-            if word[:i] in self.words and word[i:] in self.words:
-                return [word[:i], word[i:]]
-        return None
+    def _words_from(self, s: str, i: int, most: float) -> Iterator[tuple[int, float, str, int]]:
+        """Words of the vocabulary that ``s`` can be read as from ``i``: end, cost below ``most``, word, confusions."""
+        stack = [(i, "", 0.0, 0)]
+        while stack:
+            j, text, cost, swaps = stack.pop()
+            if j > i and text in self.words and s[j - 1] not in " \n-" and not (swaps and j - i < 3):
+                yield j, cost, text, swaps
+            if j == len(s) or len(text) > 60:
+                continue
+            c = s[j]
+            if self.trie.match(text + c):
+                stack.append((j + 1, text + c, cost, swaps))
+            if c in " \n-" and text and s[j - 1] not in " \n-" and cost + ADDED < most:
+                stack.append((j + 1, text, cost + (ADDED_LINE if c == "\n" else ADDED), swaps))
+            if swaps < 2 and cost + CONFUSION < most:
+                for read, meant in reversed(_by_first.get(c, ())):  # the first is looked at first
+                    if s.startswith(read, j) and self.trie.match(text + meant):
+                        stack.append((j + len(read), text + meant, cost + CONFUSION, swaps + 1))
+
+    def decode(self, s: str, whole: frozenset[int] = frozenset()) -> list[tuple[int, int, str, int]]:
+        """The cheapest reading of ``s`` (lower case, words parted by one blank, line end or hyphen): start, end, word and
+        confusions of each word. Words that begin at a place in ``whole`` aren't parted."""
+        if (s, whole) in self.paths:
+            return self.paths[s, whole]
+        def unknown(size: int) -> float:
+            return UNKNOWN if size > 4 else UNKNOWN_SHORT
+
+        # no path is of use that costs as much as to leave the unknown words
+        limit = sum(unknown(len(w)) for w in _PARTS.findall(s) if w not in self.words)
+        best: list[float] = [0.0] + [float("inf")] * len(s)
+        back: list[tuple[int, str | None, int]] = [(0, None, 0)] * (len(s) + 1)
+
+        def reach(at: int, cost: float, start: int, word: str | None, swaps: int) -> None:
+            if cost < best[at] - 1e-9:
+                best[at], back[at] = cost, (start, word, swaps)
+
+        for i in range(len(s)):
+            if best[i] == float("inf"):
+                continue
+            if s[i] in " \n-" and i:
+                reach(i + 1, best[i], i, None, 0)
+                continue
+            first = i == 0 or s[i - 1] in " \n-"
+            for j, cost, word, swaps in self._words_from(s, i, limit - best[i]):
+                last = j == len(s) or s[j] in " \n-"
+                if not last:
+                    token = max(s.rfind(c, 0, j) for c in " \n-") + 1
+                    if token in whole:
+                        continue
+                    cost += DROPPED
+                if not (first and last) and len(word) < 3:
+                    if len(word) == 1 and word not in SINGLE:
+                        continue
+                    cost += ONE if len(word) == 1 else TWO
+                reach(j, best[i] + cost, i, word, swaps)
+            if first:
+                own_word = _PARTS.match(s, i)[0]
+                reach(i + len(own_word), best[i] + unknown(len(own_word)), i, own_word, 0)
+        out, at = [], len(s)
+        while at:
+            start, word, swaps = back[at]
+            if word is not None:
+                out.append((start, at, word, swaps))
+            at = start
+        if len(self.paths) > 50_000:
+            self.paths.clear()
+        self.paths[s, whole] = out = out[::-1]
+        return out
+
+    def cost(self, word: str) -> float:
+        """Of the cheapest reading of ``word`` as one word."""
+        if word in self.words:
+            return 0.0
+        costs = [c for j, c, _, _ in self._words_from(word, 0, UNKNOWN) if j == len(word)]
+        return min(costs, default=UNKNOWN) if 3 <= len(word) <= 40 else UNKNOWN
 
 
 def _furniture(lines: list[tuple[int, str]], reader: Reader) -> list[str | None]:
@@ -158,6 +241,32 @@ def _breaks(lines: list[tuple[int, str]], kinds: list[str | None]) -> Iterator[t
             yield i, j, m, start
 
 
+def _stretches(stream: str, tokens: list[tuple[int, str, str]]) -> Iterator[list[tuple[int, str, str]]]:
+    """Open words with the words around that their readings can take in, parted by one blank, line end or hyphen each."""
+    runs: list[list[tuple[int, str, str]]] = [[]]
+    for t in tokens:
+        last = runs[-1][-1] if runs[-1] else None
+        if t[2] == "fixed":
+            runs.append([])
+        elif last is None or stream[last[0] + len(last[1]) : t[0]] in (" ", "\n", "-"):
+            runs[-1].append(t)
+        else:
+            runs.append([t])
+    for run in runs:
+        first = stop = 0
+        for k, t in enumerate(run):
+            if t[2] == "open":
+                if k - AROUND > stop:
+                    if stop:
+                        yield run[first:stop]
+                    first = k - AROUND
+                elif not stop:
+                    first = max(0, k - AROUND)
+                stop = k + AROUND + 1
+        if stop:
+            yield run[first:stop]
+
+
 def examine(text: str | None, reader: Reader) -> tuple[list[tuple[int, str]], str | None]:
     """Noises of a page's text (position, kind), in order, and the repaired text. Null stays null."""
     if not text:
@@ -185,9 +294,10 @@ def examine(text: str | None, reader: Reader) -> tuple[list[tuple[int, str]], st
         if mark == "-":
             own = re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)*$", tail.lower())
             hyphened = f"{own[0]}-{rest.lower()}" if own else ""
-            if hyphened in reader.words or reader.read(hyphened) or reader.is_family(left.lower()) and not reader.is_family(whole):
+            as_own, as_one = reader.cost(hyphened) if hyphened else UNKNOWN, reader.cost(whole)
+            if as_own < UNKNOWN and as_own <= as_one or reader.is_family(left.lower()) and not reader.is_family(whole):
                 put = False
-            elif reader.read(whole) or reader.is_family(whole):
+            elif as_one < UNKNOWN or reader.is_family(whole):
                 put = True
             elif "@" in token or any(c.isdigit() for c in rest[:1]):
                 put = "@" not in token
@@ -212,48 +322,43 @@ def examine(text: str | None, reader: Reader) -> tuple[list[tuple[int, str]], st
                 line_to -= 1
             after = lines[joins[i][0]][1]
             skip = len(after) - len(after.lstrip(" \t"))
-        for k in range(line_from, line_to):
-            stream.append(line[k])
-            place.append(start + k)
+        stream.extend(line[line_from:line_to])
+        place.extend(range(start + line_from, start + max(line_from, line_to)))
         if i not in joins:
             stream.append("\n")
             place.append(start + len(line))
         ends.append(len(stream))
     whole = "".join(stream)
     mails = [m.span() for m in _MAIL.finditer(whole)] if "@" in whole or "(at)" in whole or "[at]" in whole else []
-    fixes: list[tuple[int, int, str]] = []
+    # words that stand for themselves, that are open, and that no reading goes over
+    tokens: list[tuple[int, str, str]] = []
     for m in _RUN.finditer(whole):
-        raw = m[0]
+        raw, start = m[0], m.start()
         low = raw.lower()
-        if low in reader.words or any(a <= m.start() < b for a, b in mails):
-            continue
-        start = m.start()
-        if raw[0] == "(":
-            if low[1:] in reader.words:
-                continue
+        state = "known" if low in reader.words else "fixed" if mails and any(a <= start < b for a, b in mails) else "open"
+        if state == "open" and raw[0] == "(":
             inner = None if any(c in "0156@¦~(q" for c in low[1:]) else reader.read(low[1:])
-            if inner or reader.read(low) is None:
+            if low[1:] in reader.words or inner or reader.read(low) is None:
                 raw, low, start = raw[1:], low[1:], start + 1
-        digits = sum(c.isdigit() for c in low)
-        if digits > 2 or digits * 2 > len(low) or low.isdigit():
-            continue
-        meant = reader.read(low)
-        if meant is None and raw.isalpha() and raw.islower() and not reader.is_family(low):
-            # no damage that gets a row: a word in two pieces, or two words in one
-            after = _RUN.match(whole, m.end() + 1) if whole[m.end() : m.end() + 1] in (" ", "\n") else None
-            if after and after[0].lower() not in reader.words and reader.read(after[0].lower()) is None and low + after[0].lower() in reader.words:
-                fixes.append((m.end(), m.end() + 1, ""))
-            elif pair := reader.split(low):
-                fixes.append((start, start + len(raw), " ".join(pair)))
-            continue
-        if meant is None or meant == low or reader.is_family(low):
-            continue
-        if raw.isupper():
-            meant = meant.upper()
-        elif raw[:1].isupper():
-            meant = meant[:1].upper() + meant[1:]
-        noises.append((place[start], "misread"))
-        fixes.append((start, start + len(raw), meant))
+                state = "known" if low in reader.words else "open"
+        if state == "open":
+            digits = sum(c.isdigit() for c in low)
+            if digits > 2 or digits * 2 > len(low) or low.isdigit() or len(lowered(raw)) != len(low) or len(low) > 60 or reader.is_family(low):
+                state = "fixed"
+        tokens.append((start, raw, state))
+    fixes: list[tuple[int, int, str]] = []
+    for run in _stretches(whole, tokens):
+        start, stop = run[0][0], run[-1][0] + len(run[-1][1])
+        # a capitalised word within a sentence is a noun or name: no two words
+        own = frozenset(t - start for t, raw, _ in run if not raw.isalpha() or not raw[1:].islower() or raw[0].isupper() and not (t == 0 or whole[:t].rstrip()[-1:] in ".!?:"))
+        for a, b, meant, swaps in reader.decode(lowered(whole[start:stop]), own):
+            raw = whole[start + a : start + b]
+            if swaps:
+                noises.append((place[start + a], "misread"))
+            if swaps or meant != raw.lower():
+                fixes.append((start + a, start + b, meant.upper() if raw.isupper() else meant[:1].upper() + meant[1:] if raw[:1].isupper() else meant))
+            if start + b < stop and whole[start + b] not in " \n-":
+                fixes.append((start + b, start + b, " "))
     noises.sort()
     return noises, _paragraphs(whole, fixes, ends)
 
@@ -338,7 +443,7 @@ def vocabulary(chunks: DataFrame) -> tuple[list[str], list[str]]:
         yield rows()
 
     texts = spread(chunks.where("page is null and text is not null").select("text"))
-    counted = texts.mapInArrow(run, "word string, n long, small long, shown long").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "small", "shown")])
+    counted = cut(texts.mapInArrow(run, "word string, n long, small long, shown long").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "small", "shown")]))
     total = counted.where("word = ''").agg(F.sum("n")).first()[0] or 0
     known = counted.where((F.col("n") >= max(2, SHARE * total)) | (F.col("shown") > F.col("small"))).where("word <> ''").select("word", F.col("n") >= max(2, SHARE * total), F.col("shown") > F.col("small")).collect()
     return [w for w, often, _ in known if often], [w for w, _, family in known if family]  # at most 1 / SHARE words, and names

@@ -48,3 +48,20 @@ def test_family_names_of_no_list_are_no_damage(spark, chunks):
     assert [k for _, k in scans.examine("the hartrnan", scans.Reader(WORDS | {"hartman"}, frozenset({"hartrnan"})))[0]] == []
     rows = [(i, 1, 0, t, 0, 0, None, None) for i, t in enumerate(["Mr John Abernathy came.", "the committee reviewed", "the committee"])]
     assert "abernathy" in scans.vocabulary(chunks(rows))[1]
+
+
+def test_joint_reading_of_blanks_and_damage():
+    words = scans.Reader(WORDS | {"document", "of", "in", "insurance", "house", "work"})
+    cases = (
+        ("the docu rnent of", "the document of", ["docu"]),  # blank added, and a confusion
+        ("plan ofthc committee", "plan of the committee", ["thc"]),  # blank dropped, and a confusion
+        ("plan ofthe budget", "plan of the budget", []),  # a word of two letters
+        ("Thebudget abudget", "The budget a budget", []),
+        ("the in surancc plan", "the insurance plan", ["in"]),  # together with a known word
+        ("the commit-tee of", "the committee of", []),
+        ("the com\nmit tee of", "the committee of", []),
+        ("the Workhouse onde of the", "the Workhouse onde of the", []),  # a noun, and too short a word to tell
+    )
+    for text, want, places in cases:
+        noises, repaired = scans.examine(text, words)
+        assert repaired == want and [text[p : p + len(w)] for (p, _), w in zip(noises, places, strict=True)] == places, (text, noises, repaired)
