@@ -25,9 +25,9 @@ LEVELS = ("basic", "general", "expert")
 #: Letters that are no part of a number, code, address or endless string.
 _WORD = re.compile(r"(?<![\w@/+=|{}<>\\%])[^\W\d_]{1,44}(?![\w@/+=|{}<>\\%])")
 _BETWEEN = re.compile(r"(?<=[.!?…])[\"'»”)\]]*\s+|\s{2,}|\s[-–—|•*]\s")
-#: Words of a sentence above which it isn't believed (lists, text without marks) and cut into pieces of PIECE words, and words
-#: that a sentence counts for at most.
-LONG, PIECE, WEIGHT = 30, 15, 30
+#: Words between two marks above which they are no sentence but text without marks, which is cut into pieces of PIECE words; and
+#: words of a line up to which lines without marks are the items of a list, if there are at least ITEMS of them.
+LONG, PIECE, ITEM, ITEMS = 100, 15, 3, 4
 _VOWELS = {
     "en": re.compile(r"[aeiouyáéíóúäöü]+"),
     "de": re.compile(r"aa|ee|oo|au|äu|eu|ei|ai|ie|[aeiouyäöüéà]"),
@@ -64,6 +64,22 @@ def _grades(words: np.ndarray, letters: np.ndarray, beats: np.ndarray, long3: np
     )
 
 
+def _sentences(text: str) -> list[list[str]]:
+    """Words of each sentence, of each item of a list, or of each piece of a text without marks."""
+    out: list[list[str]] = []
+    for stretch in _BETWEEN.split(text):
+        words = _WORD.findall(stretch)
+        if not words:
+            continue
+        if "\n" in stretch and len(words) > ITEM:
+            lines = [w for line in stretch.split("\n") if (w := _WORD.findall(line))]
+            if len(lines) >= ITEMS and 2 * sum(len(w) <= ITEM for w in lines) > len(lines):
+                out += lines
+                continue
+        out += [words] if len(words) <= LONG else [words[i : i + PIECE] for i in range(0, len(words), PIECE)]
+    return out
+
+
 class _Words(dict):
     def __init__(self, lang: str):
         self.lang = lang
@@ -86,11 +102,9 @@ def grade(text: str | None) -> tuple[str | None, float | None]:
     A sentence's grade is the median of the formulas, a text's the median over its sentences, weighted by their words, so that
     a few sentences of another kind - an address, a price list, a quotation - don't move it.
     """
-    sentences = [w for s in _BETWEEN.split(text.lower()) if (w := _WORD.findall(s))] if text else []
+    sentences = _sentences(text.lower()) if text else []
     if not sentences:
         return None, None
-    if any(len(w) > LONG for w in sentences):
-        sentences = [p for w in sentences for p in ([w[i : i + PIECE] for i in range(0, len(w), PIECE)] if len(w) > LONG else [w])]
     words = list(chain.from_iterable(sentences))
     counts = {lang: sum(map(own.__contains__, words)) for lang, own in _tell.items()}
     lang = max(counts, key=counts.__getitem__)
@@ -99,7 +113,7 @@ def grade(text: str | None) -> tuple[str | None, float | None]:
     sums = np.add.reduceat(each, np.cumsum(sizes) - sizes, axis=0)
     own = np.median(_grades(sizes.astype(float), *sums.T), axis=0)
     order = np.argsort(own, kind="stable")
-    weight = np.cumsum(np.minimum(sizes[order], WEIGHT))
+    weight = np.cumsum(sizes[order])
     return lang, float(own[order[np.searchsorted(weight, weight[-1] / 2)]])
 
 

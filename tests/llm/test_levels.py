@@ -26,3 +26,12 @@ def test_edges(spark, folder):
     assert sorted(i for i, _ in got) == [4, 4, 7] and ("basic" in {v for i, v in got if i == 4})
     assert levels.levels(docs.limit(0), samples).count() == 0
     assert levels.levels(docs, samples.limit(0)).count() == 0
+
+
+def test_long_sentences_count_in_full():
+    grades = [levels.grade(" ".join(["the committee reviewed the garden of a neighbour"] * n) + ".")[1] for n in (2, 3, 4, 5, 8, 12)]  # up to 96 words
+    assert grades == sorted(set(grades)), grades
+    bare = levels.grade(" ".join(["the committee reviewed the garden of a neighbour"] * 40))[1]  # text without marks
+    assert grades[0] - 1 <= bare <= grades[1], (bare, grades)
+    listed = levels.grade("\n".join(["warm bread", "cold milk", "two apples", "fresh fish"] * 9))[1]
+    assert listed < levels.grade(" ".join(["warm bread", "cold milk", "two apples", "fresh fish"] * 9))[1]
