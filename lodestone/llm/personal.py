@@ -40,6 +40,13 @@ OWN_NUMBER = (
     "id", "id:", "id=", "ausweisnummer", "ausweis", "carte d'identité", "documento", "dni", "iban", "insurance no.", "insurance number", "security number is", "security no.", "versicherungsnummer", "sécurité sociale",
 )
 
+#: Ends of mail hosts, and words after which "at" leads to a site. Fixed values.
+ENDINGS = "com org net edu gov info biz eu uk de fr es it nl be at ch us ca io test example".split()
+SITE_BEFORE = (
+    "look looks looked looking see seen visit visited find found available shop shopping order ordered online us me you it him her them read here is are was were be and or hosted register registered buy bought more details website "
+    "site page pages shown listed posted published published apply book booked download downloaded documentation sold start started only also now free live not work works working arrive arrived out up"
+).split()
+
 _B = r"(?:[ \t ]|[ \t ]?\r?\n[ \t]?|\r)"  # one blank, or a line break within a detail
 _FLAGS = re.IGNORECASE
 _family = rf"(?:[od]['’])?(?:{'|'.join(NAME_STEMS.split())})(?:{'|'.join(NAME_ENDS.split())})"
@@ -50,12 +57,16 @@ _NAME_BEFORE = re.compile(rf"(?<![\w'’-])(?:{_given}{_B}*)(?:{_given}{_B}*)*{_
 _NAME_AFTER = re.compile(rf"(?<![\w'’-]){_surname},{_B}{{0,2}}{_given}(?:{_B}*{_given})*(?![\w'’])", _FLAGS)
 
 _AT = r"(?:@|[(\[{<]\s?at\s?[)\]}>])"
-_spelt = rf"{_B}(?:dot|\(dot\)|\[dot\]){_B}"
+_spelt = rf"(?:{_B}dot{_B}|{_B}?[(\[{{<]\s?dot\s?[)\]}}>]{_B}?)"
 _point = rf"(?:\.|{_spelt})"
 _label = r"[a-z0-9](?:[a-z0-9-]*[a-z0-9])?"
 _EMAIL = re.compile(
     rf"(?<![\w.+@-])[a-z0-9](?:[\w.+%-]*[\w+%-])?(?:{_B}?{_AT}{_B}?{_label}(?:{_point}{_label})*?{_point}[a-z]{{2,}}(?:{_point}[a-z]{{2,}})*|{_B}at{_B}{_label}(?:{_spelt}{_label})*?{_spelt}[a-z]{{2,}}(?:{_spelt}[a-z]{{2,}})*)(?![\w@])", _FLAGS | re.ASCII
 )
+#: A spelt at with real points: what stands before it must not be a word that a site follows.
+_EMAIL_AT = re.compile(
+    rf"(?<![\w.+@'-])(?!(?:{'|'.join(SITE_BEFORE)}){_B})[a-z0-9](?:[\w.+%-]*[\w+%-])?{_B}at{_B}{_label}(?:\.{_label})*\.(?:{'|'.join(ENDINGS)})(?![\w@]|[./-]\w)", _FLAGS | re.ASCII
+)
 
 _H = r"-(?:\r?\n)?"
 _S = rf"(?:{_H}|[  -]|{_B})"
@@ -82,7 +93,8 @@ _ID = re.compile(
 )
 _PLAIN = re.compile(r"\d{8,12}(?![\w]|[./-]\d)")
 _cue = "|".join(sorted((re.escape(c).replace(r"\ ", rf"{_B}+") for c in OWN_NUMBER), key=len, reverse=True))
-_OWN = re.compile(rf"(?:^|(?<=[^\w])){'(?:' + _cue + ')'}{_B}?[:=#]?{_B}{{0,2}}$", _FLAGS)
+_no = rf"(?:{_B}(?:number|no\.?|nr\.?|nummer|n[°º]|num\.?|número|numéro))?"
+_OWN = re.compile(rf"(?:^|(?<=[^\w])){'(?:' + _cue + ')'}{_no}{_B}?[:=#]?{_B}{{0,2}}$", _FLAGS)
 _DIGIT = re.compile(r"(?<![\d])(?<!\d[.,/-])\d")
 
 _town = "|".join(t.replace(" ", f"{_B}+").replace("-", "-?(?:\r?\n)?") for t in TOWNS)
@@ -111,7 +123,7 @@ def _automaton() -> ahocorasick.Automaton:
     for stem in NAME_STEMS.split():
         for end in NAME_ENDS.split():
             made.add_word(stem + end, (len(stem + end), "name"))
-    for mark in ("@", "(at)", "[at]", "{at}", "<at>", "( at )", "[ at ]", " dot "):
+    for mark in ("@", "(at)", "[at]", "{at}", "<at>", "( at )", "[ at ]", " dot ", " at ", "\nat ", " at\n"):
         made.add_word(mark, (len(mark), "email"))
     for word in (*STREETS_BEHIND, *STREETS_BEFORE, "box", "postfach", "apartado"):
         made.add_word(word, (len(word), "street"))
@@ -174,7 +186,7 @@ def spans(text: str | None, lexicon: Lexicon = _common) -> list[tuple[int, int,
             if span:
                 found.append((*span, "name"))
         elif kind == "email":
-            span = _around(_EMAIL, source, start, end, 90)
+            span = _around(_EMAIL, source, start, end, 90) or (low[start:end].strip() == "at" and _around(_EMAIL_AT, source, start, end, 90))
             if span:
                 found.append((*span, "email"))
         else:

@@ -68,3 +68,16 @@ def test_names_and_towns_known_from_other_texts(spark, chunks):
     rows = [(1, "Dear Mr Aoife Brennan,"), (2, "at 4 Elm Road, Leeds LS1 4AP"), (3, "then A. Brennan and Aoife Quirk left 9 Oak Lane, Leeds today, Plan B. The brennan")]
     got = {rows[2][1][r["span_start"] : r["span_end"]] for r in personal.personal_spans(chunks(rows[:2] + [(3, rows[2][1][:-15])])).collect() if r["chunk_id"] == 3}
     assert got == {"A. Brennan", "Aoife Quirk", "9 Oak Lane, Leeds"}
+
+
+SPELT = [
+    ("write to jane[at]mail[dot]org or jo.b(at)mail(dot)org", [("email", "jane[at]mail[dot]org"), ("email", "jo.b(at)mail(dot)org")]),
+    ("jane at mail.org, kim{at}post.inbox{dot}net", [("email", "jane at mail.org"), ("email", "kim{at}post.inbox{dot}net")]),
+    ("Look at mail.org, we met at Harrow.Then", []),
+    ("account number: 9724130264, Passport No. 926307279, tel:+44 20 7946 0985, order number 9724130264", [("id_number", "9724130264"), ("id_number", "926307279"), ("phone", "+44 20 7946 0985")]),
+]
+
+
+@pytest.mark.parametrize("text,want", SPELT)
+def test_spelt_mails_and_labelled_numbers(text, want):
+    assert [(k, text[a:b]) for a, b, k in personal.spans(text)] == want
