@@ -26,6 +26,8 @@ BANDS = 20
 #: Members of a block above which it is split into parts compared pair by pair, members of a part, rows of a tile, ids or bands
 #: up to which they are broadcast, and copies up to which a class of exact copies is given as all its pairs.
 HOT, PART, TILE, BROADCAST, EXPAND = 4096, 2048, 512, 200_000, 64
+#: Tolerance of comparisons with a bound that is a product of floating-point numbers; the compared numbers are whole.
+SLACK = 1e-6
 
 _WORDS = re.compile(r"[^\W_]+")
 
@@ -140,7 +142,7 @@ class _Block:
         """Rows that may be a pair by their sizes and, if the block is one of two parts, are of different parts; a's size is
         the smaller. Levels then differ by one at most, as long as the similarity is above a half."""
         size, part, split = self.rows["size"], self.rows["part"], self.rows["split"]
-        return (size[a] >= self.similarity * size[b]) & (~split[a] | (part[a] != part[b])) & (self.level[b] - self.level[a] <= 1)
+        return (size[a] >= self.similarity * size[b] - SLACK) & (~split[a] | (part[a] != part[b])) & (self.level[b] - self.level[a] <= 1)
 
     def near(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         band, size = self.rows["band"], self.rows["size"]
@@ -156,7 +158,7 @@ class _Block:
             end = start + length
             for at in range(start, end, TILE):
                 rows = np.arange(at, min(at + TILE, end))
-                last = start + int(np.searchsorted(size[start:end], size[rows[-1]] / self.similarity, "right"))
+                last = start + int(np.searchsorted(size[start:end], size[rows[-1]] / self.similarity + SLACK, "right"))
                 for to in range(at, last, TILE):
                     yield from self._tile(rows, np.arange(to, min(to + TILE, last)))
 
@@ -166,7 +168,7 @@ class _Block:
         for level in np.unique(self.level[a]):
             x, y = a[self.level[a] == level], b[self.level[a] == level]
             away = np.bitwise_count(self.sketches(x, level) ^ self.sketches(y, level)).sum(axis=1, dtype=np.int64)
-            near = away <= self.radius * (self.rows["size"][x] + self.rows["size"][y])
+            near = away <= SLACK + self.radius * (self.rows["size"][x] + self.rows["size"][y])
             if near.any():
                 yield x[near], y[near]
 
@@ -180,13 +182,13 @@ class _Block:
             # a sketch of the next level folds to at most as many bits, so counts bound the distance only within a level
             if (self.level[y] == level).all():
                 gap = max(self.bits[x].min() - self.bits[y].max(), self.bits[y].min() - self.bits[x].max())
-                if gap > self.radius * (size[x].max() + size[y].max()):
+                if gap > SLACK + self.radius * (size[x].max() + size[y].max()):
                     continue
             p, q = self.sketches(x, level), self.sketches(y, level)
             away = np.zeros((len(x), len(y)), np.int32)
             for word in range(p.shape[1]):
                 away += np.bitwise_count(p[:, word, None] ^ q[None, :, word])
-            i, j = np.nonzero(away <= self.radius * (size[x][:, None] + size[y][None, :]))
+            i, j = np.nonzero(away <= SLACK + self.radius * (size[x][:, None] + size[y][None, :]))
             i, j = x[i], y[j]
             keep = i < j
             keep[keep] = self._fine(i[keep], j[keep])
@@ -263,7 +265,7 @@ def _finer(reps: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 while len(p) != len(q):
                     p, q = (fold(p[None])[0], q) if len(p) > len(q) else (p, fold(q[None])[0])
-                keep.append(int(np.bitwise_count(p ^ q).sum()) <= radius * n)
+                keep.append(int(np.bitwise_count(p ^ q).sum()) <= SLACK + radius * n)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     pairs = cut(pairs)

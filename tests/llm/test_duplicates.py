@@ -83,3 +83,26 @@ def test_groups_are_components(spark, chunks):
     for a, b in links:
         parent[max(root(a), root(b))] = min(root(a), root(b))
     assert {(r["id"], r["group"]) for r in d.grouped(pairs, members).collect()} == {(i, root(i)) for i, _ in rows}
+
+
+@pytest.mark.parametrize("others", [0, 80])
+def test_blocks_keep_pairs_of_exactly_the_similarity(others):
+    rng = np.random.default_rng(4)
+    kept = 0
+    for _ in range(20):
+        base = np.sort(rng.integers(0, 1 << 63, 10, dtype=np.uint64))
+        sets = [base[:8], base, *[np.sort(rng.integers(0, 1 << 63, 10, dtype=np.uint64)) for _ in range(others)]]
+        raw = [d.sketch(x) for x in sets]
+        ends, n = np.cumsum([0] + [len(r) for r in raw]), len(sets)
+        rows = {"id": np.arange(n), "size": np.array([len(x) for x in sets]), "band": np.zeros(n, int), "part": np.zeros(n, int), "split": np.zeros(n, bool), "raw": np.frombuffer(b"".join(raw), np.uint8), "from": ends[:-1]}
+        kept += (0, 1) in {(int(i), int(j)) for a, b in d._Block(rows, 0.8).near() for i, j in zip(a, b)}
+    assert kept == 20
+
+
+def test_exactly_the_default_similarity(spark, chunks):
+    rows = []
+    for k in range(15):
+        words = [f"t{k}w{i}" for i in range(10)]
+        rows += [(2 * k + 1, " ".join(words)), (2 * k + 2, " ".join(words[:8]))]
+    pairs, _ = d.similar(chunks(rows), width=1, similarity=0.8)
+    assert {(r["a"], r["b"]) for r in pairs.collect()} == by_hand(rows, 1, 0.8, 0)
