@@ -389,14 +389,22 @@ def _paragraphs(stream: str, fixes: list[tuple[int, int, str]], ends: list[int])
             cost += -1.5 if re.match(r"(?:[*•-]|\d{1,2}[.)]) ", bare) else 0.0
         rows.append((bare, cost))
         blank = False
-    best, back = [0.0], [0]
+    # in hundredths, so that sums are exact; ``passed``: cost of the wanted borders before a line that aren't taken
+    costs = [round(100 * cost) for _, cost in rows]
+    passed = [0]
+    for cost in costs:
+        passed.append(passed[-1] + max(0, -cost))
+    best, back = [0], [0]
+    least: tuple[int, int] | None = None  # over all beginnings three lines back or more, without what is passed
     for j in range(1, len(rows) + 1):
-        options = []
-        for i in range(max(0, j - 60), j):
-            size = sum(len(rows[k][0]) for k in range(i, min(j, i + 3)))
-            options.append((best[i] + (rows[i][1] if i else 0.0) + (0.4 if size < 40 else 0.0) + sum(max(0.0, -rows[k][1]) for k in range(i + 1, j)), i))
+        options = [] if least is None else [least]
+        for i in range(max(0, j - 3), j):
+            size = sum(len(rows[k][0]) for k in range(i, j))
+            options.append((best[i] + (costs[i] if i else 0) + (40 if size < 40 else 0) - passed[i + 1], i))
+        if j > 2:
+            least = min(options[0], options[1]) if least is not None else options[0]
         cost, i = min(options)
-        best.append(cost)
+        best.append(cost + passed[j])
         back.append(i)
     out, j = [], len(rows)
     while j:

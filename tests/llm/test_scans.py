@@ -65,3 +65,8 @@ def test_joint_reading_of_blanks_and_damage():
     for text, want, places in cases:
         noises, repaired = scans.examine(text, words)
         assert repaired == want and [text[p : p + len(w)] for (p, _), w in zip(noises, places, strict=True)] == places, (text, noises, repaired)
+
+
+def test_paragraphs_of_many_lines_stay_whole():
+    text = "\n".join(["the committee reviewed a long budget of the"] * 150)
+    assert "\n\n" not in scans.examine(text, scans.Reader(WORDS))[1]
