@@ -41,8 +41,8 @@ def split_oversized(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLA
     ``limit - overlap`` characters that no piece had before, ending at the strongest boundary within reach - blank line,
     sentence or line end, whitespace, any character - and the piece begins ``overlap`` characters (or as many as there are)
     before them. Pieces are exact substrings: joined without their lookback they are the chunk's whole text, and
-    ``char_start``/``char_end`` point to their place in the document (null if the chunk's are). A boundary counts as within
-    reach in the second half of a piece for paragraphs and sentences, so pieces don't become tiny. Null texts and texts
+    ``char_start``/``char_end`` point to their place in the document (null if the chunk's are). Paragraph and
+    sentence ends in the second half of a piece go first, so pieces don't become tiny; then those in the first half. Null texts and texts
     within the limit give no pieces; rows repeated under one ``chunk_id`` count once.
     """
     if not 0 <= overlap < limit:
@@ -55,6 +55,8 @@ def split_oversized(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLA
             rf".{{1,{fresh}}}\z",
             rf".{{{half},{fresh}}}(?<={_EOL}(?:[ \t]{{0,9}}){_EOL})",
             rf".{{{half},{fresh}}}(?:(?<={_EOL})|(?<=[.!?])(?={_GAP}))",
+            rf".{{1,{half}}}(?<={_EOL}(?:[ \t]{{0,9}}){_EOL})",
+            rf".{{1,{half}}}(?:(?<={_EOL})|(?<=[.!?])(?={_GAP}))",
             rf".{{1,{fresh}}}(?={_GAP})",
             rf".{{1,{fresh}}}",
         ]

@@ -53,3 +53,9 @@ def test_edges(spark, chunks):
     assert pieces.split_oversized(chunks([]), LIMIT, 5).count() == 0
 
 
+
+
+def test_sentence_ends_in_the_first_half_go_before_words(spark, chunks):
+    text = "One two three. " + "four five six seven eight nine ten el." + " Twelve"
+    rows = sorted(pieces.split_oversized(chunks([(1, text)]), LIMIT, 0).collect(), key=lambda r: r["piece"])
+    assert [r["text"].strip() for r in rows] == ["One two three.", "four five six seven eight nine ten el.", "Twelve"]
