@@ -6,6 +6,7 @@ import argparse
 import json
 import os
 import sys
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,8 +33,9 @@ def _one(store: Store, text: str, name: str = "text", key: str = "qid") -> DataF
     return store.spark.createDataFrame([(1, text)], f"{key} long, {name} string")
 
 
-def _rows(df: DataFrame, most: int = 1000) -> list[dict]:
-    return [r.asDict(recursive=True) for r in df.limit(most).collect()]  # what a shell shows
+def _rows(df: DataFrame) -> Iterator[dict]:
+    """All rows, fetched part by part as they are printed."""
+    return (r.asDict(recursive=True) for r in df.toLocalIterator())
 
 
 def status(store: Store, *_) -> dict:
@@ -44,14 +46,14 @@ def status(store: Store, *_) -> dict:
     }
 
 
-def ask(store: Store, args, model: Model, settings: Settings) -> list[dict]:
+def ask(store: Store, args, model: Model, settings: Settings) -> Iterator[dict]:
     asked, chunks, docs = _one(store, args.question, "question"), store.table("chunks"), store.table("documents")
     if args.plain:
         return _rows(answer.answer_single(asked, chunks, docs, model, settings, vectors=chunks.select("chunk_id", "embedding")))
     return _rows(answer.answer_in_parts(asked, chunks, docs, model, settings, store.table("facts")))
 
 
-def summarize(store: Store, args, model: Model, settings: Settings) -> list[dict]:
+def summarize(store: Store, args, model: Model, settings: Settings) -> Iterator[dict]:
     if all(x.isdigit() for x in args.what):
         ids = [int(x) for x in args.what]
         texts = reconstruct(store.table("chunks").where(F.col("doc_id").isin(ids)))
@@ -60,7 +62,7 @@ def summarize(store: Store, args, model: Model, settings: Settings) -> list[dict
     return _rows(answer.summarize(_one(store, read_text(args.what[0]), key="doc_id"), args.mode, model, limit_tokens=settings.direct_summary_tokens))
 
 
-def find_details(store: Store, args, model: Model, *_) -> list[dict]:
+def find_details(store: Store, args, model: Model, *_) -> Iterator[dict]:
     text = _one(store, read_text(args.text), key="chunk_id")
     found = details.scan(text)
     if args.model:
@@ -70,12 +72,12 @@ def find_details(store: Store, args, model: Model, *_) -> list[dict]:
     return _rows(details.merge_spans(found.withColumn("seq", F.row_number().over(order))).drop("chunk_id", "seq"))
 
 
-def actions(store: Store, args, model: Model, *_) -> list[dict]:
+def actions(store: Store, args, model: Model, *_) -> Iterator[dict]:
     said = answer.ask(_one(store, read_text(args.text), "prompt"), model, "LIST the action items that the text states, as JSON.", as_json=True)
     return _rows(details.actions(said).drop("qid"))
 
 
-def remind(store: Store, args, *_) -> list[dict]:
+def remind(store: Store, args, *_) -> Iterator[dict]:
     parsed = reminders.parse(_one(store, args.text).withColumn("now", F.date_trunc("second", F.current_timestamp()).cast("timestamp_ntz")))
     row = parsed.first()
     if row["error"]:
@@ -85,20 +87,20 @@ def remind(store: Store, args, *_) -> list[dict]:
     return [{"title": row["title"], "due_at": row["due_at"]}]
 
 
-def list_reminders(store: Store, args, *_) -> list[dict]:
+def list_reminders(store: Store, args, *_) -> Iterator[dict]:
     if args.done is not None:
         change = store.spark.createDataFrame([(args.done, "done")], "reminder_id long, status string")
         store.commit({"reminders": reminders.set_status(store.table("reminders"), change)})
     return _rows(reminders.open_reminders(store.table("reminders")))
 
 
-def documents(store: Store, *_) -> list[dict]:
+def documents(store: Store, *_) -> Iterator[dict]:
     counts = store.table("chunks").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     known = access.resolve(store.table("documents"), store.table("folder_permissions"))
     return _rows(known.join(counts, "doc_id", "left").select("doc_id", "filename", "path", "status", "access_level", F.coalesce("n", F.lit(0)).alias("chunk_count")).orderBy("filename"))
 
 
-def folders(store: Store, args, *_) -> list[dict]:
+def folders(store: Store, args, *_) -> Iterator[dict]:
     if args.set:
         path, level = args.set
         change = store.spark.createDataFrame([(os.path.abspath(path), level)], "path string, access_level string").withColumn("changed_at", F.current_timestamp().cast("timestamp_ntz"))
@@ -157,10 +159,11 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName("lodestone").getOrCreate()
     try:
         made = given.run(Store(spark, os.path.abspath(settings.data_dir)), given, build_model(given.model_kind), settings)
+        for row in [made] if isinstance(made, dict) else made:
+            print(json.dumps(row, default=str, ensure_ascii=False))
     except (ValueError, KeyError, PermissionError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
-    print(json.dumps(made, default=str, indent=1, ensure_ascii=False))
     return 0
 
 

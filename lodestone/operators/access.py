@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources.tables import numbered
+
 LEVELS = ("readonly", "edit", "no_access")
 DEFAULT = "edit"
 #: Folders up to which the rule table is broadcast.
@@ -69,14 +71,25 @@ def set_levels(folders: DataFrame, changes: DataFrame) -> DataFrame:
     latest = changes.groupBy("path").agg(F.max_by("access_level", "changed_at").alias("new_level"), F.max("changed_at").alias("changed_at"), F.min("changed_at").alias("first_at"))
     known = folders.join(latest, "path", "left").select("folder_id", "path", F.coalesce("new_level", "access_level").alias("access_level"), "created_at", F.coalesce("changed_at", "updated_at").alias("updated_at"))
     top = folders.agg(F.coalesce(F.max("folder_id"), F.lit(0))).first()[0]
-    fresh = latest.join(folders, "path", "left_anti")
-    number = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("path")) + F.lit(top)  # as many rows as folders are new
-    return known.unionByName(fresh.select(number.cast("long").alias("folder_id"), "path", F.col("new_level").alias("access_level"), F.col("first_at").alias("created_at"), F.col("changed_at").alias("updated_at")))
+    fresh = latest.join(folders, "path", "left_anti").select("path", F.col("new_level").alias("access_level"), F.col("first_at").alias("created_at"), F.col("changed_at").alias("updated_at"))
+    return known.unionByName(numbered(fresh, ["path"], top, "folder_id").select(known.columns))
 
 
-def remove_folder(folders: DataFrame, folder_id: int) -> DataFrame:
-    if not folders.where(F.col("folder_id") == folder_id).limit(1).count():
+def get_folder(folders: DataFrame, folder_id: int) -> dict:
+    """The row of a folder; an unknown id is an error."""
+    row = folders.where(F.col("folder_id") == folder_id).first()
+    if row is None:
         raise KeyError(f"no folder {folder_id}")
+    return row.asDict()
+
+
+def listed(folders: DataFrame) -> DataFrame:
+    """All folders by path."""
+    return folders.orderBy("path")
+
+
+def remove_folder(folders: DataFrame, folder_id: int) -> DataFrame:
+    get_folder(folders, folder_id)
     return folders.where(F.col("folder_id") != folder_id)
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,51 +15,59 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import CHARS_PER_TOKEN
 from lodestone.sources.tables import spread
 
-_GAP = re.compile(r"\n\s*\n")
-#: A sentence has a beginning that is no mark, then its marks, a line end or the end of the text, and the blanks behind them.
-_SENTENCE = re.compile(r"[^.!?\n]+(?:[.!?]+|\n|$)\s*")
+#: What parts paragraphs, and what ends a sentence with the blanks behind it. Fixed values.
+_BLANK_LINES = re.compile(r"\n\s*\n")
+_STOPS = re.compile(r"(?:[.!?]+|\n)\s*")
 
 
-def segments(text: str, most: int) -> Iterator[tuple[int, int]]:
-    """Sentences within paragraphs, none longer than ``most`` characters."""
-    at = 0
-    for m in [*_GAP.finditer(text), None]:
-        low, high = at, m.start() if m else len(text)
-        at = m.end() if m else at
-        if not text[low:high].strip():
+def segments(text: str, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the sentences within paragraphs; longer ones in windows of ``most`` characters.
+
+    A sentence reaches to the end of the blanks behind its marks or line end; marks without a sentence before them are left
+    out, a paragraph of nothing but marks is one segment, a blank one none.
+    """
+    edges = [0, *chain.from_iterable(m.span() for m in _BLANK_LINES.finditer(text)), len(text)]
+    starts: list[int] = []
+    ends: list[int] = []
+    for low, high in zip(edges[::2], edges[1::2], strict=True):
+        stops = np.array([*(m.span() for m in _STOPS.finditer(text, low, high)), (high, high)])
+        heads = np.r_[low, stops[:-1, 1]]
+        whole = stops[:, 0] > heads
+        if whole.any():
+            heads, tails = heads[whole], stops[whole, 1]
+        elif text[low:high].strip():
+            heads, tails = np.array([low]), np.array([high])
+        else:
             continue
-        spans = [s.span() for s in _SENTENCE.finditer(text, low, high)] or [(low, high)]
-        for start, end in spans:
-            if end - start <= most:
-                yield start, end
-            else:
-                for cut in range(start, end, most):
-                    yield cut, min(cut + most, end)
+        for head, tail in zip(heads.tolist(), tails.tolist(), strict=True):
+            windows = range(head, tail, most)
+            starts += windows
+            ends += [*windows[1:], tail]
+    return np.array(starts, np.int64), np.array(ends, np.int64)
 
 
 def chunk_spans(text: str | None, target_tokens: int = 400, overlap: float = 0.15) -> list[tuple[int, int]]:
     """Spans of the chunks of ``text``: as many whole segments as fit into the target, each chunk beginning with those last
-    segments of the one before that fit into the overlap, but at least one segment further on. Outer blanks are cut off."""
+    segments of the one before that fit into the overlap, but at least one segment further on. Outer blanks are cut off.
+
+    Where a chunk that begins with some segment ends, and where the next one begins, is looked up for all segments at once;
+    the chunks are then the chain from the first.
+    """
     most = target_tokens * CHARS_PER_TOKEN
-    back = int(most * overlap)
-    parts = list(segments(text, most)) if text else []
-    starts = [s for s, _ in parts]
-    out, first = [], 0
-    while first < len(parts):
-        last = first
-        while last + 1 < len(parts) and parts[last + 1][1] - starts[first] <= most:
-            last += 1
-        body = text[starts[first] : parts[last][1]]
-        inner = body.strip()
-        if inner:
-            start = starts[first] + len(body) - len(body.lstrip())
-            out.append((start, start + len(inner)))
-        if last + 1 == len(parts):
-            break
-        onward = last + 1
-        while onward - 1 > first and parts[last][1] - starts[onward - 1] <= back:
-            onward -= 1
-        first = onward
+    starts, ends = segments(text, most) if text else (np.empty(0, np.int64), np.empty(0, np.int64))
+    if not len(starts):
+        return []
+    own = np.arange(len(starts))
+    last = np.maximum(own, np.searchsorted(ends, starts + most, "right") - 1)
+    onward = np.clip(np.searchsorted(starts, ends[last] - int(most * overlap), "left"), own + 1, last + 1)
+    out, at = [], 0
+    while at < len(own):
+        body = text[starts[at] : ends[last[at]]]
+        size = len(body.strip())
+        if size:
+            start = int(starts[at]) + len(body) - len(body.lstrip())
+            out.append((start, start + size))
+        at = int(onward[at]) if last[at] + 1 < len(own) else len(own)
     return out
 
 
@@ -122,11 +132,10 @@ def fresh_parts(chunks: DataFrame) -> DataFrame:
 
 
 def reconstruct(chunks: DataFrame, most_chars: int = 50_000_000) -> DataFrame:
-    """``doc_id, text`` from the chunks; gaps become a blank line. Documents beyond ``most_chars`` don't fit into one value:
-    they have a null text, and ``fresh_parts`` has their parts."""
-    parts = fresh_parts(chunks)
-    sizes = parts.groupBy("doc_id").agg(F.sum(F.length("fresh") + 2).alias("n"))
-    fits = sizes.where(F.col("n") <= most_chars)
-    rows = parts.join(fits.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("fresh_start", "chunk_id", "gap", "fresh"))).alias("parts"))
+    """``doc_id, part, text`` from the chunks; gaps become a blank line. A document whose end lies below ``most_chars`` is one
+    row, part 0; a longer one, which no single value or task should hold, has a row for each stretch of so many characters,
+    and its text is the parts joined in order."""
+    rows = fresh_parts(chunks).withColumn("part", F.floor(F.col("fresh_start") / most_chars)).groupBy("doc_id", "part")
+    parts = rows.agg(F.sort_array(F.collect_list(F.struct("fresh_start", "chunk_id", "gap", "fresh"))).alias("parts"))
     text = F.array_join(F.transform("parts", lambda p: F.concat(F.when(p["gap"], "\n\n").otherwise(""), p["fresh"])), "")
-    return rows.select("doc_id", text.alias("text")).unionByName(sizes.where(F.col("n") > most_chars).select("doc_id", F.lit(None).cast("string").alias("text")))
+    return parts.select("doc_id", "part", text.alias("text"))

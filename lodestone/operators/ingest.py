@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.access import ancestors, resolve, under
+from lodestone.sources.tables import numbered
 
 SUPPORTED = (".md", ".txt", ".pdf", ".docx")
 
@@ -65,16 +66,8 @@ def merge_documents(known: DataFrame, fresh: DataFrame) -> DataFrame:
     kept = known.join(fresh.select("path"), "path", "left_anti")
     again = fresh.select("path", *rest).join(known.select("path", "doc_id"), "path")
     new = fresh.select("path", *rest).join(known.select("path"), "path", "left_anti")
-    # numbers without one task for all rows: ranges of paths first, then places within them
-    ranged = new.repartitionByRange("path").sortWithinPartitions("path").withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
-    sizes = {r["_part"]: r["n"] for r in ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a partition
-    offset, at = {}, top + 1
-    for part in sorted(sizes):
-        offset[part], at = at, at + sizes[part]
-    base = F.coalesce(*[F.when(F.col("_part") == p, F.lit(o)) for p, o in offset.items()], F.lit(top + 1))
-    numbered = ranged.withColumn("doc_id", F.col("_at") + base).drop("_part", "_at")
     cols = known.columns
-    return kept.select(cols).unionByName(again.select(cols)).unionByName(numbered.select(cols))
+    return kept.select(cols).unionByName(again.select(cols)).unionByName(numbered(new, ["path"], top, "doc_id").select(cols))
 
 
 def refresh_stats(known: DataFrame, listing: DataFrame, actions: DataFrame) -> DataFrame:
@@ -91,11 +84,16 @@ def record_failures(known: DataFrame, failures: DataFrame) -> DataFrame:
     return made.withColumn("error", F.coalesce("_error", "error")).select(known.columns)
 
 
+def number_chunks(fresh: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``fresh`` with ids after the highest of ``chunks``, in order of document and place."""
+    top = chunks.agg(F.coalesce(F.max("chunk_id"), F.lit(0))).first()[0]
+    return numbered(fresh, ["doc_id", "chunk_idx"], top, "chunk_id")
+
+
 def replace_chunks(chunks: DataFrame, fresh: DataFrame) -> DataFrame:
-    """``chunks`` without those of the documents in ``fresh``, plus the rows of ``fresh``. Ids are made of document and place."""
+    """``chunks`` without those of the documents in ``fresh``, plus the rows of ``fresh`` under new ids."""
     kept = chunks.join(fresh.select("doc_id").distinct(), "doc_id", "left_anti")
-    made = fresh.withColumn("chunk_id", F.col("doc_id") * 1_000_000 + F.col("chunk_idx"))
-    return kept.select(chunks.columns).unionByName(made.select(chunks.columns), allowMissingColumns=True)
+    return kept.select(chunks.columns).unionByName(number_chunks(fresh, chunks).select(chunks.columns))
 
 
 def cascade(chunks: DataFrame, gone: DataFrame) -> DataFrame:

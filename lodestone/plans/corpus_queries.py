@@ -73,11 +73,11 @@ def reconstruct_parts(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     f"""WITH {CH}, r AS (SELECT *, coalesce(max(char_end) OVER (PARTITION BY doc_id ORDER BY char_start, chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS e,
    row_number() OVER (PARTITION BY doc_id ORDER BY char_start, chunk_id) AS k FROM ch WHERE char_start IS NOT NULL AND char_end IS NOT NULL AND text IS NOT NULL)
- SELECT doc_id, md5(string_agg(CASE WHEN k > 1 AND char_start > e THEN chr(10) || chr(10) ELSE '' END || substr(text, (greatest(char_start, e) - char_start + 1)::BIGINT), '' ORDER BY char_start, chunk_id)) AS digest
+ SELECT doc_id, 0::BIGINT AS part, md5(string_agg(CASE WHEN k > 1 AND char_start > e THEN chr(10) || chr(10) ELSE '' END || substr(text, (greatest(char_start, e) - char_start + 1)::BIGINT), '' ORDER BY char_start, chunk_id)) AS digest
  FROM r WHERE char_end > e GROUP BY doc_id"""
 )
 def reconstruct(spark: SparkSession, folder: str) -> DataFrame:
-    return chunking.reconstruct(table(spark, folder, "chunks")).select("doc_id", F.md5("text").alias("digest"))
+    return chunking.reconstruct(table(spark, folder, "chunks")).select("doc_id", "part", F.md5("text").alias("digest"))
 
 
 @query(f"WITH {CH} SELECT d.doc_id, d.filename, d.status, count(chunk_id) AS chunk_count FROM documents d LEFT JOIN ch USING (doc_id) GROUP BY ALL")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import access, ingest
+from lodestone.operators import access, ingest, search
 from lodestone.operators.chunking import chunk_documents
 from lodestone.plans.answer import embed
 from lodestone.plans.model import Model, OfflineModel
@@ -15,18 +15,21 @@ from lodestone.sources.store import Store
 from lodestone.sources.tables import cut
 
 
-def ingest_paths(store: Store, roots: list[str], model: Model | None = None, settings: Settings | None = None, force: bool = False, prune: bool = True) -> dict:
+def ingest_paths(store: Store, roots: list[str], model: Model | None = None, settings: Settings | None = None, force: bool = False, prune: bool = True, opened=None) -> dict:
     """Brings ``store`` up to the files below ``roots`` and returns the report.
 
-    Files that are as known are not read; a file whose parsing fails is recorded and loses its chunks, the others go on;
-    files in folders without access are counted and not read; documents whose files are gone from a scanned folder are
-    removed. A generation is committed only if something changed. All chunks of a store must be embedded by one model:
-    another one is refused.
+    Files that are as known are not opened (``opened``, an accumulator, counts those that are); a file whose parsing fails or
+    that has no text is recorded and loses its chunks, the others go on; files in folders without access are counted and not
+    opened; documents whose files are gone from a scanned folder are removed, those that only aren't listed any more (hidden,
+    blocked) stay. ``force`` reads everything again; each root must then allow editing. A root that doesn't exist is an error.
+    A generation is committed only if something changed, and only buckets of chunks that did are written. All chunks of a
+    store must be embedded by one model: another one is refused.
     """
-    import os
-
     spark: SparkSession = store.spark
     model, s = model or OfflineModel(), settings or Settings()
+    folders = files.folders_of(spark, roots)
+    if force:
+        may_edit(store, roots)
     space = [type(model).__name__, len(model.embed(["dimension"])[0])]
     if (known_space := store.meta("space")) and known_space != space:
         raise ValueError(f"the store was embedded by {known_space}, not by {space}")
@@ -37,7 +40,8 @@ def ingest_paths(store: Store, roots: list[str], model: Model | None = None, set
     first = ingest.classify(readable.withColumn("content_hash", F.lit(None).cast("string")), known, force)
     unread = first.where("action = 'unchanged'").select("path")
     wanted = readable.join(unread, "path", "left_anti")
-    read = cut(files.extract(files.contents(spark, roots, wanted)).join(wanted.select("path", "mtime", "size"), "path"))
+    read = cut(files.extract(wanted, opened).join(wanted.select("path", "mtime", "size"), "path"))
+    read = read.withColumn("error", F.when(F.col("error").isNull() & ~F.coalesce(F.col("text").rlike(r"\S"), F.lit(False)), "no content").otherwise(F.col("error")))
     failed = read.where("error is not null")
     actions = cut(
         ingest.classify(read.where("error is null"), known, force)
@@ -46,9 +50,8 @@ def ingest_paths(store: Store, roots: list[str], model: Model | None = None, set
         .unionByName(shut.select("path", F.lit("blocked").alias("action")))
     )
     gone = documents.select("doc_id", "path").where("false")
-    if prune:
-        folders = [r for r in roots if os.path.isdir(r)]
-        gone = ingest.pruned(documents, listed, folders)
+    if prune and folders:
+        gone = files.missing(ingest.pruned(documents, listed, folders))
     gone = cut(gone)
     counts = ingest.report(actions.unionByName(gone.select("path", F.lit("removed").alias("action")))).first().asDict()
     touched = actions.where("action = 'touched'").limit(1).count() > 0
@@ -64,31 +67,40 @@ def ingest_paths(store: Store, roots: list[str], model: Model | None = None, set
     merged = cut(ingest.merge_documents(kept, row(fresh, "ok", F.lit(None).cast("string")).unionByName(row(failed, "error", F.col("error")))))
     ids = merged.select("path", "doc_id")
     pieces = chunk_documents(fresh.join(ids, "path").select("doc_id", "text", "pages"), s.chunk_target_tokens, s.chunk_overlap_ratio)
-    pieces = cut(pieces.withColumn("chunk_id", F.col("doc_id") * 1_000_000 + F.col("chunk_idx")))
-    made = pieces.join(embed(pieces, "chunk_id", "text", model, model.document_prefix), "chunk_id")
+    pieces = ingest.number_chunks(pieces, chunks)
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda sum_, x: sum_ + x * x))
+    made = cut(pieces.join(embed(pieces, "chunk_id", "text", model, model.document_prefix), "chunk_id").withColumn("norm", norm))
+    index = search.postings(made).join(made.select("chunk_id", "doc_id"), "chunk_id")
     dropped = gone.select("doc_id").unionByName(read.join(actions.where("action in ('added', 'updated', 'failed')"), "path", "left_semi").join(ids, "path").select("doc_id"))
-    left = ingest.cascade(chunks, dropped)
-    generation = store.commit({"documents": merged, "chunks": left.unionByName(made.select(left.columns))}, {"space": space})
+    generation = store.commit({"documents": merged}, {"space": space}, {"chunks": (dropped, made.select(chunks.columns)), "postings": (dropped, index.select(store.table("postings").columns))})
     return counts | {"generation": generation}
 
 
+def may_edit(store: Store, paths: list[str]) -> None:
+    """An error unless every path's folder allows editing."""
+    asked = store.spark.createDataFrame([(files.plain(p),) for p in paths], "path string")
+    locked = [r["path"] for r in access.resolve(asked, store.table("folder_permissions")).where("access_level <> 'edit'").collect()]  # the given paths
+    if locked:
+        raise PermissionError(f"editing isn't allowed: {locked}")
+
+
 def set_access(store: Store, changes: DataFrame) -> int:
     """Sets levels of folders (``path, access_level, changed_at``); folders without access lose their documents at once."""
     folders = access.set_levels(store.table("folder_permissions"), changes)
     shut = changes.where("access_level = 'no_access'").select("path")
-    documents, chunks = store.table("documents"), store.table("chunks")
+    documents = store.table("documents")
     kept = access.purge(documents, shut)
     gone = documents.join(kept.select("doc_id"), "doc_id", "left_anti")
-    return store.commit({"folder_permissions": folders, "documents": kept.select(documents.columns), "chunks": ingest.cascade(chunks, gone)})
+    gone = cut(gone.select("doc_id"))
+    return store.commit({"folder_permissions": folders, "documents": kept.select(documents.columns)}, changes={t: (gone, store.table(t).limit(0)) for t in ("chunks", "postings")})
 
 
 def delete_document(store: Store, doc_id: int) -> int:
     """Removes a document and its chunks; its folder must allow editing."""
     documents = store.table("documents")
-    own = access.resolve(documents.where(F.col("doc_id") == doc_id), store.table("folder_permissions")).first()
+    own = documents.where(F.col("doc_id") == doc_id).first()
     if own is None:
         raise KeyError(f"no document {doc_id}")
-    if own["access_level"] != "edit":
-        raise PermissionError(f"{own['path']} is {own['access_level']}")
+    may_edit(store, [own["path"]])
     gone = documents.where(F.col("doc_id") == doc_id).select("doc_id")
-    return store.commit({"documents": documents.where(F.col("doc_id") != doc_id), "chunks": ingest.cascade(store.table("chunks"), gone)})
+    return store.commit({"documents": documents.where(F.col("doc_id") != doc_id)}, changes={t: (gone, store.table(t).limit(0)) for t in ("chunks", "postings")})

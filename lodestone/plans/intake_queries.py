@@ -127,7 +127,7 @@ def record_failures(spark: SparkSession, folder: str) -> DataFrame:
     return ingest.record_failures(known, bad).select("doc_id", "status", "content_hash", "error")
 
 
-@query(f"WITH {CH} SELECT chunk_id, doc_id, chunk_idx FROM ch WHERE doc_id % 50 <> 0 OR doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT doc_id * 1000000, doc_id, 0 FROM documents WHERE doc_id % 50 = 0")
+@query(f"WITH {CH} SELECT chunk_id, doc_id, chunk_idx FROM ch WHERE doc_id % 50 <> 0 OR doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT m + row_number() OVER (ORDER BY doc_id), doc_id, 0 FROM documents, (SELECT max(chunk_id) AS m FROM ch) WHERE doc_id % 50 = 0")
 def replace_chunks(spark: SparkSession, folder: str) -> DataFrame:
     own = chunks(spark, folder).select("chunk_id", "doc_id", "chunk_idx")
     fresh = table(spark, folder, "documents").where("doc_id % 50 = 0").select("doc_id", F.lit(0).alias("chunk_idx"))

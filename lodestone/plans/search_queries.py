@@ -89,22 +89,22 @@ def cosine_topk(spark: SparkSession, folder: str) -> DataFrame:
     return search.cosine(vectors, vectors.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("qid"), "embedding"))
 
 
-def _buckets(name: str, source: str, key: str, text: str) -> str:
-    hex2 = "(instr('0123456789abcdef', substr(h, 31, 1)) - 1) * 16 + instr('0123456789abcdef', substr(h, 32, 1)) - 1"
-    return rf"""{name}_w AS (SELECT {key} AS id, md5(unnest(regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}_]+'))) AS h FROM {source}),
- {name}_n AS (SELECT id, (({hex2}) % 32)::BIGINT AS bucket, count(*)::DOUBLE AS n FROM {name}_w GROUP BY ALL),
- {name} AS (SELECT id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS v FROM {name}_n)"""
+def _places(name: str, source: str, key: str, text: str) -> str:
+    digit = lambda n: f"(instr('0123456789abcdef', substr(h, {n}, 1)) - 1)"
+    return rf"""{name}_w AS (SELECT {key} AS id, sha256(unnest(regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}_]+'))) AS h FROM {source}),
+ {name}_n AS (SELECT id, (({digit(1)} * 4096 + {digit(2)} * 256 + {digit(3)} * 16 + {digit(4)}) % 48)::BIGINT AS place, sum(CASE WHEN {digit(5)} < 8 THEN 1.0 ELSE -1.0 END)::DOUBLE AS n FROM {name}_w GROUP BY ALL),
+ {name} AS (SELECT id, place, n / nullif(sqrt(sum(n * n) OVER (PARTITION BY id)), 0) AS v FROM {name}_n)"""
 
 
-@query(f"WITH {CH}, {_buckets('e', 'ch', 'chunk_id', 'text')} SELECT id AS chunk_id, bucket, round(v, 6) AS weight FROM e")
+@query(f"WITH {CH}, {_places('e', 'ch', 'chunk_id', 'text')} SELECT id AS chunk_id, place, round(v, 6) AS weight FROM e WHERE v <> 0")
 def hash_embedding(spark: SparkSession, folder: str) -> DataFrame:
     made = search.hash_embedding(chunks(spark, folder), "chunk_id", "text")
-    return made.select("chunk_id", F.posexplode("embedding").alias("bucket", "weight")).where("weight > 0").select("chunk_id", F.col("bucket").cast("long").alias("bucket"), F.round("weight", 6).alias("weight"))
+    return made.select("chunk_id", F.posexplode("embedding").alias("place", "weight")).where("weight <> 0").select("chunk_id", F.col("place").cast("long").alias("place"), F.round("weight", 6).alias("weight"))
 
 
-_hybrid = rf"""{bm25_ctes("qs")}, {_buckets("e", "ch", "chunk_id", "text")}, {_buckets("f", "qs", "qid", "question")},
+_hybrid = rf"""{bm25_ctes("qs")}, {_places("e", "ch", "chunk_id", "text")}, {_places("f", "qs", "qid", "question")},
  vec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM (
-   SELECT f.id AS qid, e.id AS chunk_id, round(sum(e.v * f.v), 6) AS score FROM f JOIN e USING (bucket) GROUP BY ALL)) WHERE rank <= 8),
+   SELECT f.id AS qid, e.id AS chunk_id, round(sum(e.v * f.v), 6) AS score FROM f JOIN e USING (place) GROUP BY ALL)) WHERE rank <= 8),
  fused AS (SELECT qid, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(first) AS first FROM (
    SELECT qid, chunk_id, rank, rank AS first FROM vec UNION ALL SELECT qid, chunk_id, rank, 1000 + rank FROM kw) GROUP BY ALL),
  fz AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, first) AS rank FROM fused) WHERE rank <= 8)"""

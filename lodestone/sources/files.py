@@ -1,9 +1,9 @@
-"""Files of a folder as a table: listing without reading, and text with page offsets."""
+"""Files of a folder as a table: listing without reading, and text with page offsets of the files that are wanted."""
 
 from __future__ import annotations
 
+import hashlib
 import io
-import os
 import re
 import zipfile
 from collections.abc import Iterator
@@ -14,32 +14,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators.ingest import supported, visible
+from lodestone.sources.tables import spread
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 BETWEEN_PAGES = "\n\n"
 
 
+def _status(spark: SparkSession, root: str):
+    """Hadoop's status of ``root``; a missing one is an error."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        raise FileNotFoundError(root)
+    return fs.getFileStatus(at)
+
+
+def folders_of(spark: SparkSession, roots: list[str]) -> list[str]:
+    """Those of ``roots`` that are folders, as their paths are listed."""
+    found = [_status(spark, root) for root in roots]
+    return [plain(s.getPath().toString()) for s in found if s.isDirectory()]
+
+
+def plain(path: str) -> str:
+    """A local path without its scheme; others as they are."""
+    return re.sub(r"^file:/+", "/", path)
+
+
 def listing(spark: SparkSession, roots: list[str]) -> DataFrame:
     """``path, mtime, size`` of the supported files of folders (at any depth, without names that begin with a dot below the
-    folder) and single files. Contents aren't read. A file below two roots is listed once."""
+    folder) and single files, of any Hadoop file system. Contents aren't read. A file below two roots is listed once, a
+    root that doesn't exist is an error."""
     made = None
     for root in roots:
+        status = _status(spark, root)
         own = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
         path = F.regexp_replace("path", "^file:/+", "/")
         rows = own.select(path.alias("path"), (F.unix_micros("modificationTime") / 1e6).alias("mtime"), F.col("length").alias("size")).where(supported(F.col("path")))
-        if os.path.isdir(root):
-            rows = rows.where(visible(F.col("path"), root))
+        if status.isDirectory():
+            rows = rows.where(visible(F.col("path"), plain(status.getPath().toString())))
         made = rows if made is None else made.unionByName(rows)
     return made.dropDuplicates(["path"])
 
 
-def contents(spark: SparkSession, roots: list[str], wanted: DataFrame) -> DataFrame:
-    """``path, content`` of the ``wanted`` paths."""
-    made = None
-    for root in roots:
-        own = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
-        made = own if made is None else made.unionByName(own)
-    return made.join(wanted.select("path").distinct(), "path", "left_semi").dropDuplicates(["path"])
+def read_bytes(path: str) -> bytes:
+    """The content of one file, local or of a scheme that Arrow's file systems know."""
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    with system.open_input_stream(at) as f:
+        return f.read()
 
 
 def read_docx(data: bytes) -> str:
@@ -90,15 +113,54 @@ def extract_one(path: str, data: bytes | None) -> tuple[str | None, list[tuple[i
         return None, [], f"{type(e).__name__}: {e}"[:500]
 
 
-def extract(files: DataFrame) -> DataFrame:
-    """``path, content_hash, text, pages, error`` of ``path, content``."""
-    kind = pa.list_(pa.struct([("page", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())]))
+def missing(files: DataFrame) -> DataFrame:
+    """The rows of ``files`` (with ``path``) whose file exists no more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
         for batch in batches:
-            made = [extract_one(p, d) for p, d in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            pages = pa.array([[{"page": n, "start": s, "stop": e} for n, s, e in m[1]] for m in made], kind)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([m[0] for m in made], pa.string()), pages, pa.array([m[2] for m in made], pa.string())], ["path", "content_hash", "text", "pages", "error"])
+            gone = []
+            for path in batch.column(batch.schema.get_field_index("path")).to_pylist():
+                system, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+                gone.append(system.get_file_info(at).type == fs.FileType.NotFound)
+            yield batch.filter(pa.array(gone, pa.bool_()))
+
+    return files.mapInArrow(run, files.schema)
+
+
+#: Characters of text that a task holds before it hands them on.
+HELD = 1 << 24
+
 
-    rows = files.select("path", F.sha2("content", 256).alias("content_hash"), "content")
-    return rows.mapInArrow(run, "path string, content_hash string, text string, pages array<struct<page:int,start:int,stop:int>>, error string")
+def extract(wanted: DataFrame, opened=None) -> DataFrame:
+    """``path, content_hash, text, pages, error`` of the files ``path``, which tasks open one after another; no other file is
+    opened. A file that can't be read or parsed has an error and no text. ``opened``: an accumulator of files opened."""
+    kind = pa.list_(pa.struct([("page", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())]))
+    names = ["path", "content_hash", "text", "pages", "error"]
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        pages = pa.array([[{"page": n, "start": s, "stop": e} for n, s, e in r[3]] for r in rows], kind)
+        columns = [pages if i == 3 else pa.array([r[i] for r in rows], pa.string()) for i in range(5)]
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                if opened is not None:
+                    opened.add(1)
+                try:
+                    data = read_bytes(path)
+                except Exception as e:  # noqa: BLE001 - a file may be gone or locked by now
+                    rows.append((path, None, None, [], f"{type(e).__name__}: {e}"[:500]))
+                    continue
+                rows.append((path, hashlib.sha256(data).hexdigest(), *extract_one(path, data)))
+                held += len(rows[-1][2] or "")
+                if held > HELD:
+                    yield packed(rows)
+                    rows, held = [], 0
+        yield packed(rows)
+
+    source = spread(wanted.select("path").distinct(), 4)
+    return source.mapInArrow(run, "path string, content_hash string, text string, pages array<struct<page:int,start:int,stop:int>>, error string")

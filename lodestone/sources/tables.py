@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,9 +21,30 @@ def spread(df: DataFrame, per_core: int = 1) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the cluster's shared checkpoint folder, so later stages neither recompute it nor lose it.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where none is set, as in tests, a temporary one is used.
+    The folder is the session's ``spark.checkpoint.dir``. Where none is set a temporary one serves a local session; on a
+    cluster, whose executors share no such folder, that is an error.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodestone-"))
+        folder = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lodestone-"))
     return df.checkpoint(eager=True)
+
+
+def numbered(df: DataFrame, order: list[str], after: int, name: str) -> DataFrame:
+    """``df`` with the column ``name``: the numbers after ``after`` in the given order, without gaps and each once.
+
+    Ranges of rows are numbered on their own and moved up by the sizes of the ranges before, so no task sees all rows. The
+    ranges are written first: their bounds come from a sample, and would differ if they were computed again.
+    """
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_range"), within.alias("_at")))
+    sizes = {r["_range"]: r["n"] for r in ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a partition
+    offsets, at = [], after + 1
+    for part in sorted(sizes):
+        offsets.append((part, at))
+        at += sizes[part]
+    starts = df.sparkSession.createDataFrame(offsets, "_range int, _from long")
+    return ranged.join(F.broadcast(starts), "_range").withColumn(name, F.col("_at") + F.col("_from")).drop("_range", "_at", "_from")

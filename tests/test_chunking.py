@@ -1,4 +1,5 @@
 import random
+import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -35,6 +36,40 @@ def test_invariants(text, target):
         assert spans
 
 
+def plain_spans(text, target, overlap):
+    """The definition step by step: sentences one after another, each chunk filled and stepped back segment by segment."""
+    most, parts = target * 4, []
+    for para in re.finditer(r"(?:(?!\n\s*\n)[\s\S])+", text):
+        at = para.start()
+        found = False
+        for m in re.finditer(r"([\s\S]*?)((?:[.!?]+|\n)\s*|\Z)", para.group()):
+            if m[1]:
+                found = True
+                parts += [(x, min(x + most, at + m.end())) for x in range(at + m.start(), at + m.end(), most)]
+        if not found and para.group().strip():
+            parts += [(x, min(x + most, para.end())) for x in range(at, para.end(), most)]
+    out, i = [], 0
+    while i < len(parts):
+        inside = [p for p in parts[i:] if p[1] <= parts[i][0] + most] or [parts[i]]
+        body = text[parts[i][0] : inside[-1][1]]
+        if body.strip():
+            start = parts[i][0] + len(body) - len(body.lstrip())
+            out.append((start, start + len(body.strip())))
+        after = i + len(inside)
+        if after == len(parts):
+            break
+        again = [p for p in parts[i + 1 : after] if inside[-1][1] - p[0] <= int(most * overlap)]
+        i = after - len(again)
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from("abc .!?\n\té"), max_size=300), st.integers(2, 20), st.sampled_from([0.0, 0.15, 0.5]))
+def test_spans_equal_the_plain_loop(text, target, overlap):
+    text = re.sub(r"\A\n+|(?<=\n)\n[\n\t ]*(?=\n)", "", text)
+    assert chunking.chunk_spans(text, target, overlap) == plain_spans(text, target, overlap)
+
+
 def test_pages():
     pages = [(1, 0), (2, 102), (3, 202)]
     assert [chunking.page_at(pages, x) for x in (0, 101, 102, 500)] == [1, 1, 2, 3]
@@ -65,4 +100,6 @@ def test_reconstruction_equals_the_loop(spark, monkeypatch):
     rows += [rows[0], (9999, 77, None, 0, 5), (9998, 78, "x", None, None)]
     df = spark.createDataFrame(rows, "chunk_id long, doc_id long, text string, char_start int, char_end int")
     assert {r["doc_id"]: r["text"] for r in chunking.reconstruct(df).collect()} == want
-    assert {r["text"] for r in chunking.reconstruct(df, most_chars=1).collect()} == {None}
+    parts = sorted(tuple(r) for r in chunking.reconstruct(df, most_chars=30).collect())
+    assert max(r[1] for r in parts) > 2
+    assert {doc: "".join(r[2] for r in parts if r[0] == doc) for doc in want} == want

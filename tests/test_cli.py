@@ -12,7 +12,8 @@ def run(spark, tmp_path, monkeypatch, capsys):
     def call(*args, code=0):
         assert cli.main(list(args), spark) == code
         out = capsys.readouterr().out
-        return json.loads(out) if out else None
+        rows = [json.loads(line) for line in out.splitlines()]
+        return rows[0] if args[0] in ("status", "ingest") else rows if code == 0 else None
 
     return call
 

@@ -6,7 +6,7 @@ import pytest
 from lodestone.operators import access, ingest
 from lodestone.plans import intake
 from lodestone.plans.answer import answer_in_parts, answer_single, split_questions, sub_queries, summarize, summarize_together, verdicts
-from lodestone.plans.model import Composite, ModelError, OfflineModel, Unavailable, build_model
+from lodestone.plans.model import WIDTH, Composite, ModelError, OfflineModel, Unavailable, build_model
 from lodestone.settings import Settings
 from lodestone.sources import files
 from lodestone.sources.store import Store
@@ -42,7 +42,7 @@ def test_ingest_again_and_again(spark, home, tmp_path):
     assert set(docs) == {"a.txt", "b.MD", "d.docx", "bad.pdf"} and docs["bad.pdf"]["status"] == "error" and docs["bad.pdf"]["content_hash"] == ""
     chunks = store.table("chunks").collect()
     assert {r["text"] for r in chunks if r["doc_id"] == docs["d.docx"]["doc_id"]} == {"First\n\nLast\n\nx | y"}
-    assert all(len(r["embedding"]) == 32 for r in chunks)
+    assert all(len(r["embedding"]) == WIDTH for r in chunks)
 
     os.utime(home / "a.txt", (1000, 1000))
     (home / "sub" / "b.MD").write_text("Bicycles need air. " * 5)
@@ -59,6 +59,7 @@ def test_ingest_again_and_again(spark, home, tmp_path):
     third = intake.ingest_paths(store, [str(home)])
     assert third["blocked"] == 1 and third["added"] == 0
 
+    assert {r["doc_id"] for r in store.table("postings").collect()} == {r["doc_id"] for r in store.table("chunks").collect()}
     asked = spark.createDataFrame([(1, "apple harvest"), (2, "zzzz")], "qid long, question string")
     got = {r["qid"]: r for r in answer_single(asked, store.table("chunks"), store.table("documents"), vectors=store.table("chunks").select("chunk_id", "embedding")).collect()}
     assert got[1]["answer"].startswith("See [1]") and got[1]["sources"][0]["filename"] == "a.txt"
@@ -68,6 +69,10 @@ def test_ingest_again_and_again(spark, home, tmp_path):
         intake.delete_document(store, by_path(store)["a.txt"]["doc_id"])
     with pytest.raises(ValueError):
         intake.ingest_paths(store, [str(home)], model=Composite(OfflineModel(), OfflineModel()))
+    with pytest.raises(FileNotFoundError):
+        intake.ingest_paths(store, [str(home / "none")])
+    with pytest.raises(PermissionError):
+        intake.ingest_paths(store, [str(home)], force=True)
     seen = []
     (home / "new.txt").write_text("New text about pears.")
     query = jobs.watch(store, [str(home)], on_change=seen.append, once=True)
@@ -75,6 +80,77 @@ def test_ingest_again_and_again(spark, home, tmp_path):
     assert len(seen) == 1 and seen[0]["added"] == 1
 
 
+def test_only_changed_files_are_opened_and_only_touched_buckets_written(spark, tmp_path):
+    root = tmp_path / "many"
+    root.mkdir()
+    for i in range(30):
+        (root / f"{i}.txt").write_text(f"Text number {i} about gardens.")
+    store, opened = Store(spark, str(tmp_path / "store")), spark.sparkContext.accumulator(0)
+    assert intake.ingest_paths(store, [str(root)], opened=opened)["added"] == 30 and opened.value == 30
+    before = store._state()["tables"]
+    (root / "7.txt").write_text("Text number seven, edited.")
+    (root / "blank.txt").write_text("  ")
+    got = intake.ingest_paths(store, [str(root)], opened=opened)
+    assert got["updated"] == 1 and got["failed"] == 1 and got["skipped"] == 29 and opened.value == 32
+    after = store._state()["tables"]
+    for name in ("chunks", "postings"):
+        assert len([b for b, p in after[name].items() if before[name].get(b) != p]) <= 2 < len(after[name])
+    assert store.table("chunks").count() == 30 and store.table("chunks").select("chunk_id").distinct().count() == 30
+    (root / ".8.txt").write_text("hidden")
+    (root / "9.txt").unlink()
+    assert intake.ingest_paths(store, [str(root)])["removed"] == 1
+    assert store.vacuum(keep=1) and store.table("chunks").count() == 29 and store.generations() == [3]
+
+
+@pytest.mark.parametrize("step", ["first table", "pointer"])
+def test_a_commit_that_dies_leaves_the_last_generation(spark, tmp_path, monkeypatch, step):
+    store = Store(spark, str(tmp_path / "s"))
+    row = lambda n: spark.createDataFrame([(n, "a", "b", "c", 0.5, None)], "fact_id long, subject string, predicate string, object string, confidence double, source string")
+    store.commit({"facts": row(1)})
+
+    class Dies(Exception):
+        pass
+
+    def die(*_):
+        raise Dies
+
+    with monkeypatch.context() as m:
+        if step == "pointer":
+            real = store._fs
+            m.setattr(store, "_fs", type("Fs", (), {"rename": die, "__getattr__": lambda self, name: getattr(real, name)})())
+        else:
+            own = Store._write
+            m.setattr(Store, "_write", lambda self, name, df, number: die() if name == "entities" else own(self, name, df, number))
+        with pytest.raises(Dies):
+            store.commit({"facts": row(2), "entities": store.table("entities")})
+    again = Store(spark, str(tmp_path / "s"))
+    assert again.generation == 1 and [r["fact_id"] for r in again.table("facts").collect()] == [1]
+    assert again.commit({"facts": row(3)}) == 2 and [r["fact_id"] for r in Store(spark, str(tmp_path / "s")).table("facts").collect()] == [3]
+
+
+def test_ids_of_many_new_documents_are_distinct(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        known = spark.range(1000).selectExpr("id AS doc_id", "concat('/k/', id) AS path", "'h' AS content_hash")
+        fresh = spark.range(200_000).selectExpr("0L AS doc_id", "concat('/n/', sha2(cast(id AS string), 256)) AS path", "'h' AS content_hash").unionByName(known.where("doc_id < 10"))
+        merged = ingest.merge_documents(known, fresh)
+        row = merged.selectExpr("count(*) AS n", "count(DISTINCT doc_id) AS ids", "max(doc_id) AS top").first()
+        assert (row["n"], row["ids"], row["top"]) == (201_000, 201_000, 200_999)
+        paths = merged.where("doc_id > 999").orderBy("doc_id").select("path")
+        assert paths.selectExpr("path", "lead(path) OVER (ORDER BY path) AS after").where("after < path").count() == 0
+        assert merged.where("path = '/k/5' AND doc_id = 5").count() == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_more_reminders_than_a_list_are_all_fired(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    store.commit({"reminders": spark.range(25).selectExpr("id AS reminder_id", "'t' AS title", "TIMESTAMP_NTZ'2020-01-01 00:00:00' AS due_at", "TIMESTAMP_NTZ'2020-01-01 00:00:00' AS created_at", "'pending' AS status", "cast(null AS string) AS source_text")})
+    fired = []
+    jobs.notify(store, fired.append, once=True, most=10).awaitTermination(120)
+    assert [len(f) for f in fired] == [10, 10, 5] and store.table("reminders").where("status = 'notified'").count() == 25
+
+
 def test_reminders_are_fired_once(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     rows = spark.sql("SELECT * FROM VALUES (1L, 'a', TIMESTAMP_NTZ'2020-01-01 00:00:00', TIMESTAMP_NTZ'2020-01-01 00:00:00', 'pending', CAST(NULL AS STRING)), (2L, 'b', TIMESTAMP_NTZ'2999-01-01 00:00:00', TIMESTAMP_NTZ'2020-01-01 00:00:00', 'pending', 'x') AS t(reminder_id, title, due_at, created_at, status, source_text)")

@@ -30,6 +30,16 @@ def test_bm25_against_the_formula(spark):
         assert [r["chunk_id"] for r in got if r["qid"] == q] == (by_hand(docs, text or "", 8)), q
 
 
+def test_bm25_in_blocks_and_from_a_stored_index(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"common word{i % 7} word{i % 5} foo bar" if i % 3 else f"bar foo common x{i}") for i in range(60)], "chunk_id long, text string")
+    qs = spark.createDataFrame([(q, f"common word{q} foo_bar") for q in range(9)], "qid long, question string")
+    want = sorted(map(tuple, search.bm25(docs, qs).collect()))
+    assert len(want) == 72
+    monkeypatch.setattr(search, "SMALL", 5)
+    assert sorted(map(tuple, search.bm25(docs, qs).collect())) == want
+    assert sorted(map(tuple, search.bm25(None, qs, index=search.postings(docs)).collect())) == want
+
+
 def test_bm25_phrases_and_marks(spark):
     docs = spark.createDataFrame([(1, "foo bar baz"), (2, "bar foo"), (3, "Café crème"), (4, None), (5, "other text here")], "chunk_id long, text string")
     qs = spark.createDataFrame([(1, "foo_bar"), (2, "cafe"), (3, "CRÈME")], "qid long, question string")
@@ -48,7 +58,7 @@ def test_cosine_both_ways(spark, monkeypatch):
         s = np.round(n @ n[q], 6)
         assert [r[1] for r in sorted((r for r in got if r[0] == q), key=lambda r: r[3])] == [int(i) for i in np.lexsort((np.arange(300), -s))[:5]]
     assert 901 not in {r[0] for r in got}
-    monkeypatch.setattr(search, "SMALL", 2)
+    monkeypatch.setattr(search, "SENT", 300)
     again = sorted(map(tuple, search.cosine(vec, qs, 5).collect()))
     assert [r[:2] for r in again] == [r[:2] for r in got]
 
