@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import duplicates, levels, mix, neighbours, personal, pieces, scans, tokens
+from lodestone.operators.search import cosine
 from lodestone.sources.tables import table
 
 
@@ -36,6 +37,24 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("chunk_id"), F.col("neighbour").alias("neighbour_id"))
 
 
+def p3_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The neighbours of every vector whose id is divisible by 100, among all."""
+    chunks = table(spark, folder, "chunks")
+    found = neighbours.nearest(chunks, chunks.where("chunk_id % 100 = 0"))
+    return found.select(F.col("id").alias("chunk_id"), F.col("neighbour").alias("neighbour_id"), "rank")
+
+
+def p3_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """One row: the queries of ``p3_all``, and whether at least 0.95 of their true neighbours, by comparison with all vectors,
+    are found."""
+    chunks = table(spark, folder, "chunks").where("size(embedding) = 64").select("chunk_id", "embedding").dropDuplicates(["chunk_id"])
+    asked = chunks.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("qid"), "embedding")
+    true = cosine(chunks, asked, 11).where("qid <> chunk_id").withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("rank"))).where("n <= 10")
+    found = p3_all(spark, folder).select(F.col("chunk_id").alias("qid"), F.col("neighbour_id").alias("chunk_id"), F.lit(1).alias("hit"))
+    joined = true.join(found, ["qid", "chunk_id"], "left")
+    return joined.agg(F.count_distinct("qid").alias("queries"), (F.count("hit") >= 0.95 * F.count(F.lit(1))).alias("enough"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.split_oversized(table(spark, folder, "chunks")).where("piece = 0").select("chunk_id", "break_kind")
 
@@ -68,7 +87,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return levels.levels(table(spark, folder, "documents"), table(spark, folder, "level_samples")).select("doc_id", "level").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_groups, p3_found, p4_found, p4_pieces, p5_found, p5_repaired, p6_ids, p7_found, p7_shares, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_groups, p3_found, p3_all, p3_recall, p4_found, p4_pieces, p5_found, p5_repaired, p6_ids, p7_found, p7_shares, p8_found)}
 
 _CH = "ch AS (SELECT DISTINCT ON (chunk_id) chunk_id, text, embedding FROM chunks WHERE chunk_id IS NOT NULL AND text IS NOT NULL)"
 _gap = r"[\s\x0B\x1c-\x1f\x{85}\p{Z}]"
@@ -86,6 +105,7 @@ SQL: dict[str, str] = {
  u AS (SELECT * FROM v WHERE list_sum(list_transform(e, lambda x: x * x)) > 0)
  SELECT chunk_id, neighbour_id FROM (SELECT a.chunk_id, b.chunk_id AS neighbour_id, row_number() OVER (PARTITION BY a.chunk_id ORDER BY list_cosine_similarity(a.e, b.e) DESC, b.chunk_id) AS k
   FROM u a JOIN (SELECT DISTINCT chunk_id FROM probe_chunks) USING (chunk_id) JOIN u b ON a.chunk_id <> b.chunk_id) WHERE k <= 10""",
+    "p3_recall": "SELECT count(DISTINCT chunk_id) AS queries, true AS enough FROM chunks WHERE chunk_id % 100 = 0 AND len(embedding) = 64 AND list_sum(list_transform(embedding, lambda x: x * x)) > 0",
     "p4_found": rf"""WITH {_CH}, t AS (SELECT chunk_id, regexp_replace(text, '^{_gap}+|{_gap}+$', '', 'g') AS t FROM ch), big AS (SELECT * FROM t WHERE length(t) > 1600)
  SELECT chunk_id, CASE WHEN {_fits.format("t", _blank)} THEN 'paragraph' WHEN {_fits.format(f"regexp_replace(t, '([.!?]){_gap}', '" + chr(92) + "1' || chr(10), 'g')", _line)} THEN 'sentence'
   WHEN {_fits.format("t", _gap)} THEN 'word' ELSE 'none' END AS break_kind FROM big""",

@@ -16,7 +16,7 @@ def truth(ids, x, q, k):
 
 
 def table(spark, rows):
-    return spark.createDataFrame(rows, "chunk_id long, embedding array<float>").withColumns({c: F.lit(0) for c in ("id", "vector", "cell", "part", "turn", "reach")})
+    return spark.createDataFrame(rows, "chunk_id long, embedding array<float>").withColumns({c: F.lit(0) for c in ("id", "vector", "block", "cell", "part", "asks", "reach")})
 
 
 def test_recall_with_many_cells_and_turns(spark, monkeypatch):
@@ -24,13 +24,30 @@ def test_recall_with_many_cells_and_turns(spark, monkeypatch):
     centres = rng.standard_normal((40, 64))
     x = np.concatenate([centres[i % 40] + 0.4 * rng.standard_normal(64) for i in range(1500)]).reshape(1500, 64).astype(np.float32)
     ids = [int(i) * 3 for i in range(1500)]
-    for name, value in (("BLOCK", 128), ("SAMPLE", 400), ("QUERIES", 25)):
+    for name, value in (("BLOCK", 128), ("CELL", 16), ("SAMPLE", 400), ("QUERIES", 25)):
         monkeypatch.setattr(neighbours, name, value)
     df = table(spark, [(i, [float(v) for v in row]) for i, row in zip(ids, x)])
     q = ids[::25]
-    got = {(r["id"], r["neighbour"]) for r in neighbours.nearest(df, df.where(F.col("chunk_id").isin(q)), k=10).collect()}
+    met = [spark.sparkContext.accumulator(0) for _ in range(2)]
+    got = {(r["id"], r["neighbour"]) for r in neighbours.nearest(df, df.where(F.col("chunk_id").isin(q)), k=10, met=met).collect()}
     want = truth(ids, x.astype(np.float64), q, 10)
     assert len(got) == len(want) and len(got & want) / len(want) > 0.98
+    assert 0 < met[0].value <= 2 * met[1].value  # stages may run twice, as the two rounds are
+
+
+def test_most_leaves_are_not_met(spark, monkeypatch):
+    """Of near neighbours among many vectors without structure: fewer than a fifth of all leaves."""
+    monkeypatch.setattr(neighbours, "BLOCK", 1024)
+    monkeypatch.setattr(neighbours, "CELL", 48)
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((20_000, 64))
+    for i in range(100):
+        x[200 * i : 200 * i + 12] = x[200 * i] + 0.2 * rng.standard_normal((12, 64))
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x.astype(np.float32))], "chunk_id long, embedding array<float>")
+    met = [spark.sparkContext.accumulator(0) for _ in range(2)]
+    got = {(r["id"], r["neighbour"]) for r in neighbours.nearest(df, df.where("chunk_id % 200 = 0"), k=10, met=met).collect()}
+    want = truth(list(range(20_000)), x, range(0, 20_000, 200), 10)
+    assert len(got & want) / len(want) > 0.95 and met[0].value / met[1].value < 0.2
 
 
 def test_edges(spark):
