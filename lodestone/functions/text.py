@@ -30,7 +30,7 @@ FOLD_FROM, FOLD_TO = _folds()
 
 def folded(term: Column) -> Column:
     """A lower-case term without marks. Only terms beyond ASCII are looked at letter by letter."""
-    return F.when(term.rlike(r"[^\x00-\x7F]"), F.translate(term, FOLD_FROM, FOLD_TO)).otherwise(term)
+    return F.when(F.octet_length(term) > F.length(term), F.translate(term, FOLD_FROM, FOLD_TO)).otherwise(term)
 
 
 def raw_terms(text: Column) -> Column:
