@@ -1,13 +1,15 @@
 """Problem 1: personal details in free text, found by anchors and expanded by local parsers.
 
-An Aho-Corasick automaton finds family names, at-signs and street words in one pass over the text; a number's first digit is
-an anchor as well. Around each anchor a parser of that kind looks for the borders of a valid detail, or finds none. Names and
-towns that are in no list are found by the evidence of ``names``: in their own text, and from the whole corpus.
+An Aho-Corasick automaton finds at-signs, schemes, street words and the cues of own numbers and phones in one pass over the text;
+a number's first digit is an anchor as well. Around each anchor a parser of that kind looks for the borders of a detail and
+validates it: identity numbers by check digits where their format has some, or else by a cue. Names and towns are in no list: a
+second automaton holds those that the whole corpus shows to be such (``names.learned``).
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import ahocorasick
@@ -18,28 +20,19 @@ from pyspark.sql import functions as F
 from lodestone.llm.names import TOWN, TOWN_AFTER, Lexicon, learned, lowered
 from lodestone.sources.tables import spread
 
-#: Parts of which family names are made, given names, and particles. Fixed values.
-NAME_STEMS = "averk bex brant caldr corm dran drey eskh farv fenv gris hesk ild jarv kest lundr morv norv olv osk pelv quis rav selk tarv thorv umb vel wynd zelv"
-NAME_ENDS = "aby ález ardo azar berger dale eling etti hofer ieux ington inski mont mora ock ova owby quist sson ström trand ünder vane wen wick"
-GIVEN = (
-    "amara ana-sofía anselm art bastian begoña bill bryn corin dawn delphi elodie emeka frank freya grace hollis hope ilva ines iris jack "
-    "jean-luc joris june jürgen kasimir linnea liora lucan magnus maren mark miles nadia noor omri orsino ottilie pascal petra quentin rafe "
-    "ravi renske rose salome sten summer sunniva søren tamsin teodor thandi tobin ulric viola will wilma wim ximena yara yasmo zoë zofia łucja"
-)
-PARTICLES = ("von der", "van der", "von", "van", "de la", "del", "de", "di", "da", "le", "la")
-#: Street words, towns of the collection's region, and what stands before a person's own number. Fixed values.
+#: Street words, what stands before a person's own number and behind it, and before a phone number. Fixed values.
 STREETS_BEHIND = ("street", "st.", "road", "rd.", "rd", "lane", "ln.", "row", "hill", "close", "terrace", "court", "avenue", "ave.", "ave", "drive", "square", "place", "way")
 STREETS_JOINED = ("straße", "strasse", "str.", "allee", "weg", "gasse", "platz", "ring", "damm")
 STREETS_BEFORE = ("c/", "rue", "chemin", "avenue", "boulevard", "place", "impasse", "calle", "avenida", "paseo", "plaza", "camino")
-TOWNS = (
-    "aldervik", "dunmerrow", "fallowby", "greyholm", "hexbridge", "kesselau", "millbeck", "montrevel-sur-aune", "norham cross", "ostwalden",
-    "puentealta", "rocablanca", "selbrück", "tarnfield", "valmeron",
-)
 OWN_NUMBER = (
     "account", "konto", "compte", "cuenta", "card used:", "card", "karte", "carte", "tarjeta", "passport", "passport=", "pass", "reisepass", "passeport", "pasaporte",
-    "id", "id:", "id=", "ausweisnummer", "ausweis", "carte d'identité", "documento", "dni", "iban", "insurance no.", "insurance number", "security number is", "security no.", "versicherungsnummer", "sécurité sociale",
+    "id", "id:", "id=", "ausweisnummer", "ausweis", "carte d'identité", "documento", "dni", "iban", "insurance no.", "insurance number", "security number is", "security number", "security no.", "versicherungsnummer", "sécurité sociale",
 )
 
+OWN_BEHIND = ("belongs to", "holder", "lives at", "titulaire", "titular", "a nombre", "au nom", "inhaber", "inhaberin", "lautend auf", "ausgestellt für")
+PHONE_BEFORE = ("tel", "tel.", "tel:", "telephone", "phone", "mobile", "mobil", "fax", "cell", "call", "telefon", "rufen sie", "unter", "téléphone", "joindre", "appelez", "teléfono", "móvil", "llame")
+SCHEMES = ("mailto:", "tel:", "sip:")
+
 #: Ends of mail hosts, and words after which "at" leads to a site. Fixed values.
 ENDINGS = "com org net edu gov info biz eu uk de fr es it nl be at ch us ca io test example".split()
 SITE_BEFORE = (
@@ -49,13 +42,6 @@ SITE_BEFORE = (
 
 _B = r"(?:[ \t ]|[ \t ]?\r?\n[ \t]?|\r)"  # one blank, or a line break within a detail
 _FLAGS = re.IGNORECASE
-_family = rf"(?:[od]['’])?(?:{'|'.join(NAME_STEMS.split())})(?:{'|'.join(NAME_ENDS.split())})"
-_given = rf"(?:(?:{'|'.join(sorted(GIVEN.split(), key=len, reverse=True)).replace('-', '-?')})(?![\w'’])|[^\W\d_]\.)"
-_particle = "|".join(p.replace(" ", f"{_B}+") for p in PARTICLES)
-_surname = rf"(?:(?:{_particle}){_B}+)?{_family}(?:-?{_family})?"
-_NAME_BEFORE = re.compile(rf"(?<![\w'’-])(?:{_given}{_B}*)(?:{_given}{_B}*)*{_surname}(?![\w'’])", _FLAGS)
-_NAME_AFTER = re.compile(rf"(?<![\w'’-]){_surname},{_B}{{0,2}}{_given}(?:{_B}*{_given})*(?![\w'’])", _FLAGS)
-
 _AT = r"(?:@|[(\[{<]\s?at\s?[)\]}>])"
 _spelt = rf"(?:{_B}dot{_B}|{_B}?[(\[{{<]\s?dot\s?[)\]}}>]{_B}?)"
 _point = rf"(?:\.|{_spelt})"
@@ -79,7 +65,7 @@ _PHONE = re.compile(
     rf"|\+49{_S}\(?0?\)?\d{{2,4}}{_S}\d{{4,6}}{_S}\d{{2,4}}|0049\d{{2,3}}{_S}\d{{6,8}}|0\d{{2,4}}/\d{{4,6}}{_H}\d{{2,4}}"
     rf"|\+33{_S}\(?0?\)?[1-9](?:{_S}\d\d){{4}}|0[1-9](?:\.\d\d){{4}}|0[1-9](?: \d\d){{4}}"
     rf"|\+34{_S}\d{{3}}{_S}\d{{2,3}}{_S}\d{{2,3}}(?:{_S}\d{{2,3}})?"
-    rf"|\d{{3}}\.\d{{3}}\.\d{{4}}|\d{{3}}{_H}\d{{3}}{_H}\d{{4}}|555{_H}\d{{4}}"
+    rf"|\d{{3}}\.\d{{3}}\.\d{{4}}|\d{{3}}{_H}\d{{3}}{_H}\d{{4}}|[2-9]\d\d{_H}\d{{4}}"
     rf")(?:{_B}?,?{_B}?(?:ext\.?|extension|x|durchwahl|app\.|poste){_B}?\d{{1,5}})?(?![\d]|[./-]\d)", _FLAGS
 )
 _ID = re.compile(
@@ -91,15 +77,15 @@ _ID = re.compile(
     rf"|\d{{3}}{_H}\d\d{_H}\d{{4}}|\d{{3}}{_B}\d\d{_B}\d{{4}}"
     r")(?![\w]|[./-]\w)", _FLAGS
 )
+_CALLED = re.compile(r"(?:\+|00)?\(?\d{2,4}\)?(?:[ .-]\d{2,4}){1,4}(?![\w]|[./-]\d)")
 _PLAIN = re.compile(r"\d{8,12}(?![\w]|[./-]\d)")
 _cue = "|".join(sorted((re.escape(c).replace(r"\ ", rf"{_B}+") for c in OWN_NUMBER), key=len, reverse=True))
 _no = rf"(?:{_B}(?:number|no\.?|nr\.?|nummer|n[°º]|num\.?|número|numéro))?"
 _OWN = re.compile(rf"(?:^|(?<=[^\w])){'(?:' + _cue + ')'}{_no}{_B}?[:=#]?{_B}{{0,2}}$", _FLAGS)
 _DIGIT = re.compile(r"(?<![\d])(?<!\d[.,/-])\d")
 
-_town = "|".join(t.replace(" ", f"{_B}+").replace("-", "-?(?:\r?\n)?") for t in TOWNS)
 _post = rf"(?:(?:[a-z]{{2}}{_B})?\d{{5}}(?:-\d{{4}})?|[a-z]{{1,2}}\d{{1,2}}[a-z]?{_B}\d[a-z]{{2}})(?!\w)"
-_place = rf"(?:,?{_B}+{_post}{_B}+(?:{_town})|,?{_B}*(?:{_town})(?:,?{_B}+{_post})?|,{_B}+(?-i:{TOWN}),?{_B}+{_post}|,{_B}+{_post}[ \xa0](?-i:{TOWN_AFTER})|,{_B}*{_post})"
+_place = rf"(?:,{_B}+(?-i:{TOWN}),?{_B}+{_post}|,{_B}+{_post}[ \xa0](?-i:{TOWN_AFTER})|,{_B}*{_post})"
 _word = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
 _behind = "|".join(re.escape(s) for s in sorted(STREETS_BEHIND, key=len, reverse=True))
 _joined = "|".join(re.escape(s) for s in sorted(STREETS_JOINED, key=len, reverse=True))
@@ -119,44 +105,56 @@ _BREAK = re.compile(r"[-‐¬­][ \t]?(?:\r\n|\n|\r)(?=[^\W\d_])")
 
 
 def _automaton() -> ahocorasick.Automaton:
+    """Keys with their kind; cues stand behind a blank, line end or mark, which is part of the key."""
     made = ahocorasick.Automaton()
-    for stem in NAME_STEMS.split():
-        for end in NAME_ENDS.split():
-            made.add_word(stem + end, (len(stem + end), "name"))
     for mark in ("@", "(at)", "[at]", "{at}", "<at>", "( at )", "[ at ]", " dot ", " at ", "\nat ", " at\n"):
         made.add_word(mark, (len(mark), "email"))
     for word in (*STREETS_BEHIND, *STREETS_BEFORE, "box", "postfach", "apartado"):
         made.add_word(word, (len(word), "street"))
     for word in STREETS_JOINED:
         made.add_word(word, (len(word), "joined"))
+    for words, kind in ((OWN_NUMBER, "own"), (OWN_BEHIND, "behind"), ((*PHONE_BEFORE, *SCHEMES), "call")):
+        for word in words:
+            for mark in " \n(;|,\t*\"":
+                made.add_word(mark + word, (len(word), kind))
     made.make_automaton()
     return made
 
 
 _anchors = _automaton()
+#: Characters before and behind an anchor that a detail can reach: a mail address has at most 64 and 255 of them; an address line.
+REACH = {"email": (66, 340), "street": (120, 240), "joined": (120, 240)}
+#: Characters between a cue and the number it belongs to, or between the number and a cue behind it.
+CUE_REACH, CUE_BEHIND = 60, 4
 
 
-def is_family_name(word: str) -> bool:
-    return any(length == len(word) and kind == "name" for _, (length, kind) in _anchors.iter(word))
-
-
-#: The lists as a source of ``names.Lexicon``.
-LISTED = {"listed": frozenset(GIVEN.split()), "other_family": frozenset(stem + end for stem in NAME_STEMS.split() for end in NAME_ENDS.split())}
-_common = Lexicon(**LISTED)
-
-
-def _around(pattern: re.Pattern, text: str, start: int, end: int, reach: int) -> tuple[int, int] | None:
-    """The match of ``pattern`` that holds the anchor and begins at most ``reach`` characters before it."""
-    at = max(0, start - reach)
-    while (m := pattern.search(text, at, min(len(text), end + 160))) is not None and m.start() <= start:
+def _around(pattern: re.Pattern, text: str, start: int, end: int, kind: str) -> tuple[int, int] | None:
+    """The match of ``pattern`` that holds the anchor."""
+    before, behind = REACH[kind]
+    at = max(0, start - before)
+    while (m := pattern.search(text, at, min(len(text), end + behind))) is not None and m.start() <= start:
         if m.end() >= end:
             return m.span()
         at = m.start() + 1
     return None
 
 
+def _checked(number: str) -> bool:
+    """Whether check digits hold: the IBAN's remainder, or the card's sum."""
+    bare = re.sub(r"\W", "", number).upper()
+    if bare[:2].isalpha() and bare[2:4].isdigit() and len(bare) > 14:
+        return int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+    if bare.isdigit() and len(bare) == 16:
+        digits = [int(c) for c in reversed(bare)]
+        return (sum(digits[::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[1::2])) % 10 == 0
+    return False
+
+
+_common = Lexicon()
+
+
 def spans(text: str | None, lexicon: Lexicon = _common) -> list[tuple[int, int, str]]:
-    """The details of a text in order: start, end, kind; ``lexicon`` has the names and towns known so far. Details don't overlap; of two the one that begins first, then the
+    """The details of a text in order: start, end, kind; ``lexicon`` has the names and towns known. Details don't overlap; of two the one that begins first, then the
     longer one, stays. None for null and empty texts."""
     if not text:
         return []
@@ -174,31 +172,36 @@ def spans(text: str | None, lexicon: Lexicon = _common) -> list[tuple[int, int,
         source = text
     low = lowered(source)
     found: list[tuple[int, int, str]] = []
-    done = dict.fromkeys(("name", "email", "street", "joined"), -1)
-    for at, (length, kind) in _anchors.iter(low):
-        start, end = at - length + 1, at + 1
+    done = dict.fromkeys(("email", "street", "joined"), -1)
+    cues: dict[str, list[int]] = {"own": [], "behind": [], "call": []}
+    for at, (length, kind) in _anchors.iter("\n" + low):
+        start, end = at - length, at
+        if kind in cues:
+            if end == len(low) or not (low[end].isalnum() and low[end - 1].isalnum()):
+                cues[kind].append(start if kind == "behind" else end)
+            continue
         if start < done[kind]:
             continue
-        if kind == "name":
-            if (end < len(low) and low[end].isalnum()) or (start and low[start - 1] in "@+._"):
-                continue
-            span = _around(_NAME_BEFORE, source, start, end, 64) or _around(_NAME_AFTER, source, start, end, 16)
-            if span:
-                found.append((*span, "name"))
-        elif kind == "email":
-            span = _around(_EMAIL, source, start, end, 90) or (low[start:end].strip() == "at" and _around(_EMAIL_AT, source, start, end, 90))
+        if kind == "email":
+            span = _around(_EMAIL, source, max(0, start), end, kind) or (low[max(0, start) : end].strip() == "at" and _around(_EMAIL_AT, source, max(0, start), end, kind))
             if span:
                 found.append((*span, "email"))
         else:
             if kind == "street" and start and low[start - 1].isalnum():
                 continue
-            span = _around(_ADDRESS, source, start, end, 60)
+            span = _around(_ADDRESS, source, start, end, kind)
             if span:
-                span = (span[0], lexicon.town(source, span[1]))
+                span = (span[0], lexicon.place(source, span[1]))
                 found.append((*span, "address"))
         if span:
             done[kind] = span[1]
     found += [(start, end, "name") for start, end, _ in lexicon.names(source, low)]
+    own, behind, call = cues["own"], cues["behind"], cues["call"]
+
+    def cued(start: int, end: int) -> bool:
+        at, after = bisect_right(own, start), bisect_left(behind, end)
+        return (at > 0 and start - own[at - 1] <= CUE_REACH) or (after < len(behind) and behind[after] - end <= CUE_BEHIND)
+
     at = 0
     while (m := _DIGIT.search(source, at)) is not None:
         i = at = m.start()
@@ -209,15 +212,20 @@ def spans(text: str | None, lexicon: Lexicon = _common) -> list[tuple[int, int,
             first = i - 2 if i > 1 and source[i - 2] == "+" else i - 1
         if not (first and (source[first - 1].isalnum() or source[first - 1] in "@_")):
             hit = _PHONE.match(source, first) or (_PHONE.match(source, i) if first < i and not source[i - 1] == "+" else None)
+            if hit is None and call and (near := bisect_right(call, first)) and first - call[near - 1] <= 3:
+                hit = _CALLED.match(source, first)
+                if hit and not 7 <= sum(map(str.isdigit, hit[0])) <= 15:
+                    hit = None
             kind = "phone"
         if hit is None:
             kind = "id_number"
             for j in (i - 3, i - 2, i - 1, i):
                 if j >= 0 and not (j and (source[j - 1].isalnum() or source[j - 1] in "@_-/.")) and (j == i or source[j].isalpha()):
                     hit = _ID.match(source, j)
-                    if hit:
+                    if hit and (_checked(hit[0]) or cued(j, hit.end())):
                         break
-        if hit is None and not (i and (source[i - 1].isalnum() or source[i - 1] in "-/.")):
+                    hit = None
+        if hit is None and own and not (i and (source[i - 1].isalnum() or source[i - 1] in "-/.")):
             hit = _PLAIN.match(source, i)
             if hit and not _OWN.search(source[max(0, i - 40) : i]):
                 hit = None
@@ -261,11 +269,11 @@ def details(chunks: DataFrame, key: str = "chunk_id", with_text: bool = True) ->
     """``key, found, clean`` of every row of ``chunks``: the details as ``array<struct<span_start,span_end,kind>>`` and the text with
     typed placeholders (null if not asked for). Null texts have an empty list and stay null; repeated rows stay repeated."""
 
-    known = chunks.sparkSession.sparkContext.broadcast(learned(chunks, **LISTED))
+    known = chunks.sparkSession.sparkContext.broadcast(learned(chunks))
     kind = pa.list_(pa.struct([("span_start", pa.int32()), ("span_end", pa.int32()), ("kind", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(known.value["family"], known.value["given"], known.value["town"], **LISTED)
+        lexicon = Lexicon(**known.value)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             found = [spans(t, lexicon) for t in texts]

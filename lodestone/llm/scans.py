@@ -16,8 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.names import COMMON_FAMILY, PARTICLE_WORDS, Lexicon, lowered
-from lodestone.llm.personal import LISTED, is_family_name
+from lodestone.llm.names import Lexicon, learned, lowered
 from lodestone.sources.tables import cut, spread
 
 #: What scanners make of characters: as read, and as meant. Fixed values.
@@ -72,7 +71,7 @@ class Reader:
 
     def __init__(self, vocabulary: frozenset[str], family: frozenset[str] = frozenset()):
         self.words = vocabulary
-        self.family = COMMON_FAMILY | family
+        self.is_family = Lexicon(family).is_family
         self.known: dict[str, str | None] = {}
         self.paths: dict[tuple[str, frozenset[int]], list[tuple[int, int, str, int]]] = {}
         self.trie = ahocorasick.Automaton()
@@ -106,9 +105,6 @@ class Reader:
         self.known[word] = found
         return found
 
-    def is_family(self, word: str) -> bool:
-        return word in self.family or is_family_name(word)
-
     def _words_from(self, s: str, i: int, most: float) -> Iterator[tuple[int, float, str, int]]:
         """Words of the vocabulary that ``s`` can be read as from ``i``: end, cost below ``most``, word, confusions."""
         stack = [(i, "", 0.0, 0)]
@@ -413,55 +409,41 @@ def _paragraphs(stream: str, fixes: list[tuple[int, int, str]], ends: list[int])
     return "\n\n".join(reversed(out))
 
 
-def vocabulary(chunks: DataFrame) -> tuple[list[str], list[str]]:
-    """Words (also with hyphens) of the texts without pages, as often as SHARE says, and family names, which stand more often
-    after titles and labels than in lower case; counted over all of them."""
+def vocabulary(chunks: DataFrame) -> list[str]:
+    """Words (also with hyphens) of the texts without pages, as often as SHARE says; counted over all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
-        shown: Counter[str] = Counter()
-        lexicon = Lexicon(**LISTED)
-        total = 0
 
         def rows() -> pa.RecordBatch:
-            sums: dict[str, list[int]] = {}
+            sums: Counter[str] = Counter()
             for word, n in counts.items():
-                own = sums.setdefault(word.lower(), [0, 0, 0])
-                own[0] += n
-                own[1] += n if word.islower() else 0
-            for word, n in shown.items():
-                sums.setdefault(word, [0, 0, 0])[2] += n
-            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), *[pa.array([v[i] for v in sums.values()], pa.int64()) for i in range(3)]], ["word", "n", "small", "shown"])
+                sums[word.lower()] += n
+            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], ["word", "n"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 words = _WORD.findall(text)
-                total += len(words)
                 counts.update(words)
+                counts[""] += len(words)  # the empty word holds the number of all
                 counts.update([p for w in words if "-" in w for p in w.split("-")])
-                for start, end, kind in lexicon.names(text, lowered(text)):
-                    if kind in ("title", "label"):
-                        own = [w for w in _WORD.findall(text[start:end]) if w.lower() not in PARTICLE_WORDS]
-                        shown[own[-1].lower()] += 1
             if len(counts) > 500_000:
                 yield rows()
                 counts.clear()
-                shown.clear()
-        counts[""] = total  # the empty word holds the number of all
         yield rows()
 
     texts = spread(chunks.where("page is null and text is not null").select("text"))
-    counted = cut(texts.mapInArrow(run, "word string, n long, small long, shown long").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "small", "shown")]))
+    counted = cut(texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
     total = counted.where("word = ''").agg(F.sum("n")).first()[0] or 0
-    known = counted.where((F.col("n") >= max(2, SHARE * total)) | (F.col("shown") > F.col("small"))).where("word <> ''").select("word", F.col("n") >= max(2, SHARE * total), F.col("shown") > F.col("small")).collect()
-    return [w for w, often, _ in known if often], [w for w, _, family in known if family]  # at most 1 / SHARE words, and names
+    known = counted.where((F.col("n") >= max(2, SHARE * total)) & (F.col("word") != "")).select("word").collect()
+    return [r[0] for r in known]  # at most 1 / SHARE words
 
 
 def scanned(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
     """``key, page, noises, repaired`` of every chunk with a page: noises as ``array<struct<pos,noise_kind>>`` and the text as
     continuous paragraphs. Null texts have no noises and stay null; repeated rows stay; with no text that has no page there
     is no vocabulary, so only furniture and plain line-end marks are found."""
-    words = chunks.sparkSession.sparkContext.broadcast(tuple(map(frozenset, vocabulary(chunks))))
+    words = chunks.sparkSession.sparkContext.broadcast((frozenset(vocabulary(chunks)), learned(chunks)["family"]))
     kind = pa.list_(pa.struct([("pos", pa.int32()), ("noise_kind", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
