@@ -26,7 +26,7 @@ DIMS, SURE = 6, 0.95
 CELL, BLOCK, LEAF = 128, 8192, 48
 #: Vectors of the bounded sample that places the upper tree's splits, most cells of it, cells of the first round, queries that
 #: meet a block at once.
-SAMPLE, MAX_CELLS, FIRST_CELLS, QUERIES = 200_000, 65_536, 48, 2048
+SAMPLE, MAX_CELLS, FIRST_CELLS, QUERIES = 50_000, 65_536, 48, 2048
 #: Squared distances of points that are equal but for rounding.
 SLACK = 1e-9
 
@@ -195,12 +195,21 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str = "chunk_id", k: in
     accumulators, of leaves that queries met and of all leaves of the collection for each query.
     """
     spark, limit = vectors.sparkSession, quantile(SURE)
+
+    def projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = (_unit(_rows(batch.column(0), width)) @ _matrix(width)).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([points.tobytes()], pa.binary())], ["point"])
+
     rows = vectors.count()
     depth = min(int(math.log2(MAX_CELLS)), max(0, math.ceil(math.log2(max(1, rows) / CELL))))
     cells = 1 << min(depth, max(0, round(math.log2(BLOCK / max(1, rows / (1 << depth))))))  # of a block
     every = max(1, rows // SAMPLE)
-    some = _prepared(vectors.where(F.pmod(F.xxhash64(key), F.lit(every)) == 0), key, width).select("vector").limit(2 * SAMPLE).toPandas() if depth else []
-    sample = _unit(np.frombuffer(b"".join(some["vector"]), np.float32).reshape(-1, width)) @ _matrix(width) if len(some) else np.empty((0, DIMS))
+    sample = np.empty((0, DIMS))
+    if depth:
+        some = _prepared(vectors.where(F.pmod(F.xxhash64(key), F.lit(every)) == 0), key, width).select("vector").limit(2 * SAMPLE)
+        points = some.mapInArrow(projected, "point binary").toPandas()["point"]  # a few numbers of each
+        sample = np.frombuffer(b"".join(points), np.float32).reshape(-1, DIMS).astype(np.float64)
     upper = spark.sparkContext.broadcast(_Upper(sample, depth))
     ready = cut(_prepared(spread(vectors), key, width, upper, cells))
     counts = {r["block"]: r["n"] for r in ready.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most MAX_CELLS rows
