@@ -77,6 +77,9 @@ _ID = re.compile(
     rf"|\d{{3}}{_H}\d\d{_H}\d{{4}}|\d{{3}}{_B}\d\d{_B}\d{{4}}"
     r")(?![\w]|[./-]\w)", _FLAGS
 )
+_NUMBER = re.compile(r"\d")
+_STARTS = re.compile(r"(?<![\w/.-])(?:\d|(?:flat|apartment|apt|unit|suite)\b|p\.?\s?o\.?\s)", _FLAGS)
+_TAIL = re.compile(r"[\w-]*\Z")
 _CALLED = re.compile(r"(?:\+|00)?\(?\d{2,4}\)?(?:[ .-]\d{2,4}){1,4}(?![\w]|[./-]\d)")
 _PLAIN = re.compile(r"\d{8,12}(?![\w]|[./-]\d)")
 _cue = "|".join(sorted((re.escape(c).replace(r"\ ", rf"{_B}+") for c in OWN_NUMBER), key=len, reverse=True))
@@ -107,7 +110,7 @@ _BREAK = re.compile(r"[-‐¬­][ \t]?(?:\r\n|\n|\r)(?=[^\W\d_])")
 def _automaton() -> ahocorasick.Automaton:
     """Keys with their kind; cues stand behind a blank, line end or mark, which is part of the key."""
     made = ahocorasick.Automaton()
-    for mark in ("@", "(at)", "[at]", "{at}", "<at>", "( at )", "[ at ]", " dot ", " at ", "\nat ", " at\n"):
+    for mark in ("@", "(at)", "[at]", "{at}", "<at>", "( at )", "[ at ]", " at ", "\nat ", " at\n"):
         made.add_word(mark, (len(mark), "email"))
     for word in (*STREETS_BEHIND, *STREETS_BEFORE, "box", "postfach", "apartado"):
         made.add_word(word, (len(word), "street"))
@@ -128,14 +131,35 @@ REACH = {"email": (66, 340), "street": (120, 240), "joined": (120, 240)}
 CUE_REACH, CUE_BEHIND = 60, 4
 
 
-def _around(pattern: re.Pattern, text: str, start: int, end: int, kind: str) -> tuple[int, int] | None:
-    """The match of ``pattern`` that holds the anchor."""
+def _mail(text: str, start: int, end: int) -> tuple[int, int] | None:
+    """The mail address whose at-sign, in whatever spelling, is the anchor: its local part ends there."""
+    before, behind = REACH["email"]
+    last = start
+    while last > 0 and text[last - 1] in " \t\xa0\r\n" and start - last < 3:
+        last -= 1
+    first = last
+    while first > 0 and last - first < before and (text[first - 1].isalnum() or text[first - 1] in "_.+%-"):
+        first -= 1
+    if first == last:
+        return None
+    stop = min(len(text), end + behind)
+    m = _EMAIL.match(text, first, stop)
+    if m is None and text[start:end].strip().lower() == "at":
+        m = _EMAIL_AT.match(text, first, stop)
+    return m.span() if m and m.end() >= end else None
+
+
+def _address(text: str, start: int, end: int, kind: str) -> tuple[int, int] | None:
+    """The first address that holds the street word: it begins at a number, flat or box before it, or at the word itself."""
     before, behind = REACH[kind]
-    at = max(0, start - before)
-    while (m := pattern.search(text, at, min(len(text), end + behind))) is not None and m.start() <= start:
-        if m.end() >= end:
+    if kind == "joined":
+        own = [start - len(_TAIL.search(text, max(0, start - before), start)[0])]
+    else:
+        own = [*(m.start() for m in _STARTS.finditer(text, max(0, start - before), start)), start]
+    for at in own:
+        m = _ADDRESS.match(text, at, min(len(text), end + behind))
+        if m and m.end() >= end:
             return m.span()
-        at = m.start() + 1
     return None
 
 
@@ -183,13 +207,17 @@ def spans(text: str | None, lexicon: Lexicon = _common) -> list[tuple[int, int,
         if start < done[kind]:
             continue
         if kind == "email":
-            span = _around(_EMAIL, source, max(0, start), end, kind) or (low[max(0, start) : end].strip() == "at" and _around(_EMAIL_AT, source, max(0, start), end, kind))
+            span = _mail(source, max(0, start), end)
             if span:
                 found.append((*span, "email"))
         else:
-            if kind == "street" and start and low[start - 1].isalnum():
+            # whole words beside a house number, or the end of a word before it
+            if low[end : end + 1].isalnum() or (kind == "street" and start > 0 and low[start - 1].isalnum()):
+                continue
+            near = (max(0, start - 60), end + 60) if kind == "street" else (end, end + 6)
+            if not _NUMBER.search(source, *near):
                 continue
-            span = _around(_ADDRESS, source, start, end, kind)
+            span = _address(source, max(0, start), end, kind)
             if span:
                 span = (span[0], lexicon.place(source, span[1]))
                 found.append((*span, "address"))
