@@ -47,7 +47,7 @@ def test_edges(spark, chunks):
 def test_family_names_of_no_list_are_no_damage(spark, chunks):
     assert [k for _, k in scans.examine("the hartrnan", scans.Reader(WORDS | {"hartman"}, frozenset({"hartrnan"})))[0]] == []
     rows = [(i, 1, 0, t, 0, 0, None, None) for i, t in enumerate(["Mr John Abernathy came.", "the committee reviewed", "the committee"])]
-    assert "abernathy" in scans.vocabulary(chunks(rows))[1]
+    assert set(scans.vocabulary(chunks(rows))) == {"the", "committee"}
 
 
 def test_joint_reading_of_blanks_and_damage():
