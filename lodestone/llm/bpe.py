@@ -20,7 +20,8 @@ import regex
 #: The pattern by which the public byte-level vocabulary splits text before merging. Fixed value.
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-MAX_STATES = 200_000
+#: States, and pairs of tokens that are known to fit, above which all are dropped.
+MAX_STATES, MAX_FITS = 200_000, 1_000_000
 MAX_WORDS = 300_000
 NEVER = 1 << 40
 
@@ -102,6 +103,8 @@ class Transducer:
                     i += 1
                 else:
                     j += 1
+            if len(self.fits) >= MAX_FITS:
+                self.fits.clear()
             self.fits[key] = known
         return known
 
@@ -126,8 +129,8 @@ class Transducer:
         guesses = tuple([(held[agreed:], last, part) for held, last, part in live]) if agreed else tuple(live)
         target = self.states.get(guesses)
         if target is None:
-            if len(self.states) > MAX_STATES:
-                self.states.clear()
+            if len(self.states) >= MAX_STATES:
+                self._reset()  # with the start, so that nothing leads to the old states any more
             target = self.states[guesses] = _State(guesses)
         state.arrows[byte] = arrow = (target, out)
         return arrow
@@ -141,8 +144,6 @@ class Transducer:
                 out += arrow[1]
             state = arrow[0]
         out += state.final
-        if len(self.states) > MAX_STATES:
-            self._reset()
         return out
 
 

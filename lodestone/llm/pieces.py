@@ -9,7 +9,10 @@ LIMIT, OVERLAP = 1600, 200
 
 _EOL = r"(?:\r\n|[\n\r\x0B\f\x85\u2028\u2029])"
 _GAP = r"[\s\x1c-\x1f\x85\p{Z}]"
-_BLANK = rf"{_EOL}(?:(?![\n\r\x0B\f\x85\u2028\u2029]){_GAP})*{_EOL}"
+_INLINE = rf"(?:(?![\n\r\x0B\f\x85\u2028\u2029]){_GAP})"
+_BLANK = rf"{_EOL}{_INLINE}*{_EOL}"
+#: The same as it is looked for backwards, where Java's patterns need a bound: a line of more blanks counts as a line end.
+_BLANK_BEFORE = rf"(?<={_EOL})(?<={_EOL}{_INLINE}{{0,255}}{_EOL})"
 #: Where a text may be cut, from the strongest boundary to the weakest.
 BOUNDARIES = {
     "paragraph": _BLANK,
@@ -23,14 +26,15 @@ def trimmed(text: Column) -> Column:
 
 
 def break_kind(text: Column, limit: int = LIMIT) -> Column:
-    """The first boundary whose cuts, with those of all stronger ones, leave no stretch above ``limit``; else none."""
-    found, kinds = None, []
+    """The first boundary whose cuts, with those of all stronger ones, leave no stretch above ``limit``; else none.
+
+    By extraction: runs of up to ``limit`` characters that end at such a boundary or at the end of the text consume the text from
+    its beginning; a place from which none does begins a longer stretch and is taken by the fallback, which is group 1."""
+    found, made = None, F
     for kind, pattern in BOUNDARIES.items():
         found = pattern if found is None else f"{found}|{pattern}"
-        kinds.append((kind, F.forall(F.split(text, found), lambda part: F.length(part) <= limit)))
-    made = F.when(kinds[0][1], kinds[0][0])
-    for kind, fits in kinds[1:]:
-        made = made.when(fits, kind)
+        runs = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{limit}}}+\z|.{{0,{limit}}}(?:{found})|(.{{{limit + 1}}})"), F.lit(1))
+        made = made.when(F.forall(runs, lambda fallback: fallback == ""), kind)
     return made.otherwise("none")
 
 
@@ -43,7 +47,8 @@ def split_oversized(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLA
     before them. Pieces are exact substrings: joined without their lookback they are the chunk's whole text, and
     ``char_start``/``char_end`` point to their place in the document (null if the chunk's are). Paragraph and
     sentence ends in the second half of a piece go first, so pieces don't become tiny; then those in the first half. Null texts and texts
-    within the limit give no pieces; rows repeated under one ``chunk_id`` count once.
+    within the limit give no pieces; rows repeated under one ``chunk_id`` count once. ``page`` is the chunk's; ``paged`` has
+    that of each piece.
     """
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and below limit")
@@ -53,9 +58,9 @@ def split_oversized(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLA
         [
             rf"\A.{{1,{limit}}}\z",
             rf".{{1,{fresh}}}\z",
-            rf".{{{half},{fresh}}}(?<={_EOL}(?:[ \t]{{0,9}}){_EOL})",
+            rf".{{{half},{fresh}}}{_BLANK_BEFORE}",
             rf".{{{half},{fresh}}}(?:(?<={_EOL})|(?<=[.!?])(?={_GAP}))",
-            rf".{{1,{half}}}(?<={_EOL}(?:[ \t]{{0,9}}){_EOL})",
+            rf".{{1,{half}}}{_BLANK_BEFORE}",
             rf".{{1,{half}}}(?:(?<={_EOL})|(?<=[.!?])(?={_GAP}))",
             rf".{{1,{fresh}}}(?={_GAP})",
             rf".{{1,{fresh}}}",
@@ -72,3 +77,13 @@ def split_oversized(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLA
         F.col("text").substr(F.col("start") + 1, F.col("stop") - F.col("start")).alias("text"),
         (F.col("char_start") + F.col("start")).alias("char_start"), (F.col("char_start") + F.col("stop")).alias("char_end"), "page", "break_kind",
     )
+
+
+def paged(pieces: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``pieces`` with the page on which each begins: the last page of its document that a chunk shows to have begun at or before
+    the piece, but none before its own chunk's. Pieces without offsets or in documents without pages keep their chunk's."""
+    begun = chunks.where("doc_id is not null and page is not null and char_start is not null").groupBy("doc_id", "page").agg(F.min("char_start").alias("start"))
+    pages = begun.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "page"))).alias("_pages"))  # one entry a page
+    before = F.filter("_pages", lambda p: p["start"] <= F.col("char_start"))
+    own = F.greatest(F.when(F.size(before) > 0, F.element_at(before, -1)["page"]), "page")
+    return pieces.join(pages, "doc_id", "left").withColumn("page", F.when(F.col("page").isNotNull(), own)).select(pieces.columns)

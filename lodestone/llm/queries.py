@@ -60,7 +60,8 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    return pieces.split_oversized(table(spark, folder, "chunks"))
+    chunks = table(spark, folder, "chunks")
+    return pieces.paged(pieces.split_oversized(chunks), chunks)
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,6 +76,12 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_column(table(spark, folder, "documents"))
 
 
+def p6_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Length and digest of each text after encoding and decoding."""
+    made = tokens.decode_column(tokens.encode_column(table(spark, folder, "documents")))
+    return made.select("doc_id", F.length("text").cast("long").alias("n"), F.md5("text").alias("digest"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return mix.shares(table(spark, folder, "documents"), table(spark, folder, "source_targets")).where("short").select("source")
 
@@ -87,7 +94,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return levels.levels(table(spark, folder, "documents"), table(spark, folder, "level_samples")).select("doc_id", "level").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_groups, p3_found, p3_all, p3_recall, p4_found, p4_pieces, p5_found, p5_repaired, p6_ids, p7_found, p7_shares, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_groups, p3_found, p3_all, p3_recall, p4_found, p4_pieces, p5_found, p5_repaired, p6_ids, p6_round_trip, p7_found, p7_shares, p8_found)}
 
 _CH = "ch AS (SELECT DISTINCT ON (chunk_id) chunk_id, text, embedding FROM chunks WHERE chunk_id IS NOT NULL AND text IS NOT NULL)"
 _gap = r"[\s\x0B\x1c-\x1f\x{85}\p{Z}]"
@@ -105,6 +112,7 @@ SQL: dict[str, str] = {
  u AS (SELECT * FROM v WHERE list_sum(list_transform(e, lambda x: x * x)) > 0)
  SELECT chunk_id, neighbour_id FROM (SELECT a.chunk_id, b.chunk_id AS neighbour_id, row_number() OVER (PARTITION BY a.chunk_id ORDER BY list_cosine_similarity(a.e, b.e) DESC, b.chunk_id) AS k
   FROM u a JOIN (SELECT DISTINCT chunk_id FROM probe_chunks) USING (chunk_id) JOIN u b ON a.chunk_id <> b.chunk_id) WHERE k <= 10""",
+    "p6_round_trip": "SELECT doc_id, length(coalesce(text, '')) AS n, md5(coalesce(text, '')) AS digest FROM documents",
     "p3_recall": "SELECT count(DISTINCT chunk_id) AS queries, true AS enough FROM chunks WHERE chunk_id % 100 = 0 AND len(embedding) = 64 AND list_sum(list_transform(embedding, lambda x: x * x)) > 0",
     "p4_found": rf"""WITH {_CH}, t AS (SELECT chunk_id, regexp_replace(text, '^{_gap}+|{_gap}+$', '', 'g') AS t FROM ch), big AS (SELECT * FROM t WHERE length(t) > 1600)
  SELECT chunk_id, CASE WHEN {_fits.format("t", _blank)} THEN 'paragraph' WHEN {_fits.format(f"regexp_replace(t, '([.!?]){_gap}', '" + chr(92) + "1' || chr(10), 'g')", _line)} THEN 'sentence'

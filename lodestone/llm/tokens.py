@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.bpe import encoder
+from lodestone.llm.bpe import Decoder, encoder
 from lodestone.sources.tables import spread
 
 VOCABULARY = os.path.join(os.environ.get("TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.tiktoken")
@@ -49,3 +49,21 @@ def count_tokens(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY
     source = spread(df.select(*keep, F.col(text).alias("_text")))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
     return source.mapInArrow(run, f"{kinds}, tokens long")
+
+
+def decode_column(df: DataFrame, ids: str = "ids", out: str = "text", vocabulary: str = VOCABULARY, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` and ``out``, the text of column ``ids``; empty and null lists give the empty text, bytes that are no
+    UTF-8 the replacement character."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bytes_of = encoder(vocabulary).machine.bytes_of
+        for batch in batches:
+            texts = []
+            for own in batch.column(len(keep)).to_pylist():
+                decoder = Decoder(bytes_of)
+                texts.append(decoder.feed(own or ()) + decoder.close())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string())], [*keep, out])
+
+    source = df.select(*keep, F.col(ids).alias("_ids"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    return source.mapInArrow(run, f"{kinds}, `{out}` string")

@@ -45,6 +45,23 @@ def test_dropping_states_changes_nothing(both, monkeypatch):
         assert [machine.bytes_of[i] for i in machine.encode(word)] == machine.merge(word)
 
 
+def test_reachable_states_and_pairs_are_bounded(both, monkeypatch):
+    monkeypatch.setattr(bpe, "MAX_STATES", 500)
+    monkeypatch.setattr(bpe, "MAX_FITS", 700)
+    machine, rng = bpe.Transducer(both[0].machine.ranks), random.Random(3)
+    for _ in range(3000):
+        word = bytes(rng.choice(b"abcdefghijklmnop \xc3\xa9") for _ in range(rng.randint(1, 12)))
+        assert [machine.bytes_of[i] for i in machine.encode(word)] == machine.merge(word)
+        assert len(machine.fits) <= 700
+    seen, todo = set(), [machine.start]
+    while todo:
+        state = todo.pop()
+        if id(state) not in seen:
+            seen.add(id(state))
+            todo += [target for target, _ in state.arrows.values()]
+    assert len(seen) <= 501
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.binary(max_size=30), st.integers(1, 5))
 def test_decoder_is_the_standard_one_in_any_pieces(data, step):
@@ -67,6 +84,8 @@ def test_column_with_null_empty_repeated_and_long_texts(spark):
     assert len(got) == len(rows)
     by = {r["doc_id"]: r["ids"] for r in got}
     assert by[1] == [] and by[2] == [] and by[3] == [15496, 995] and len(by[4]) == 50_001 and 50256 not in by[5] and by[None] == [64]
+    back = {r["doc_id"]: r["text"] for r in tokens.decode_column(tokens.encode_column(df)).collect()}
+    assert back == {i: t or "" for i, t in rows}
     counts = {r["doc_id"]: r["tokens"] for r in tokens.count_tokens(df).collect()}
     assert counts[1] == 0 and counts[3] == 2
     assert tokens.encode_column(spark.createDataFrame([], "doc_id long, text string")).count() == 0

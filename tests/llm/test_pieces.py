@@ -54,6 +54,19 @@ def test_edges(spark, chunks):
 
 
 
+def test_blank_lines_of_many_and_other_spaces_are_paragraph_ends(spark, chunks):
+    for blank in (" " * 100, "\t\u00a0\u3000"):
+        text = f"One two three four five.\n{blank}\nSix seven eight nine ten eleven twelve"
+        rows = sorted(pieces.split_oversized(chunks([(1, text)]), 140, 0).collect(), key=lambda r: r["piece"])
+        assert len(rows) < 2 or rows[0]["text"].strip() == "One two three four five."
+
+
+def test_page_of_a_piece_is_where_it_begins(spark, chunks):
+    rows = [(1, 7, 0, "one two three four five six seven eight nine ten eleven", 0, 55, 1, None), (2, 7, 1, "eight", 34, 39, 2, None), (3, 8, 0, "x" * 50, 0, 50, None, None)]
+    table = chunks(rows)
+    got = sorted((r["chunk_id"], r["char_start"], r["page"]) for r in pieces.paged(pieces.split_oversized(table, LIMIT, 0), table).collect())
+    assert [p for i, _, p in got if i == 1] == [1, 2] and {p for i, _, p in got if i == 3} == {None}
+
 
 def test_sentence_ends_in_the_first_half_go_before_words(spark, chunks):
     text = "One two three. " + "four five six seven eight nine ten el." + " Twelve"
