@@ -28,25 +28,70 @@ _BETWEEN = re.compile(r"(?<=[.!?…])[\"'»”)\]]*\s+|\s{2,}|\s[-–—|•*]\s
 #: Words between two marks above which they are no sentence but text without marks, which is cut into pieces of PIECE words; and
 #: words of a line up to which lines without marks are the items of a list, if there are at least ITEMS of them.
 LONG, PIECE, ITEM, ITEMS = 100, 15, 3, 4
-_VOWELS = {
-    "en": re.compile(r"[aeiouyáéíóúäöü]+"),
-    "de": re.compile(r"aa|ee|oo|au|äu|eu|ei|ai|ie|[aeiouyäöüéà]"),
-    "fr": re.compile(r"eau|[aeiouyàâæçéèêëîïôœùûü]+"),
-    "es": re.compile(r"[iuü]?[aeoáéó][iuy]?|[íú]|[iuü]+"),
+#: Letters that are vowels, and of each language those pairs and triples that are one sound. Fixed values.
+_VOWEL = "aeiouyáàâäãåæéèêëíìîïóòôöõøœúùûüýÿ"
+_ONE_SOUND = {
+    "en": "ai au aw ay ea ee ei eu ew ey ie oa oe oi oo ou ow oy ue ui iou eau",
+    "de": "aa ee oo ie ei ai au äu eu",
+    "fr": "ai au ei eu œu oi ou eau eui oui ui ia ie iè io ieu",
+    "es": "ai ei oi au eu ou ia ie io ua ue ui uo iá ié ió uá ué uí uó iu",
 }
+#: Further patterns: what ends without a sound of its own, and vowels that part or join against the rule. Fixed values.
+_PATTERNS = {
+    "en": "e3a. cre3a e2op ti5ali ci4a ti4a ti4o si4o ci4o gi4o xi4o i3a i3o e3o u3a y3i q2u u2a. gu2a",
+    "de": "i3a i3o e3u. q2u",
+    "fr": "i3é é3a é3o q2u2a q2u2e q2u2i g2u2e g2u2i u3é",
+    "es": "q2u2e q2u2i g2u2e g2u2i",
+}
+_CONSONANTS = "bcdfghjklmnpqrstvwxzçñß"
 
 
-def syllables(word: str, lang: str) -> int:
-    """Syllables of a lower-case word: vowel groups where a word can be hyphenated, without mute endings; at least 1."""
-    n = len(_VOWELS[lang].findall(word))
+def _hyphenation(lang: str) -> dict[str, list[int]]:
+    """Hyphenation patterns: letters with the levels of the places before, between and behind them. An odd level lets a word be
+    parted there, an even one forbids it, the highest of all patterns holds.
+
+    A word can be parted before a consonant with a vowel behind it, and between vowels that aren't one sound; not before
+    endings that are mute, and as the language's own patterns say.
+    """
+    made = [f"1{c}{v}" for c in _CONSONANTS for v in _VOWEL]
+    made += [f"{a}1{b}" for a in _VOWEL for b in _VOWEL if f"{a}{b}" not in _ONE_SOUND[lang].split()]
+    made += ["2".join(sound) for sound in _ONE_SOUND[lang].split()]
     if lang == "en":
-        if re.search(r"[^aeiouylr]e$|[aeiouy][lr]e$|[^aeioutdy]ed$|[^aeiouysxzcgh]es$", word):
-            n -= 1
-        n += len(re.findall(r"i[ao](?!u)|eo|ua|ying", word)) - len(re.findall(r"[ctsgx]i[ao]", word))
+        made += [f"2{c}{end}." for c in _CONSONANTS for end in ("e", "es", "ed")] + [f"{v}2{end}." for v in _VOWEL for end in ("e", "es", "ed")]
+        made += [f"{c}3l{end}." for c in _CONSONANTS if c not in "lr" for end in ("e", "es", "ed")] + [f"3{c}es." for c in "szxcg"] + ["3shes.", "3ches.", "3ted.", "3ded."]
     elif lang == "fr":
-        n -= bool(re.search(r"[^aeiouyé](?:e|es|ent)$", word))
-        n += len(re.findall(r"[iu]é|éa|éo|ié", word))
-    return max(1, n)
+        made += [f"2{c}{end}." for c in _CONSONANTS for end in ("e", "es", "ent")] + [f"{v}2{end}." for v in _VOWEL for end in ("e", "es", "ent")]
+        made += [f"2{c}{d}{end}." for c in "bcdfgptv" for d in "lr" for end in ("e", "es", "ent")]
+    out: dict[str, list[int]] = {}
+    for pattern in [*made, *_PATTERNS[lang].split()]:
+        letters, levels = "", [0]
+        for c in pattern:
+            if c.isdigit():
+                levels[-1] = int(c)
+            else:
+                letters += c
+                levels.append(0)
+        out[letters] = [max(x, y) for x, y in zip(levels, out.get(letters, [0] * len(levels)), strict=True)]
+    return out
+
+
+_hyphens = {lang: _hyphenation(lang) for lang in FUNCTION_WORDS}
+_longest = {lang: max(map(len, patterns)) for lang, patterns in _hyphens.items()}
+
+
+def syllables(word: str, lang: str) -> int:
+    """Syllables of a lower-case word: the parts into which the patterns part it behind its first vowel; at least 1."""
+    marked, patterns, longest = f".{word}.", _hyphens[lang], _longest[lang]
+    levels = [0] * (len(marked) + 1)
+    for at in range(len(marked)):
+        for size in range(1, min(longest, len(marked) - at) + 1):
+            own = patterns.get(marked[at : at + size])
+            if own:
+                for k, level in enumerate(own):
+                    if level > levels[at + k]:
+                        levels[at + k] = level
+    first = next((i for i, c in enumerate(marked) if c in _VOWEL), None)
+    return 1 if first is None else 1 + sum(level % 2 for level in levels[first + 1 : len(marked) - 1])
 
 
 def _grades(words: np.ndarray, letters: np.ndarray, beats: np.ndarray, long3: np.ndarray, long6: np.ndarray) -> np.ndarray:
@@ -134,13 +179,14 @@ def bounds(samples: DataFrame) -> DataFrame:
     """One row a language of labelled ``samples``: the grades between basic and general, and general and expert, halfway
     between the levels' medians. A language that lacks a level takes the medians over all languages."""
     marked = graded(samples.where("text is not null and level is not null").select("level", "text").coalesce(1), ("level",))
-    langs = marked.sparkSession.createDataFrame([(lang,) for lang in FUNCTION_WORDS], "written string")
     medians = [F.percentile("grade", 0.5, F.when(F.col("level") == level, 1).otherwise(0)).alias(level) for level in LEVELS]
-    own = marked.groupBy("written").agg(*medians)
-    every = marked.groupBy(F.lit(1).alias("one")).agg(*[m.alias(f"any_{level}") for m, level in zip(medians, LEVELS, strict=True)])
-    at = {level: F.coalesce(level, f"any_{level}") for level in LEVELS}
-    joined = langs.join(F.broadcast(own), "written", "left").withColumn("one", F.lit(1)).join(F.broadcast(every), "one")  # four rows and one
-    return joined.select("written", ((at["basic"] + at["general"]) / 2).alias("from_general"), ((at["general"] + at["expert"]) / 2).alias("from_expert"))
+    own = {r["written"]: r for r in marked.groupBy("written").agg(*medians).collect()}  # a row a language
+    every = marked.agg(*medians).first()
+    rows = []
+    for lang in FUNCTION_WORDS:
+        basic, general, expert = (own[lang][n] if lang in own and own[lang][n] is not None else every[n] for n in LEVELS)
+        rows.append((lang, None if None in (basic, general) else (basic + general) / 2, None if None in (general, expert) else (general + expert) / 2))
+    return marked.sparkSession.createDataFrame(rows, "written string, from_general double, from_expert double")
 
 
 def levels(documents: DataFrame, samples: DataFrame, least: int = 400) -> DataFrame:
