@@ -23,7 +23,9 @@ from lodestone.sources.tables import cut, spread
 
 #: Bands of two min-hashes: at similarity 0.6 a pair shares none with probability 0.64 ** 20 = 0.00013, at 0.7 with 0.0000014.
 BANDS = 20
-#: Members of a block above which it is split into parts compared pair by pair, members of a part, rows of a tile, ids or bands
+#: Further min-hashes by which a hot band is split: a pair at similarity 0.6 shares none of them with probability 0.4 ** 12 = 0.00002.
+MORE = 12
+#: Members of a block above which it is split by these, and what is still above it into parts compared pair by pair, members of a part, rows of a tile, ids or bands
 #: up to which they are broadcast, and copies up to which a class of exact copies is given as all its pairs.
 HOT, PART, TILE, BROADCAST, EXPAND = 4096, 2048, 512, 200_000, 64
 #: Tolerance of comparisons with a bound that is a product of floating-point numbers; the compared numbers are whole.
@@ -82,19 +84,20 @@ def fold(made: np.ndarray) -> np.ndarray:
     return made[:, :half] ^ made[:, half:]
 
 
-_FACTORS = np.random.default_rng(7).integers(1, 1 << 63, 2 * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTORS = np.random.default_rng(7).integers(1, 1 << 63, 2 * BANDS + MORE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEPS = np.arange(BANDS, dtype=np.uint64)
 
 
-def _bands(own: np.ndarray) -> np.ndarray:
+def _bands(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the bands, and the further min-hashes."""
     least = (own[None, :] * _FACTORS[:, None]).min(axis=1)
-    keys = (least[::2] * np.uint64(0x9E3779B97F4A7C15)) ^ least[1::2]
-    return (keys * np.uint64(0xBF58476D1CE4E5B9) + _STEPS).view(np.int64)
+    keys = (least[: 2 * BANDS : 2] * np.uint64(0x9E3779B97F4A7C15)) ^ least[1 : 2 * BANDS : 2]
+    return (keys * np.uint64(0xBF58476D1CE4E5B9) + _STEPS).view(np.int64), least[2 * BANDS :].view(np.int64)
 
 
 def signatures(chunks: DataFrame, key: str, width: int, least_words: int) -> DataFrame:
     """``id, class`` (hash of the words), ``size`` (shingles), ``sketch``, ``fine`` (one with four times as
-    many bits) and ``bands`` of texts with enough words."""
+    many bits), ``bands`` and ``more`` (further min-hashes) of texts with enough words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,11 +106,11 @@ def signatures(chunks: DataFrame, key: str, width: int, least_words: int) -> Dat
                 words = words_of(text)
                 if i is not None and len(words) >= max(least_words, width):
                     own = shingles(words, width)
-                    rows.append((i, xxhash.xxh3_128_digest(" ".join(words)), len(own), sketch(own), sketch(own, 2), _bands(own)))
-            names = [("id", pa.int64()), ("class", pa.binary()), ("size", pa.int32()), ("sketch", pa.binary()), ("fine", pa.binary()), ("bands", pa.list_(pa.int64()))]
+                    rows.append((i, xxhash.xxh3_128_digest(" ".join(words)), len(own), sketch(own), sketch(own, 2), *_bands(own)))
+            names = [("id", pa.int64()), ("class", pa.binary()), ("size", pa.int32()), ("sketch", pa.binary()), ("fine", pa.binary()), ("bands", pa.list_(pa.int64())), ("more", pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kind) for n, (_, kind) in enumerate(names)], [name for name, _ in names])
 
-    return spread(chunks.select(F.col(key).cast("long"), "text")).mapInArrow(run, "id long, class binary, size int, sketch binary, fine binary, bands array<long>")
+    return spread(chunks.select(F.col(key).cast("long"), "text")).mapInArrow(run, "id long, class binary, size int, sketch binary, fine binary, bands array<long>, more array<long>")
 
 
 class _Block:
@@ -196,18 +199,32 @@ class _Block:
                 yield i[keep], j[keep]
 
 
+def _hot(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Bands with more than ``HOT`` rows, with ``n``, and how many they are."""
+    found = cut(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT))
+    return found, found.count()
+
+
 def _candidates(reps: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs ``a, b`` of representatives that share a band and whose sketches are within the radius."""
+    """Distinct pairs ``a, b`` of representatives that share a band and whose sketches are within the radius.
+
+    A hot band, of more than ``HOT`` rows, is split by ``MORE`` further min-hashes: each row goes to as many smaller bands. Only
+    what is hot even then - texts that are nearly all alike - is split into parts that are compared pair by pair."""
     rows = reps.select("id", "size", "sketch", F.explode("bands").alias("band"))  # a repeated row meets itself only
-    hot = cut(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT))
-    n_hot = hot.count()
+    hot, n_hot = _hot(rows)
+    whole = [F.lit(0).alias(c) for c in ("part", "one", "two")]
     if n_hot:
-        hot = hot.select("band", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
-        rows = rows.join(F.broadcast(hot) if n_hot <= BROADCAST else hot, "band", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-        rows = rows.select("id", "size", "sketch", "band", "part", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"))
+        sent = lambda df, n: F.broadcast(df) if n <= BROADCAST else df
+        cold = rows.join(sent(hot, n_hot), "band", "left_anti").select("id", "size", "sketch", "band", *whole)
+        members = reps.select("id", "size", "sketch", "more", F.explode("bands").alias("band")).join(sent(hot, n_hot).drop("n"), "band")
+        split = members.select("id", "size", "sketch", "band", F.posexplode("more").alias("at", "least")).withColumn("band", F.xxhash64("band", "at", "least"))
+        split = cut(split.select("id", "size", "sketch", "band"))
+        still, n_still = _hot(split)
+        split = split.join(sent(still.select("band", F.ceil(F.col("n") / PART).cast("int").alias("parts")), n_still), "band", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        split = split.withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+        rows = cold.unionByName(split.select("id", "size", "sketch", "band", "part", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two")))
     else:
-        rows = rows.select("id", "size", "sketch", "band", *[F.lit(0).alias(c) for c in ("part", "one", "two")])
+        rows = rows.select("id", "size", "sketch", "band", *whole)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(table: pa.Table) -> pa.RecordBatch:
@@ -316,7 +333,7 @@ def similar(chunks: DataFrame, key: str = "chunk_id", width: int = 5, similarity
     classes = known.groupBy("class").agg(F.min("id").alias("representative"), F.count(F.lit(1)).alias("copies"))
     members = cut(known.join(classes, "class").select("id", "representative", "copies"))
     copies = members.where("id <> representative").select("id")
-    reps = made.join(_small(copies), "id", "left_anti").select("id", "size", "sketch", "fine", "bands")
+    reps = made.join(_small(copies), "id", "left_anti").select("id", "size", "sketch", "fine", "bands", "more")
     near = _finer(reps, _candidates(reps, similarity), similarity)
     return _verified(chunks, key, cut(near), width, similarity), members
 
