@@ -101,10 +101,10 @@ _TITLE_WORDS = frozenset(t.rstrip(".") for t in TITLES if t != "m.")
 
 
 class Lexicon:
-    """Family names, given names and towns: what the corpus shows (``learned``), and the common given names."""
+    """Family names, given names, towns and kinds of firms: what the corpus shows (``learned``), and the common given names."""
 
-    def __init__(self, family: frozenset[str] = frozenset(), given: frozenset[str] = frozenset(), towns: frozenset[str] = frozenset()):
-        self.family, self.given, self.towns = family, COMMON_GIVEN | given, towns
+    def __init__(self, family: frozenset[str] = frozenset(), given: frozenset[str] = frozenset(), towns: frozenset[str] = frozenset(), kinds: frozenset[str] = frozenset()):
+        self.family, self.given, self.towns, self.kinds = family, COMMON_GIVEN | given, towns, kinds
         self.anchors = ahocorasick.Automaton()
         self.anchors.add_word("\0", (1, False, False))  # an automaton needs a key
         for word in self.family | given:
@@ -324,17 +324,17 @@ def evidence(chunks: DataFrame) -> DataFrame:
 
 
 #: Family names behind titles and labels that a given name needs, and the share of a word's capitalised places at which a
-#: family name must stand behind a given name, initial or title.
-DIVERSE, SHARE = 2, 0.1
+#: family name must stand behind a given name, initial or title; family names before a kind of firm.
+DIVERSE, SHARE, NAMED = 2, 0.1, 5
 
 
 def learned(chunks: DataFrame) -> dict[str, frozenset[str]]:
-    """``family``, ``given`` and ``towns``: the words that all texts together show to be such.
+    """``family``, ``given``, ``towns`` and ``kinds``: the words that all texts together show to be such.
 
     A given name stands behind titles, salutations or labels before ``DIVERSE`` different words that are hardly ever written
     in lower case. A family name is such a word that stands behind given names or initials, not much rarer than in lower case and
-    at ``SHARE`` of its capitalised places at least. A town stands beside postcodes more often than in lower case. They are
-    collected, as all tasks look them up: as many as the corpus has different names (1,100 on sf0.1).
+    at ``SHARE`` of its capitalised places at least. A town stands beside postcodes more often than in lower case. A
+    kind of firm (or a word before it) stands behind ``NAMED`` different family names, or often behind such a word. They are collected, as all tasks look them up: as many as the corpus has different names (1,100 on sf0.1).
     """
     counts = cut(evidence(chunks))
     of = lambda what: counts.where(F.col("what") == what)
@@ -349,7 +349,11 @@ def learned(chunks: DataFrame) -> dict[str, frozenset[str]]:
     behind = behind.unionByName(behind.where("word like '%-%'").select(F.explode(F.split("word", "-")).alias("word"), "n"))  # of double names each
     family = behind.groupBy("word").agg(F.sum("n").alias("n")).where((F.length("word") > 2) & ~F.col("word").isin(*(OTHER | FIRM | CUES | PARTICLE_WORDS)))
     family = family.join(small, "word", "left").join(large, "word", "left").where((4 * F.col("n") > F.coalesce("small", F.lit(0))) & (F.col("n") >= SHARE * F.coalesce("large", F.lit(0))))
-    family = family.join(given.select(F.col("a").alias("word")), "word", "left_anti")
+    family = cut(family.join(given.select(F.col("a").alias("word")), "word", "left_anti").select("word"))
+    named = of("pair").join(family.select(F.col("word").alias("a")), "a", "left_semi").join(given.select(F.col("a").alias("b")), "b", "left_anti").join(family.select(F.col("word").alias("b")), "b", "left_anti")
+    kinds = named.groupBy("b").agg(F.count(F.lit(1)).alias("names")).where((F.col("names") >= NAMED) & ~F.col("b").isin(*(OTHER | CUES | PARTICLE_WORDS)) & (F.length("b") > 1))
+    behind = of("pair").join(kinds.select(F.col("b").alias("a")), "a", "left_semi").groupBy("b").agg(F.sum("n").alias("names")).where((F.col("names") >= NAMED) & ~F.col("b").isin(*(OTHER | CUES | PARTICLE_WORDS)))
+    kinds = kinds.select("b").unionByName(behind.join(large, behind["b"] == large["word"], "left").where(F.col("names") >= SHARE * F.coalesce("large", F.lit(0))).select("b")).distinct()
     towns = of("town").select(F.col("a").alias("word"), "n").join(small, "word", "left").where(F.col("n") > F.coalesce("small", F.lit(0)))
     take = lambda df, c: frozenset(r[0] for r in df.select(c).collect())
-    return {"family": take(family, "word"), "given": take(given, "a"), "towns": take(towns, "word")}
+    return {"family": take(family, "word"), "given": take(given, "a"), "towns": take(towns, "word"), "kinds": take(kinds, "b")}

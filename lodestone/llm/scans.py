@@ -24,8 +24,6 @@ CONFUSED = (
     ("c", "e"), ("0", "o"), ("@", "a"), ("¦", "r"), ("1", "i"), ("1", "l"), ("~", "t"), ("ri", "n"), ("cl", "d"), ("5", "s"), ("ii", "u"), ("ii", "ü"),
     ("(", "c"), ("q", "g"), ("b", "h"), ("rn", "m"), ("f", "e"), ("ü", "ti"), ("6", "b"), ("6", "ó"), ("6", "é"), ("vv", "w"), ("rm", "nn"), ("8", "b"), ("9", "g"), ("|", "l"), ("ni", "m"), ("!", "l"), ("ﬁ", "fi"),
 )
-#: Kinds of firms that head a page. Fixed values.
-FIRMS = "board gmbh ltd group bakery clinic fils trust holdings logistics seguros joinery".split()
 #: A word is in the vocabulary if it has at least this share of the words of texts without pages, and stands there twice; so
 #: there are at most 1 / SHARE words of it, whatever the size of the corpus.
 SHARE = 2e-6
@@ -45,14 +43,17 @@ _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 _MARK = re.compile(r"([^\W\d_][\w@¦~(]*|[@¦~])([-‐¬­])[ \t]*$")
 _MAIL = re.compile(r"\S+\s?(?:@|[(\[]at[)\]])\s?\S+[.]\w{2,}|\w+@\w+[.]\w+", re.IGNORECASE)
 _D = r"[0-9lIOo|S]"
+#: The mark of a file or edition in a header.
+_CODE = r"\d{1,4}/[A-Z]{1,3}"
 _PAGE = re.compile(
     rf"(?:[—–-] ?{_D}{{1,5}} ?[—–-]|[\[(]{_D}{{1,5}}[\])]|(?:[Pp][a@][gq][ec]|[Pp][gq]\.?|[Pp]\.|[Ss][ec][i1l][t~][ec]|S\.|[Pp]ágina) ?{_D}{{1,5}}(?: ?(?:[o0][f]|von|sur|d[ec]|/) ?{_D}{{1,5}})?|{_D}{{1,5}} ?/ ?{_D}{{1,5}}|[0-9]{_D}{{0,4}}|{_D}{{0,4}}[0-9]|l{{1,3}}|l[OoS]|[ivxlc]{{1,8}})"
 )
-_UPPER = re.compile(rf"[^\Wa-zß_][^\Wa-zäöüéèàùçñóíáúêâîôûëï_@¦~(]*(?:[ -][^\Wa-zäöüéèàùçñóíáúêâîôûëï_]+){{0,3}}(?: \d\d/[A-C])?(?P<folio> {{3,}}{_D}{{1,5}})?")
+_UPPER = re.compile(rf"[^\Wa-zß_][^\Wa-zäöüéèàùçñóíáúêâîôûëï_@¦~(]*(?:[ -][^\Wa-zäöüéèàùçñóíáúêâîôûëï_]+){{0,3}}(?: {_CODE})?(?P<folio> {{3,}}{_D}{{1,5}})?")
 _COPY = re.compile(r"[Ff][i1l][l1][ec] [c(e][o0]p[yv]: \S.*")
 _TITLE = r"[^\W_a-z][\w@¦~(&'’.-]*"
-_BAR = re.compile(rf"{_TITLE}(?: (?:{_TITLE}|et|&)){{0,3}} \| {_TITLE}(?: {_TITLE}){{0,3}}(?: \d\d/[A-C])?|(?:{_TITLE} ){{1,4}}(?:\d\d/[A-C] )?— {_TITLE}(?: (?:{_TITLE}|et|&)){{0,3}}")
+_BAR = re.compile(rf"{_TITLE}(?: (?:{_TITLE}|et|&)){{0,3}} \| {_TITLE}(?: {_TITLE}){{0,3}}(?: {_CODE})?|(?:{_TITLE} ){{1,4}}(?:{_CODE} )?— {_TITLE}(?: (?:{_TITLE}|et|&)){{0,3}}")
 _FIRM = re.compile(rf"{_TITLE}(?: (?:{_TITLE}|et|&)){{1,3}}")
+_NO_LETTERS = re.compile(r"[\W\d_]+")
 _SECTION = re.compile(r"\d{1,3}\. ")
 
 
@@ -69,9 +70,10 @@ _by_first = _swaps()
 class Reader:
     """Decodes words against a vocabulary."""
 
-    def __init__(self, vocabulary: frozenset[str], family: frozenset[str] = frozenset()):
+    def __init__(self, vocabulary: frozenset[str], lexicon: Lexicon | None = None):
         self.words = vocabulary
-        self.is_family = Lexicon(family).is_family
+        self.lexicon = lexicon or Lexicon()
+        self.is_family = self.lexicon.is_family
         self.known: dict[str, str | None] = {}
         self.paths: dict[tuple[str, frozenset[int]], list[tuple[int, int, str, int]]] = {}
         self.trie = ahocorasick.Automaton()
@@ -182,8 +184,22 @@ class Reader:
         return min(costs, default=UNKNOWN) if 3 <= len(word) <= 40 else UNKNOWN
 
 
-def _furniture(lines: list[tuple[int, str]], reader: Reader) -> list[str | None]:
-    """For each line ``header``, ``page_number`` or none."""
+def bare_line(line: str) -> str:
+    """A line's letters in lower case, other characters as one blank: what running headers have in common."""
+    return _NO_LETTERS.sub(" ", line.lower()).strip()
+
+
+def _named_firm(line: str, reader: Reader) -> bool:
+    """Whether a short line of capitalised words is a firm: a known family name and then no given name, or, however it was
+    read, a kind of firm at its end."""
+    words = re.findall(r"[^\s]+", line)
+    if not (len(line) <= 48 and _FIRM.fullmatch(line)) or reader.lexicon._is_given(words[0]) or any(reader.lexicon._is_given(w) for w in words[1:2]):
+        return False
+    return (reader.is_family(words[0].lower()) and not words[0].isupper() and not reader.is_family(words[1].lower())) or reader.read(words[-1].lower()) in reader.lexicon.kinds and not words[-1].isupper()
+
+
+def _furniture(lines: list[tuple[int, str]], reader: Reader, running: frozenset[str] = frozenset()) -> list[str | None]:
+    """For each line ``header``, ``page_number`` or none. ``running``: lines, as ``bare_line`` gives them, of several pages."""
     bare = [t.strip() for _, t in lines]
     kinds: list[str | None] = [None] * len(lines)
     letters = [c for t in bare for c in t if c.isalpha()]
@@ -200,7 +216,9 @@ def _furniture(lines: list[tuple[int, str]], reader: Reader) -> list[str | None]
             kinds[i] = "header"
         elif _BAR.fullmatch(t) and "@" not in t.replace("@r", "r") and not t.endswith("|"):
             kinds[i] = "header"
-        elif len(t) <= 48 and _FIRM.fullmatch(t) and reader.read(t.split(" ")[-1].lower()) in FIRMS:
+        elif _named_firm(t, reader):
+            kinds[i] = "header"
+        elif running and bare_line(t) in running:
             kinds[i] = "header"
     for i, t in enumerate(bare):
         if kinds[i] or not 4 <= len(t) <= 110 or shouted:
@@ -263,8 +281,8 @@ def _stretches(stream: str, tokens: list[tuple[int, str, str]]) -> Iterator[list
             yield run[first:stop]
 
 
-def examine(text: str | None, reader: Reader) -> tuple[list[tuple[int, str]], str | None]:
-    """Noises of a page's text (position, kind), in order, and the repaired text. Null stays null."""
+def examine(text: str | None, reader: Reader, running: frozenset[str] = frozenset()) -> tuple[list[tuple[int, str]], str | None]:
+    """Noises of a page's text (position, kind), in order, and the repaired text. Null stays null. ``running``: see ``_furniture``."""
     if not text:
         return [], text
     lines: list[tuple[int, str]] = []
@@ -273,7 +291,7 @@ def examine(text: str | None, reader: Reader) -> tuple[list[tuple[int, str]], st
         lines.append((at, text[at : m.start()]))
         at = m.end()
     lines.append((at, text[at:]))
-    kinds = _furniture(lines, reader)
+    kinds = _furniture(lines, reader, running)
     noises: list[tuple[int, str]] = []
     for (start, line), kind in zip(lines, kinds, strict=True):
         if kind:
@@ -439,22 +457,45 @@ def vocabulary(chunks: DataFrame) -> list[str]:
     return [r[0] for r in known]  # at most 1 / SHARE words
 
 
+#: Documents with running headers up to which these are broadcast.
+FEW = 20_000
+#: Pages of a document on which a line must stand to be a running header, and share of its pages.
+PAGES, OF_PAGES = 3, 0.2
+
+
+def running_lines(pages: DataFrame) -> DataFrame:
+    """``doc_id, running``: lines that stand on ``PAGES`` pages of a document and on the share ``OF_PAGES`` of all its
+    pages at least, as ``bare_line`` gives them. Such a line has
+    up to eight words, begins with a capital letter or digit and ends without a mark of a sentence."""
+    lines = pages.where("text is not null and doc_id is not null").select("doc_id", "page", F.explode(F.array_distinct(F.split("text", r"\r\n|\n|\r"))).alias("line"))
+    fit = lines.where(F.length("line").between(4, 110) & F.col("line").rlike(r"^\s*[\p{Lu}\d]\S*(?: +\S+){0,7}\s*$") & ~F.col("line").rlike(r"[.!?,;:\-‐¬\u00ad]\s*$"))
+    bare = fit.select("doc_id", "page", F.trim(F.regexp_replace(F.lower("line"), r"[^\p{L}]+", " ")).alias("line")).where(F.length("line") > 3)
+    often = bare.groupBy("doc_id", "line").agg(F.count_distinct("page").alias("n")).where(F.col("n") >= PAGES)
+    all_pages = pages.where("doc_id is not null").groupBy("doc_id").agg(F.count_distinct("page").alias("pages"))
+    often = often.join(all_pages, "doc_id").where(F.col("n") >= OF_PAGES * F.col("pages"))
+    return often.groupBy("doc_id").agg(F.collect_set("line").alias("running"))  # the headers of one document
+
+
 def scanned(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
     """``key, page, noises, repaired`` of every chunk with a page: noises as ``array<struct<pos,noise_kind>>`` and the text as
     continuous paragraphs. Null texts have no noises and stay null; repeated rows stay; with no text that has no page there
     is no vocabulary, so only furniture and plain line-end marks are found."""
-    words = chunks.sparkSession.sparkContext.broadcast((frozenset(vocabulary(chunks)), learned(chunks)["family"]))
+    words = chunks.sparkSession.sparkContext.broadcast((frozenset(vocabulary(chunks)), learned(chunks)))
     kind = pa.list_(pa.struct([("pos", pa.int32()), ("noise_kind", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(*words.value)
+        reader = Reader(words.value[0], Lexicon(**words.value[1]))
         for batch in batches:
-            made = [examine(t, reader) for t in batch.column(2).to_pylist()]
+            made = [examine(t, reader, frozenset(r or ())) for t, r in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             rows = pa.array([[{"pos": p, "noise_kind": k} for p, k in n] for n, _ in made], kind)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), rows, pa.array([t for _, t in made], pa.string())], ["key", "page", "noises", "repaired"])
 
-    pages = spread(chunks.where("page is not null").select(F.col(key).cast("long"), "page", "text"))
-    return pages.mapInArrow(run, "key long, page int, noises array<struct<pos:int,noise_kind:string>>, repaired string").withColumnRenamed("key", key)
+    pages = chunks.where("page is not null").select(F.col(key).cast("long").alias(key), "doc_id", "page", "text")
+    running = cut(running_lines(pages))
+    few = running.limit(FEW + 1).count() <= FEW
+    known = spread(pages).join(F.broadcast(running) if few else running, "doc_id", "left")
+    source = known.select(F.col(key), "page", "text", "running")
+    return source.mapInArrow(run, "key long, page int, noises array<struct<pos:int,noise_kind:string>>, repaired string").withColumnRenamed("key", key)
 
 
 def noises(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:

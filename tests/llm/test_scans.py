@@ -1,10 +1,12 @@
 from lodestone.llm import scans
+from lodestone.llm.names import Lexicon, learned
 
 WORDS = frozenset("the committee reviewed a long-term long term budget number treasurer approved delivery holdings seguros summary warm copy file provided under new plan sign-off sign off mortgage".split())
 
 
 def found(text):
-    return [(k, text[p : p + 12].split()[0] if k != "hyphen" else text[p]) for p, k in scans.examine(text, scans.Reader(WORDS))[0]]
+    lexicon = Lexicon(frozenset({"dranwick"}), kinds=frozenset({"holdings"}))
+    return [(k, text[p : p + 12].split()[0] if k != "hyphen" else text[p]) for p, k in scans.examine(text, scans.Reader(WORDS, lexicon))[0]]
 
 
 def test_hyphens_put_in_and_own():
@@ -23,6 +25,13 @@ def test_furniture_and_headings():
     assert found(text) == [("page_number", "-"), ("header", "Dranwick"), ("header", "WARM"), ("page_number", "Page")]
 
 
+def test_lines_of_several_pages_are_headers(spark, chunks):
+    rows = [(i, 1, i, f"the committee reviewed the\nNotes of {i} June\nbudget of the plan {i}.", 100 * i, 0, i, None) for i in range(1, 5)]
+    rows += [(9, 2, 0, "the committee reviewed the\nNotes of 1 June\nbudget of the plan.", 0, 0, 1, None)]
+    got = {(r["chunk_id"], r["noise_kind"]) for r in scans.noises(chunks(rows)).collect()}
+    assert got == {(i, "header") for i in range(1, 5)}
+
+
 def test_word_over_a_page_border():
     text = "the mort-\n- 1 -\nFile copy: Warm Summary\ngage of the budget"
     noises, repaired = scans.examine(text, scans.Reader(WORDS))
@@ -45,7 +54,7 @@ def test_edges(spark, chunks):
 
 
 def test_family_names_of_no_list_are_no_damage(spark, chunks):
-    assert [k for _, k in scans.examine("the hartrnan", scans.Reader(WORDS | {"hartman"}, frozenset({"hartrnan"})))[0]] == []
+    assert [k for _, k in scans.examine("the hartrnan", scans.Reader(WORDS | {"hartman"}, Lexicon(frozenset({"hartrnan"}))))[0]] == []
     rows = [(i, 1, 0, t, 0, 0, None, None) for i, t in enumerate(["Mr John Abernathy came.", "the committee reviewed", "the committee"])]
     assert set(scans.vocabulary(chunks(rows))) == {"the", "committee"}
 
