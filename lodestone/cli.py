@@ -8,7 +8,7 @@ import os
 import sys
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import access, details, reminders
@@ -17,6 +17,7 @@ from lodestone.plans import answer, intake
 from lodestone.plans.model import Model, build_model
 from lodestone.settings import Settings, load_settings
 from lodestone.sources.store import Store
+from lodestone.sources.tables import cut
 from lodestone.streaming import jobs
 
 
@@ -49,8 +50,12 @@ def status(store: Store, *_) -> dict:
 def ask(store: Store, args, model: Model, settings: Settings) -> Iterator[dict]:
     asked, chunks, docs = _one(store, args.question, "question"), store.table("chunks"), store.table("documents")
     if args.plain:
-        return _rows(answer.answer_single(asked, chunks, docs, model, settings, vectors=chunks.select("chunk_id", "embedding")))
-    return _rows(answer.answer_in_parts(asked, chunks, docs, model, settings, store.table("facts")))
+        return _rows(answer.answer_single(asked, chunks, docs, model, settings, vectors=chunks.select("chunk_id", "embedding", "norm"), index=store.table("postings")))
+    now = F.current_timestamp().cast("timestamp_ntz")
+    made, turns, cache = answer.answer_remembered(asked, chunks, docs, store.table("conversation_turns"), store.table("semantic_memory"), store.table("answers"), now, store.meta("content", 0), model, settings, store.table("facts"), chunks.select("chunk_id", "embedding", "norm"), store.table("postings"))
+    made = cut(made)
+    store.commit({"conversation_turns": turns, "answers": cache})
+    return _rows(made)
 
 
 def summarize(store: Store, args, model: Model, settings: Settings) -> Iterator[dict]:
@@ -63,13 +68,10 @@ def summarize(store: Store, args, model: Model, settings: Settings) -> Iterator[
 
 
 def find_details(store: Store, args, model: Model, *_) -> Iterator[dict]:
-    text = _one(store, read_text(args.text), key="chunk_id")
-    found = details.scan(text)
+    text, said = _one(store, read_text(args.text), key="chunk_id"), None
     if args.model:
-        said = answer.ask(text.select(F.col("chunk_id").alias("qid"), F.col("text").alias("prompt")), model, "FIND personal details, quoted exactly, as JSON.", as_json=True)
-        found = found.unionByName(details.model_spans(text, said.withColumnRenamed("qid", "chunk_id")))
-    order = Window.partitionBy("chunk_id").orderBy("span_start", F.desc("span_end"), F.desc("source"))
-    return _rows(details.merge_spans(found.withColumn("seq", F.row_number().over(order))).drop("chunk_id", "seq"))
+        said = answer.ask(text.select(F.col("chunk_id").alias("qid"), F.col("text").alias("prompt")), model, "FIND personal details, quoted exactly, as JSON.", as_json=True).withColumnRenamed("qid", "chunk_id")
+    return _rows(details.combined(text, said).drop("chunk_id"))
 
 
 def actions(store: Store, args, model: Model, *_) -> Iterator[dict]:
@@ -77,14 +79,14 @@ def actions(store: Store, args, model: Model, *_) -> Iterator[dict]:
     return _rows(details.actions(said).drop("qid"))
 
 
-def remind(store: Store, args, *_) -> Iterator[dict]:
-    parsed = reminders.parse(_one(store, args.text).withColumn("now", F.date_trunc("second", F.current_timestamp()).cast("timestamp_ntz")))
+def remind(store: Store, args, model: Model, *_) -> Iterator[dict]:
+    parsed = cut(answer.remind(_one(store, args.text).withColumn("now", F.date_trunc("second", F.current_timestamp()).cast("timestamp_ntz")), model))
     row = parsed.first()
     if row["error"]:
         raise ValueError(row["error"])
     known = store.table("reminders")
     store.commit({"reminders": reminders.add(known, parsed)})
-    return [{"title": row["title"], "due_at": row["due_at"]}]
+    return iter([{"title": row["title"], "due_at": row["due_at"]}])
 
 
 def list_reminders(store: Store, args, *_) -> Iterator[dict]:
@@ -137,6 +139,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("text")
     p.add_argument("--model", action="store_true")
     p.set_defaults(run=find_details)
+    sub.add_parser("models").set_defaults(run=lambda store, a, m, s: {"up": m.is_up(), "models": m.list_models() if m.is_up() else [], "missing": m.missing_models()})
+    sub.add_parser("vacuum").set_defaults(run=lambda store, a, m, s: {"removed": store.vacuum()})
+    sub.add_parser("truncate").set_defaults(run=lambda store, a, m, s: {"generation": store.truncate("documents", "chunks", "postings")})
     p = sub.add_parser("actions")
     p.add_argument("text")
     p.set_defaults(run=actions)

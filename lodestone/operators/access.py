@@ -48,6 +48,11 @@ def gate(rows: DataFrame, folders: DataFrame) -> tuple[DataFrame, DataFrame]:
     return known.where(F.col("access_level") != "no_access"), known.where(F.col("access_level") == "no_access")
 
 
+def locked(rows: DataFrame, folders: DataFrame) -> DataFrame:
+    """Distinct ``path, access_level`` of the rows that may not be changed, as deleting and forced reading would."""
+    return resolve(rows.select("path"), folders).where(F.col("access_level") != "edit").distinct()
+
+
 def under(path: Column, folder: Column | str) -> Column:
     """Whether ``path`` is ``folder`` or lies in it, by whole names."""
     folder = F.lit(folder) if isinstance(folder, str) else folder

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,11 +65,22 @@ def counts(text: Column) -> list[Column]:
     return [F.size(F.regexp_extract_all(text, F.lit(p), F.lit(0))).cast("long").alias(kind) for kind, p in COUNTED.items()]
 
 
+def _places(text: pd.Series, needle: pd.Series) -> pd.Series:
+    """One search after another from the place behind the last hit."""
+    out = []
+    for t, n in zip(text, needle, strict=True):
+        n = (n or "").strip(" ")
+        at, own = (t or "").find(n) if n else -1, []
+        while at >= 0:
+            own.append(at)
+            at = t.find(n, at + 1)
+        out.append(own)
+    return pd.Series(out, dtype=object)
+
+
 def occurrences(text: Column, needle: Column) -> Column:
     """Starts (0-based) of all, also overlapping, places of the trimmed ``needle``; none if it is blank."""
-    n = F.trim(needle)
-    places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substring(text, i, F.length(n)) == n)
-    return F.when((F.length(n) > 0) & F.contains(text, n), F.transform(places, lambda i: i - 1)).otherwise(F.array().cast("array<int>"))
+    return F.pandas_udf(_places, "array<int>")(text, needle)
 
 
 def model_spans(texts: DataFrame, answers: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -81,6 +93,15 @@ def model_spans(texts: DataFrame, answers: DataFrame, key: str = "chunk_id") ->
     return found.select(key, "span_start", (F.col("span_start") + F.length("quote")).alias("span_end"), F.col("quote").alias("text"), "kind", F.lit("model").alias("source"))
 
 
+def combined(texts: DataFrame, answers: DataFrame | None, key: str = "chunk_id") -> DataFrame:
+    """Findings of the patterns and of the model (``key, answer``; none where it failed or wasn't asked), merged: of spans that lie
+    within one another the longer stays, of equal ones the pattern's."""
+    found = scan(texts, key)
+    if answers is not None:
+        found = found.unionByName(model_spans(texts, answers, key))
+    return merge_spans(found.withColumn("seq", F.when(F.col("source") == "regex", 0).otherwise(1)), (key,)).drop("seq")
+
+
 def actions(answers: DataFrame, key: str = "qid") -> DataFrame:
     """Action items of the model's JSON: blank tasks dropped, blank owner and date are null, snippets trimmed."""
     items = F.from_json("answer", "items array<struct<task string, owner string, due_date string, source_snippet string>>")["items"]

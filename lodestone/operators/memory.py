@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import OrderedDict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,13 +42,19 @@ def most_important(items: DataFrame, keep: int = 100, by: str | None = None) ->
 
 def search(items: DataFrame, questions: DataFrame, limit: int = 5) -> DataFrame:
     """``qid, place, item_id, overlap``: for each question the items that share most distinct words with it, then the more
-    important, then the lower id. ``items`` must be bounded, as the memory is (at most 100 at the reference setting): every
-    item is compared, those without common words fill up."""
-    asked = questions.select("qid", query_tokens(F.coalesce("question", F.lit(""))).alias("_q"), F.lit(1).alias("_one"))
-    kept = items.select("item_id", "importance", query_tokens(F.coalesce("text", F.lit(""))).alias("_t"), F.lit(1).alias("_one"))
-    pairs = asked.join(F.broadcast(kept), "_one").withColumn("overlap", F.size(F.array_intersect("_q", "_t")).cast("long"))
+    important, then the lower id. Items meet questions by common words; those without any fill up, of which only the first
+    ``limit`` can be needed."""
+    asked = questions.select("qid", query_tokens(F.coalesce("question", F.lit(""))).alias("_q"))
+    kept = cut(items.select("item_id", "importance", query_tokens(F.coalesce("text", F.lit(""))).alias("_t")))
+    hits = asked.select("qid", F.explode("_q").alias("word")).join(kept.select("item_id", "importance", F.explode("_t").alias("word")), "word")
+    shared = hits.groupBy("qid", "item_id", "importance").agg(F.count(F.lit(1)).alias("overlap"))
+    first = kept.orderBy(F.desc("importance"), "item_id").limit(limit).select("item_id", "importance").collect()  # ``limit`` rows
+    fill = F.array(*[F.struct(F.lit(r["item_id"]).alias("item_id"), F.lit(r["importance"]).alias("importance")) for r in first]) if first else None
+    if fill is not None:
+        spare = asked.select("qid", F.explode(fill).alias("i")).select("qid", "i.item_id", "i.importance", F.lit(0).cast("long").alias("overlap"))
+        shared = shared.unionByName(spare).groupBy("qid", "item_id", "importance").agg(F.max("overlap").alias("overlap"))
     order = Window.partitionBy("qid").orderBy(F.desc("overlap"), F.desc("importance"), "item_id")
-    return pairs.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= limit).select("qid", "place", "item_id", "overlap")
+    return shared.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= limit).select("qid", "place", "item_id", "overlap")
 
 
 def merge_facts(rows: DataFrame) -> DataFrame:
@@ -128,18 +135,22 @@ def replay_ttl(requests: DataFrame, ttl_s: float = 3600.0, keys: tuple[str, ...]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, expires = None, None
-        life = pd.Timedelta(seconds=ttl_s)
+        now, expires, life = None, None, pd.Timedelta(seconds=ttl_s).value
         for pdf in batches:
-            hits = []
-            for row in pdf.itertuples(index=False):
-                key = tuple(row[: len(keys)])
-                if key != now:
-                    now, expires = key, None
-                hit = expires is not None and not expires < row.ts
-                if not hit:
-                    expires = row.ts + life
-                hits.append(hit)
+            hits = np.zeros(len(pdf), bool)
+            at = pdf["ts"].astype("datetime64[ns]").astype("int64").to_numpy()
+            groups = pdf[list(keys)].apply(tuple, axis=1) if len(keys) > 1 else pdf[keys[0]]
+            edges = np.flatnonzero(np.r_[True, groups.to_numpy()[1:] != groups.to_numpy()[:-1], True]) if len(pdf) else []
+            for low, high in zip(edges[:-1], edges[1:], strict=True):
+                key = groups.iloc[low]
+                first = int(np.searchsorted(at[low:high], expires, "right")) + low if key == now else low
+                hits[low:first] = True  # by what the batch before left
+                now, expires = key, expires if key == now else None
+                while first < high:  # from one miss to the next
+                    expires = at[first] + life
+                    after = int(np.searchsorted(at[first:high], expires, "right")) + first
+                    hits[first + 1 : after] = True
+                    first = max(after, first + 1)
             yield pdf.assign(hit=hits)
 
     return source.mapInPandas(run, f"{kinds}, hit boolean")

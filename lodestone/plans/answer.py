@@ -5,20 +5,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import NOT_FOUND, is_not_found, needs_parts
-from lodestone.operators import context, memory, search
+from lodestone.operators import context, memory, reminders, search
 from lodestone.operators.chunking import chunk_spans
 from lodestone.plans.model import Model, ModelError, OfflineModel
 from lodestone.settings import Settings
-from lodestone.sources.tables import cut
+from lodestone.sources.tables import cut, numbered, spread
 
 ANSWER = f"ANSWER the question from the numbered excerpts only. Cite them as [n]. If they hold no answer, reply exactly {NOT_FOUND}."
 SPLIT = "SPLIT the question into at most four parts, each with a search query and key terms, as JSON."
 SCORE = "SCORE each numbered excerpt for the questions, 0 to 1, as JSON."
 CHECK = "CHECK whether the answer follows from the excerpts and is complete, as JSON."
+PART = "PART the reminder request into title and when_phrase, quoted exactly, as JSON."
 SUMMARY = {
     "paragraph": "SUMMARISE the text in one paragraph.",
     "bullets": "SUMMARISE the text as bullet points.",
@@ -75,12 +76,12 @@ def _answered(questions: DataFrame, included: DataFrame, said: DataFrame, pipeli
     return base.select("qid", F.coalesce("answer", F.lit(NOT_FOUND)).alias("answer"), "sources", F.lit(pipeline).alias("pipeline"))
 
 
-def answer_single(questions: DataFrame, chunks: DataFrame, documents: DataFrame, model: Model | None = None, settings: Settings | None = None, extra: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
+def answer_single(questions: DataFrame, chunks: DataFrame, documents: DataFrame, model: Model | None = None, settings: Settings | None = None, extra: DataFrame | None = None, vectors: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
     """One pass: hybrid search, packing, one call a question. ``questions`` has ``qid, question``, ``extra`` a context each."""
     model, s = model or OfflineModel(), settings or Settings()
     vectors = vectors if vectors is not None else embed(chunks, "chunk_id", "text", model, model.document_prefix)
     asked = embed(questions, "qid", "question", model, model.query_prefix)
-    found = cut(search.hybrid(chunks, documents, questions, vectors, asked, s.vector_top_k, max(s.vector_top_k, s.keyword_top_k)))
+    found = cut(search.hybrid(chunks, documents, questions, vectors, asked, s.vector_top_k, max(s.vector_top_k, s.keyword_top_k), index))
     included = context.pack(found, s.context_token_budget)
     said = cut(ask(_prompts(questions, included, extra), model, ANSWER))
     return _answered(questions, included, said, "fast")
@@ -112,7 +113,7 @@ def verdicts(said: DataFrame) -> DataFrame:
     return said.select("qid", F.when(ok, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(v["confidence"], F.lit(0.5))))).alias("confidence"), F.when(ok, F.coalesce(v["is_complete"], F.lit(True))).alias("is_complete"), F.when(ok, gaps).alias("gaps"))
 
 
-def answer_in_parts(questions: DataFrame, chunks: DataFrame, documents: DataFrame, model: Model | None = None, settings: Settings | None = None, facts: DataFrame | None = None, extra: DataFrame | None = None) -> DataFrame:
+def answer_in_parts(questions: DataFrame, chunks: DataFrame, documents: DataFrame, model: Model | None = None, settings: Settings | None = None, facts: DataFrame | None = None, extra: DataFrame | None = None, vectors: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
     """The long way for questions that look as if they had parts, ``answer_single`` for the others.
 
     Parts are searched in one batch, their hits pooled, facts around their key terms added, all excerpts scored in one call
@@ -120,10 +121,10 @@ def answer_in_parts(questions: DataFrame, chunks: DataFrame, documents: DataFram
     is_complete, gaps``: confidence is the mean score of the excerpts used, ``checked`` the model's own.
     """
     model, s = model or OfflineModel(), settings or Settings()
-    vectors = cut(embed(chunks, "chunk_id", "text", model, model.document_prefix))
+    vectors = vectors if vectors is not None else cut(embed(chunks, "chunk_id", "text", model, model.document_prefix))
     gated = cut(questions.select("qid", "question").withColumn("many", F.coalesce(needs_parts(F.col("question"), s), F.lit(False))))
     plain, many = gated.where("not many").drop("many"), gated.where("many").drop("many")
-    fast = answer_single(plain, chunks, documents, model, s, extra, vectors)
+    fast = answer_single(plain, chunks, documents, model, s, extra, vectors, index)
     empty = [F.lit(None).cast(t).alias(c) for c, t in (("confidence", "double"), ("checked", "double"), ("is_complete", "boolean"), ("gaps", "array<string>"))]
     fast = fast.select("*", *empty)
 
@@ -132,7 +133,7 @@ def answer_in_parts(questions: DataFrame, chunks: DataFrame, documents: DataFram
     subs = parts.select(key.alias("qid"), F.col("search_query").alias("question"))
     k = max(s.vector_top_k, s.keyword_top_k)
     asked = embed(subs, "qid", "question", model, model.query_prefix)
-    hits = search.fuse([search.cosine(vectors, asked, s.vector_top_k), search.bm25(chunks, subs, s.keyword_top_k)], k)
+    hits = search.fuse([search.cosine(vectors, asked, s.vector_top_k), search.bm25(chunks, subs, s.keyword_top_k, index)], k)
     back = parts.select(key.alias("_key"), F.col("qid").alias("_qid"), "sub")
     hits = hits.join(back, hits["qid"] == back["_key"]).select(F.col("_qid").alias("qid"), "sub", "chunk_id", "score", "rank")
     pool = search.merge_pools(hits, s.max_candidates)
@@ -171,8 +172,67 @@ def answer_in_parts(questions: DataFrame, chunks: DataFrame, documents: DataFram
     return fast.unionByName(full.select(fast.columns))
 
 
+def cached(questions: DataFrame, answers: DataFrame, now: Column, generation: int) -> DataFrame:
+    """``qid, answer, sources`` of the questions that ``answers`` holds word by word, of this generation and not expired."""
+    fresh = answers.where((F.col("generation") == generation) & (F.col("expires_at") >= now)).select("question", "answer", "sources")
+    return questions.select("qid", "question").join(fresh, "question").select("qid", "answer", "sources")
+
+
+def finalise_turns(questions: DataFrame, answered: DataFrame, turns: DataFrame, now: Column) -> DataFrame:
+    """``turns`` with each question and its answer as two new ones under the next ids, in order of the questions' ids."""
+    said = questions.join(answered.select("qid", "answer"), "qid")
+    two = F.explode(F.array(F.struct(F.lit(0).alias("n"), F.lit("user").alias("role"), F.col("question").alias("content")), F.struct(F.lit(1).alias("n"), F.lit("assistant").alias("role"), F.col("answer").alias("content"))))
+    top = turns.agg(F.coalesce(F.max("turn_id"), F.lit(0))).first()[0]
+    rows = said.select("qid", two.alias("t")).select("qid", F.col("t.n").alias("n"), F.col("t.role").alias("role"), F.col("t.content").alias("content"), now.alias("created_at"))
+    return turns.unionByName(numbered(rows, ["qid", "n"], top, "turn_id").select(turns.columns))
+
+
+def finalise_cache(questions: DataFrame, answered: DataFrame, hits: DataFrame, answers: DataFrame, now: Column, generation: int, settings: Settings | None = None) -> DataFrame:
+    """``answers`` with the new ones (also those not found), the used ones moved up, and of all the ``cache_max_size`` used last.
+    A question asked twice is kept with the answer of its highest id."""
+    s = settings or Settings()
+    top = answers.agg(F.coalesce(F.max("used_seq"), F.lit(0))).first()[0]
+    expires = now + F.make_dt_interval(secs=F.lit(s.cache_ttl_s))
+    new = questions.join(answered.select("qid", "answer", "sources"), "qid").groupBy("question").agg(F.max_by("answer", "qid").alias("answer"), F.max_by("sources", "qid").alias("sources"), F.max("qid").alias("_by"))
+    new = new.select("question", "answer", "sources", F.lit(generation).cast("long").alias("generation"), expires.alias("expires_at"), "_by")
+    used = questions.join(hits.select("qid"), "qid").groupBy("question").agg(F.max("qid").alias("_by"))
+    old = answers.join(new.select("question"), "question", "left_anti").join(used, "question", "left")
+    moved = old.where("_by is not null").select(*[c for c in answers.columns if c != "used_seq"], "_by").unionByName(new.select(*[c for c in answers.columns if c != "used_seq"], "_by"))
+    rows = old.where("_by is null").select(answers.columns).unionByName(numbered(moved, ["_by"], top, "used_seq").select(answers.columns))
+    return rows.orderBy(F.desc("used_seq")).limit(s.cache_max_size)
+
+
+def answer_remembered(questions: DataFrame, chunks: DataFrame, documents: DataFrame, turns: DataFrame, items: DataFrame, answers: DataFrame, now: Column, generation: int, model: Model | None = None, settings: Settings | None = None, facts: DataFrame | None = None, vectors: DataFrame | None = None, index: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Questions with memory: answers still in the cache are given again, the others are answered with what is remembered before
+    the excerpts. Returns the answers (``pipeline`` is ``cached``, ``fast`` or ``full``), and turns and cache as they are then."""
+    s = settings or Settings()
+    asked = cut(questions.select("qid", "question"))
+    hits = cut(cached(asked, answers, now, generation))
+    rest = cut(asked.join(hits.select("qid"), "qid", "left_anti"))
+    recent = memory.newest(turns, s.memory_max_turns).collect()  # as many as the memory holds
+    spoken = F.array(*[F.struct(F.lit(r["turn_id"]).alias("seq"), F.lit(r["role"]).alias("role"), F.lit(r["content"]).alias("content")) for r in recent]) if recent else None
+    said = rest.select("qid", F.explode(spoken).alias("t")).select("qid", "t.seq", "t.role", "t.content") if spoken is not None else rest.select("qid", F.lit(0).alias("seq"), F.lit("").alias("role"), F.lit("").alias("content")).where("false")
+    known = memory.search(items, rest, s.memory_top_k_facts).join(items.select("item_id", "text"), "item_id")
+    extra = context.bounded_memory(said, known, rest, s.memory_context_budget, s.memory_top_k_facts)
+    made = cut(answer_in_parts(rest, chunks, documents, model, s, facts, extra, vectors, index))
+    none = [F.lit(None).cast(made.schema[c].dataType).alias(c) for c in made.columns if c not in ("qid", "answer", "sources", "pipeline")]
+    again = hits.select("qid", "answer", "sources", F.lit("cached").alias("pipeline"), *none)
+    return made.unionByName(again.select(made.columns)), finalise_turns(rest, made, turns, now), finalise_cache(rest, made, hits.join(asked, "qid").select("qid"), answers, now, generation, s)
+
+
+def remind(rows: DataFrame, model: Model | None = None) -> DataFrame:
+    """``rows`` (``qid, text, now``) read by ``reminders.parse``; where that fails the model is asked for title and phrase, whose
+    date is still resolved by the grammar."""
+    parsed = cut(reminders.parse(rows))
+    if model is None:
+        return parsed
+    asked = parsed.where("error is not null and text is not null").select("qid", F.concat(F.lit("Reminder request: "), "text").alias("prompt"))
+    return reminders.parse_said(parsed, ask(asked, model, PART, as_json=True), "qid")
+
+
 def summarize(rows: DataFrame, mode: str = "paragraph", model: Model | None = None, key: str = "doc_id", limit_tokens: int = 5000) -> DataFrame:
-    """``key, summary`` of each ``text``: in one call if it is short, else a paragraph of each piece and then one of those.
+    """``key, summary`` of each ``text``: in one call if it is short, else a paragraph of each piece and then one of those. The
+    pieces of a long text are asked for side by side. Keys must be distinct.
 
     Null and blank texts have a null summary, as has a text whose model calls fail."""
     if mode not in SUMMARY:
@@ -180,23 +240,28 @@ def summarize(rows: DataFrame, mode: str = "paragraph", model: Model | None = No
     model = model or OfflineModel()
     kind = rows.schema[key].dataType.simpleString()
 
-    def one(text: str | None) -> str | None:
-        if not text or not text.strip():
-            return None
-        try:
-            if max(1, len(text) // 4) <= limit_tokens:
-                return model.chat("SUMMARY", f"{SUMMARY[mode]}\n\nText:\n\n{text}", 0.3)
-            spans = chunk_spans(text, limit_tokens, 0.02)
-            parts = [model.chat("SUMMARY", f"{SUMMARY['paragraph']}\n\nText (part {i} of {len(spans)}):\n\n{text[a:b]}", 0.3) for i, (a, b) in enumerate(spans, 1)]
-            return model.chat("SUMMARY", f"Partial summaries of one document, in order. {SUMMARY[mode]}\n\nPartial summaries:\n\n" + "\n\n".join(parts), 0.3)
-        except ModelError:
-            return None
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({key: pdf[key], "summary": [one(t) for t in pdf["text"]]})
-
-    return rows.select(key, "text").mapInPandas(run, f"`{key}` {kind}, summary string")
+            out = []
+            for own, text in zip(pdf[key], pdf["text"], strict=True):
+                if not text or not text.strip():
+                    continue
+                if len(text) // 4 <= limit_tokens:
+                    out.append((own, 1, 1, f"{SUMMARY[mode]}\n\nText:\n\n{text}"))
+                    continue
+                spans = chunk_spans(text, limit_tokens, 0.02)
+                out += [(own, i, len(spans), f"{SUMMARY['paragraph']}\n\nText (part {i} of {len(spans)}):\n\n{text[a:b]}") for i, (a, b) in enumerate(spans, 1)]
+            yield pd.DataFrame(out, columns=[key, "part", "parts", "prompt"])
+
+    pieces = spread(cut(rows.select(key, "text").mapInPandas(cut_up, f"`{key}` {kind}, part int, parts int, prompt string")))
+    at = F.concat_ws("/", F.col(key).cast("string"), "part")
+    said = cut(pieces.select(key, "part", "parts", at.alias("qid")).join(ask(pieces.select(at.alias("qid"), "prompt"), model, "SUMMARY"), "qid"))
+    short = said.where("parts = 1").select(key, F.col("answer").alias("summary"))
+    ordered = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "answer"))), lambda x: x["answer"]), "\n\n")
+    joined = said.where("parts > 1").groupBy(key).agg(F.count("answer").alias("n"), F.max("parts").alias("parts"), ordered.alias("text")).where("n = parts")
+    prompts = joined.select(F.col(key).alias("qid"), F.concat(F.lit(f"Partial summaries of one document, in order. {SUMMARY[mode]}\n\nPartial summaries:\n\n"), "text").alias("prompt"))
+    long = ask(prompts, model, "SUMMARY").select(F.col("qid").alias(key), F.col("answer").alias("summary"))
+    return rows.select(key).join(short.unionByName(long), key, "left")
 
 
 def summarize_together(documents: DataFrame, mode: str = "paragraph", model: Model | None = None, limit_tokens: int = 5000) -> DataFrame:

@@ -124,6 +124,14 @@ def pii_scan(spark: SparkSession, folder: str) -> DataFrame:
     return details.scan(chunks(spark, folder))
 
 
+@query()
+def pii_combined(spark: SparkSession, folder: str) -> DataFrame:
+    """The patterns' findings and a model's, for which the spans of an earlier pass stand in."""
+    item = F.struct(F.col("text"), F.col("kind"))
+    said = table(spark, folder, "pii_spans").groupBy("chunk_id").agg(F.to_json(F.struct(F.sort_array(F.collect_list(item)).alias("items"))).alias("answer"))
+    return details.combined(chunks(spark, folder), said)
+
+
 @query(
     """SELECT span_id, chunk_id, span_start, span_end, kind FROM (SELECT *, max(span_end) OVER (PARTITION BY chunk_id ORDER BY span_start, span_end DESC, span_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
  FROM pii_spans WHERE span_start IS NOT NULL AND span_end IS NOT NULL) WHERE before IS NULL OR span_end > before"""

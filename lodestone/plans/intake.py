@@ -72,14 +72,14 @@ def ingest_paths(store: Store, roots: list[str], model: Model | None = None, set
     made = cut(pieces.join(embed(pieces, "chunk_id", "text", model, model.document_prefix), "chunk_id").withColumn("norm", norm))
     index = search.postings(made).join(made.select("chunk_id", "doc_id"), "chunk_id")
     dropped = gone.select("doc_id").unionByName(read.join(actions.where("action in ('added', 'updated', 'failed')"), "path", "left_semi").join(ids, "path").select("doc_id"))
-    generation = store.commit({"documents": merged}, {"space": space}, {"chunks": (dropped, made.select(chunks.columns)), "postings": (dropped, index.select(store.table("postings").columns))})
+    generation = store.commit({"documents": merged}, {"space": space, "content": store.meta("content", 0) + 1}, {"chunks": (dropped, made.select(chunks.columns)), "postings": (dropped, index.select(store.table("postings").columns))})
     return counts | {"generation": generation}
 
 
 def may_edit(store: Store, paths: list[str]) -> None:
     """An error unless every path's folder allows editing."""
     asked = store.spark.createDataFrame([(files.plain(p),) for p in paths], "path string")
-    locked = [r["path"] for r in access.resolve(asked, store.table("folder_permissions")).where("access_level <> 'edit'").collect()]  # the given paths
+    locked = [r["path"] for r in access.locked(asked, store.table("folder_permissions")).collect()]  # of the given paths
     if locked:
         raise PermissionError(f"editing isn't allowed: {locked}")
 
@@ -92,7 +92,7 @@ def set_access(store: Store, changes: DataFrame) -> int:
     kept = access.purge(documents, shut)
     gone = documents.join(kept.select("doc_id"), "doc_id", "left_anti")
     gone = cut(gone.select("doc_id"))
-    return store.commit({"folder_permissions": folders, "documents": kept.select(documents.columns)}, changes={t: (gone, store.table(t).limit(0)) for t in ("chunks", "postings")})
+    return store.commit({"folder_permissions": folders, "documents": kept.select(documents.columns)}, {"content": store.meta("content", 0) + 1}, {t: (gone, store.table(t).limit(0)) for t in ("chunks", "postings")})
 
 
 def delete_document(store: Store, doc_id: int) -> int:
@@ -103,4 +103,4 @@ def delete_document(store: Store, doc_id: int) -> int:
         raise KeyError(f"no document {doc_id}")
     may_edit(store, [own["path"]])
     gone = documents.where(F.col("doc_id") == doc_id).select("doc_id")
-    return store.commit({"documents": documents.where(F.col("doc_id") != doc_id)}, changes={t: (gone, store.table(t).limit(0)) for t in ("chunks", "postings")})
+    return store.commit({"documents": documents.where(F.col("doc_id") != doc_id)}, {"content": store.meta("content", 0) + 1}, {t: (gone, store.table(t).limit(0)) for t in ("chunks", "postings")})

@@ -93,12 +93,30 @@ def cdc_prune(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_list} SELECT (SELECT count(*) FROM act WHERE action = 'added') AS added, (SELECT count(*) FROM act WHERE action = 'updated') AS updated, (SELECT count(*) FROM act WHERE action IN ('unchanged', 'touched')) AS skipped,
- (SELECT count(*) FROM documents WHERE path NOT IN (SELECT path FROM listing)) AS removed, 0::BIGINT AS blocked, 0::BIGINT AS failed"""
+    f"""WITH {_list}, {_level}, la AS (SELECT a.path, a.action, coalesce(arg_max(f.access_level, length(f.path)), 'edit') AS lv FROM act a LEFT JOIN folder_permissions f ON a.path = f.path OR starts_with(a.path, rtrim(f.path, '/') || '/') GROUP BY ALL),
+ st AS (SELECT path, CASE WHEN lv = 'no_access' THEN 'blocked' WHEN action IN ('added', 'updated') AND length(path) % 5 = 0 THEN 'failed' ELSE action END AS action FROM la)
+ SELECT (SELECT count(*) FROM st WHERE action = 'added') AS added, (SELECT count(*) FROM st WHERE action = 'updated') AS updated, (SELECT count(*) FROM st WHERE action IN ('unchanged', 'touched')) AS skipped,
+ (SELECT count(*) FROM documents WHERE path NOT IN (SELECT path FROM listing)) AS removed, (SELECT count(*) FROM st WHERE action = 'blocked') AS blocked, (SELECT count(*) FROM st WHERE action = 'failed') AS failed"""
 )
 def cdc_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Files in shut folders are blocked; of those that are read, paths of a length divisible by five are taken to be damaged."""
     gone = cdc_prune(spark, folder).select("path", F.lit("removed").alias("action"))
-    return ingest.report(cdc_classify(spark, folder).unionByName(gone))
+    fine, shut = access.gate(listing(spark, folder), table(spark, folder, "folder_permissions"))
+    read = ingest.classify(fine.drop("access_level"), table(spark, folder, "documents"))
+    damaged = F.col("action").isin("added", "updated") & (F.length("path") % 5 == 0)
+    actions = read.withColumn("action", F.when(damaged, "failed").otherwise(F.col("action")))
+    return ingest.report(actions.unionByName(shut.select("path", F.lit("blocked").alias("action"))).unionByName(gone))
+
+
+@query(f"WITH {_level} SELECT DISTINCT path, access_level FROM lvl WHERE access_level <> 'edit'")
+def force_locked(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that a forced reading would be refused for."""
+    return access.locked(table(spark, folder, "documents"), table(spark, folder, "folder_permissions"))
+
+
+@query("SELECT folder_id, path, access_level FROM folder_permissions")
+def folder_list(spark: SparkSession, folder: str) -> DataFrame:
+    return access.listed(table(spark, folder, "folder_permissions")).select("folder_id", "path", "access_level")
 
 
 @query(

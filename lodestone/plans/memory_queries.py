@@ -159,12 +159,20 @@ def due_normalised(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "reminders").select("reminder_id", reminders.normalize_due(F.col("due_at"), F.lit("that day"), F.col("created_at")).alias("due"))
 
 
+_phrases = ("tomorrow at 3pm", "in 2 hours", "on 2026-08-01", "tomorrow", "on Friday at 15:00", "in two weeks", "on 5 March", "March 5th at noon", "tonight", "next week")
+_day = "date_trunc('day', created_at)"
+_march = f"CASE WHEN make_timestamp(year(created_at), 3, 5, 0, 0, 0) < {_day} THEN make_timestamp(year(created_at) + 1, 3, 5, 0, 0, 0) ELSE make_timestamp(year(created_at), 3, 5, 0, 0, 0) END"
+
+
 @query(
-    """SELECT reminder_id, CASE reminder_id % 5 WHEN 0 THEN date_trunc('day', created_at) + INTERVAL 39 HOUR WHEN 1 THEN date_trunc('minute', created_at + INTERVAL 2 HOUR) WHEN 2 THEN TIMESTAMP '2026-08-01 09:00:00'
-  WHEN 3 THEN date_trunc('day', created_at) + INTERVAL 33 HOUR ELSE date_trunc('day', created_at) + (CASE WHEN isodow(created_at) >= 5 THEN 12 - isodow(created_at) ELSE 5 - isodow(created_at) END) * INTERVAL 1 DAY + INTERVAL 15 HOUR END AS due_at FROM reminders"""
+    rf"""WITH r AS (SELECT reminder_id, created_at, regexp_replace('errand ' || reminder_id || ': ' || coalesce(regexp_replace(title, '[^A-Za-z]+', '', 'g'), 'act'), '[\s,;.!-]+$', '') AS title FROM reminders)
+ SELECT reminder_id, title, CASE reminder_id % 10 WHEN 0 THEN {_day} + INTERVAL 39 HOUR WHEN 1 THEN date_trunc('minute', created_at + INTERVAL 2 HOUR) WHEN 2 THEN TIMESTAMP '2026-08-01 09:00:00'
+  WHEN 3 THEN {_day} + INTERVAL 33 HOUR WHEN 4 THEN {_day} + (CASE WHEN isodow(created_at) >= 5 THEN 12 - isodow(created_at) ELSE 5 - isodow(created_at) END) * INTERVAL 1 DAY + INTERVAL 15 HOUR
+  WHEN 5 THEN {_day} + INTERVAL 14 DAY + INTERVAL 9 HOUR WHEN 6 THEN {_march} + INTERVAL 9 HOUR WHEN 7 THEN {_march} + INTERVAL 12 HOUR WHEN 8 THEN {_day} + INTERVAL 20 HOUR ELSE {_day} + INTERVAL 7 DAY + INTERVAL 9 HOUR END AS due_at FROM r"""
 )
 def reminder_parse(spark: SparkSession, folder: str) -> DataFrame:
     """Each reminder's title with a time expression behind it, read at the time of its creation."""
-    when = F.array(*[F.lit(x) for x in ("tomorrow at 3pm", "in 2 hours", "on 2026-08-01", "tomorrow", "on Friday at 15:00")])
-    rows = table(spark, folder, "reminders").select("reminder_id", F.concat(F.lit("remind me to "), F.coalesce("title", F.lit("act")), F.lit(" "), F.element_at(when, (F.col("reminder_id") % 5 + 1).cast("int"))).alias("text"), F.col("created_at").alias("now"))
-    return reminders.parse(rows).select("reminder_id", "due_at")
+    when = F.array(*[F.lit(x) for x in _phrases])
+    name = F.coalesce(F.regexp_replace("title", "[^A-Za-z]+", ""), F.lit("act"))
+    rows = table(spark, folder, "reminders").select("reminder_id", F.concat(F.lit("remind me to errand "), "reminder_id", F.lit(": "), name, F.lit(", "), F.element_at(when, (F.col("reminder_id") % 10 + 1).cast("int"))).alias("text"), F.col("created_at").alias("now"))
+    return reminders.parse(rows).select("reminder_id", "title", "due_at")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.operators import context, memory, search
-from lodestone.plans.answer import answer_in_parts, answer_single, summarize
+from lodestone.plans.answer import answer_in_parts, answer_remembered, answer_single, cached, finalise_cache, finalise_turns, summarize
+from lodestone.settings import Settings
 from lodestone.sources.tables import table
 
 QUERIES: dict = {}
@@ -267,6 +268,64 @@ def answer_by_parts(spark: SparkSession, folder: str) -> DataFrame:
     return answer_in_parts(questions(spark, folder), chunks(spark, folder), table(spark, folder, "documents"), facts=facts(spark, folder))
 
 
+#: Answers of an earlier time: of every second question, every third of an older generation, every fifth expired.
+_stored = """stored AS (SELECT question, 'kept ' || qid AS answer, CASE WHEN qid % 300 = 0 THEN 6 ELSE 7 END AS generation, CASE WHEN qid % 500 = 0 THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '2024-06-01' END AS expires_at, qid AS used_seq
+  FROM qs WHERE qid % 200 = 0 QUALIFY row_number() OVER (PARTITION BY question ORDER BY qid DESC) = 1)"""
+_hits = "hits AS (SELECT qid, answer FROM qs JOIN stored USING (question) WHERE generation = 7 AND expires_at >= TIMESTAMP '2024-03-20 12:00:00')"
+
+
+def stored_answers(asked: DataFrame) -> DataFrame:
+    newest = asked.where("qid % 200 = 0").groupBy("question").agg(F.max("qid").alias("qid"))
+    empty = F.lit(None).cast("array<struct<source_no:long,filename:string,path:string,page:int,chunk_idx:int>>")
+    return newest.select("question", F.concat(F.lit("kept "), "qid").alias("answer"), empty.alias("sources"), F.when(F.col("qid") % 300 == 0, 6).otherwise(7).cast("long").alias("generation"), F.when(F.col("qid") % 500 == 0, "2024-01-01").otherwise("2024-06-01").cast("timestamp_ntz").alias("expires_at"), F.col("qid").alias("used_seq"))
+
+
+def _now():
+    return F.lit("2024-03-20 12:00:00").cast("timestamp_ntz")
+
+
+@query(f"WITH {QS}, {_stored}, {_hits} SELECT qid, answer FROM hits")
+def answers_cached(spark: SparkSession, folder: str) -> DataFrame:
+    asked = questions(spark, folder)
+    return cached(asked, stored_answers(asked), _now(), 7).select("qid", "answer")
+
+
+@query(
+    f"""WITH {QS}, {_stored}, {_hits}, fresh AS (SELECT question, 'new ' || max(qid) AS answer, max(qid) AS by_ FROM qs WHERE qid NOT IN (SELECT qid FROM hits) GROUP BY question),
+ kept AS (SELECT s.*, (SELECT max(qid) FROM hits h JOIN qs USING (qid) WHERE qs.question = s.question) AS by_ FROM stored s WHERE question NOT IN (SELECT question FROM fresh)),
+ moved AS (SELECT question, answer, 7 AS generation, TIMESTAMP '2024-03-20 13:00:00' AS expires_at, by_ FROM fresh UNION ALL SELECT question, answer, generation, expires_at, by_ FROM kept WHERE by_ IS NOT NULL),
+ everything AS (SELECT question, answer, generation, expires_at, used_seq FROM kept WHERE by_ IS NULL
+  UNION ALL SELECT question, answer, generation, expires_at, (SELECT coalesce(max(used_seq), 0) FROM stored) + row_number() OVER (ORDER BY by_) FROM moved)
+ SELECT question, answer, generation::BIGINT AS generation, expires_at, used_seq FROM everything ORDER BY used_seq DESC LIMIT 50"""
+)
+def cache_finalised(spark: SparkSession, folder: str) -> DataFrame:
+    """A cache of 50 answers after all questions were asked; those that it didn't hold are answered anew."""
+    asked = questions(spark, folder)
+    kept = stored_answers(asked)
+    hits = cached(asked, kept, _now(), 7)
+    made = asked.join(hits.select("qid"), "qid", "left_anti").select("qid", F.concat(F.lit("new "), F.max("qid").over(Window.partitionBy("question"))).alias("answer"), F.lit(None).cast(kept.schema["sources"].dataType).alias("sources"))
+    return finalise_cache(asked, made, hits.select("qid"), kept, _now(), 7, Settings(cache_max_size=50)).drop("sources")
+
+
+@query(
+    f"""WITH {QS}, t AS (SELECT DISTINCT turn_id, role, content, created_at FROM conversation_turns), new AS (SELECT qid, unnest([0, 1]) AS n, question FROM qs)
+ SELECT turn_id, role, content FROM t UNION ALL SELECT (SELECT max(turn_id) FROM t) + row_number() OVER (ORDER BY qid, n), CASE WHEN n = 0 THEN 'user' ELSE 'assistant' END, CASE WHEN n = 0 THEN question ELSE 'said ' || qid END FROM new"""
+)
+def turns_finalised(spark: SparkSession, folder: str) -> DataFrame:
+    asked = questions(spark, folder)
+    turns = table(spark, folder, "conversation_turns").select("turn_id", "role", "content", "created_at").distinct()
+    return finalise_turns(asked, asked.select("qid", F.concat(F.lit("said "), "qid").alias("answer")), turns, _now()).select("turn_id", "role", "content")
+
+
+@query()
+def answer_with_memory(spark: SparkSession, folder: str) -> DataFrame:
+    asked = questions(spark, folder)
+    turns = table(spark, folder, "conversation_turns").select("turn_id", "role", "content", "created_at").distinct()
+    items = turns.where("content is not null").select(F.col("turn_id").alias("item_id"), F.col("content").alias("text"), F.lit(0.5).alias("importance"), "created_at")
+    made, _, _ = answer_remembered(asked, chunks(spark, folder), table(spark, folder, "documents"), turns, memory.most_important(items), stored_answers(asked), _now(), 7)
+    return made
+
+
 @query()
 def document_summaries(spark: SparkSession, folder: str) -> DataFrame:
     return summarize(table(spark, folder, "documents"))
