@@ -55,3 +55,20 @@ def test_empty_tables(spark, made):
     assert len(report) == 4 and all(r["mixed"] == 0 for r in report)
     assert mix.shares(docs, targets.limit(0)).count() == 0
     assert mix.shares(*made).where("short").select("source").count() == 2
+
+
+def test_shares_of_the_real_sources(spark):
+    """Each source misses its share by less than one document, none is used too often, short ones are used up."""
+    folder = "/root/testdata/sf0.01"
+    docs, targets = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/source_targets.parquet")
+    used, plan = mix.mix(docs, targets)
+    rows = used.collect()
+    total = sum(r["tokens"] for r in rows)
+    for p in plan.collect():
+        own = [r for r in rows if r["source"] == p["source"]]
+        got, most = sum(r["tokens"] * r["copies"] for r in own), max((r["copies"] for r in own), default=0)
+        assert most <= p["max_repeats"]
+        if p["short"]:
+            assert got == p["max_repeats"] * sum(r["tokens"] for r in own)
+        else:
+            assert abs(got - p["target_share"] * total) <= max(r["tokens"] for r in own), p
