@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.sources.tables import cut, spread
@@ -295,31 +295,43 @@ CUES = frozenset(w.rstrip(".:, ") for w in (*TITLES, *SALUTATIONS, *LABELS))
 _EDGES = re.compile(r"\A[\W\d_]+|[\W\d_]+\Z")
 
 
-def evidence(chunks: DataFrame) -> DataFrame:
-    """``what, a, b, n``: counts over all texts, by ``gather``; words as ``small`` (in lower case) and ``large`` (capitalised)."""
+_WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
+
+
+def evidence(chunks: DataFrame, words_where: Column | None = None) -> DataFrame:
+    """``what, a, b, n``: counts over all texts, by ``gather``; words as ``small`` (in lower case) and ``large`` (capitalised).
+
+    ``words_where``: also counts, as ``word``, all words in lower case and the parts of those with hyphens in the rows for which
+    it holds; the empty word holds the number of all. Texts are split at blanks; what a word is is looked at only once for each
+    different string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[tuple[str, str, str]] = Counter()
-        words: Counter[str] = Counter()
+        words: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
 
         def rows() -> pa.RecordBatch:
-            for word, n in words.items():
-                bare = _EDGES.sub("", word)
-                if len(bare) > 1 and (bare.islower() or (bare[0].isupper() and not bare.isupper())):
-                    counts["small" if bare.islower() else "large", bare.lower(), ""] += n
+            for vocabulary, own in enumerate(words):
+                for word, n in own.items():
+                    bare = _EDGES.sub("", word)
+                    if len(bare) > 1 and (bare.islower() or (bare[0].isupper() and not bare.isupper())):
+                        counts["small" if bare.islower() else "large", bare.lower(), ""] += n
+                    for w in _WORD.findall(word) if vocabulary else ():
+                        counts["word", "", ""] += n
+                        for part in (w, *w.split("-")) if "-" in w else (w,):
+                            counts["word", part.lower(), ""] += n
             keys = list(counts)
             return pa.RecordBatch.from_arrays([*[pa.array([k[i] for k in keys], pa.string()) for i in range(3)], pa.array(list(counts.values()), pa.int64())], ["what", "a", "b", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                gather(text, counts, words)
-            if len(counts) + len(words) > 500_000:
+            for text, counted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                gather(text, counts, words[bool(counted)])
+            if len(counts) + sum(map(len, words)) > 500_000:
                 yield rows()
-                counts.clear()
-                words.clear()
+                for c in (counts, *words):
+                    c.clear()
         yield rows()
 
-    texts = spread(chunks.where("text is not null").select("text"))
+    texts = spread(chunks.where("text is not null").select("text", (F.lit(False) if words_where is None else words_where).alias("counted")))
     return texts.mapInArrow(run, "what string, a string, b string, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n"))
 
 
@@ -329,6 +341,11 @@ DIVERSE, SHARE, NAMED = 2, 0.1, 5
 
 
 def learned(chunks: DataFrame) -> dict[str, frozenset[str]]:
+    """What all texts of ``chunks`` together show."""
+    return shown(cut(evidence(chunks)))
+
+
+def shown(counts: DataFrame) -> dict[str, frozenset[str]]:
     """``family``, ``given``, ``towns`` and ``kinds``: the words that all texts together show to be such.
 
     A given name stands behind titles, salutations or labels before ``DIVERSE`` different words that are hardly ever written
@@ -336,7 +353,6 @@ def learned(chunks: DataFrame) -> dict[str, frozenset[str]]:
     at ``SHARE`` of its capitalised places at least. A town stands beside postcodes more often than in lower case. A
     kind of firm (or a word before it) stands behind ``NAMED`` different family names, or often behind such a word. They are collected, as all tasks look them up: as many as the corpus has different names (1,100 on sf0.1).
     """
-    counts = cut(evidence(chunks))
     of = lambda what: counts.where(F.col("what") == what)
     small, large = (of(what).select(F.col("a").alias("word"), F.col("n").alias(what)) for what in ("small", "large"))
     strong = of("strong").select("a", F.col("b").alias("word"), "n").join(small, "word", "left").where(F.coalesce("small", F.lit(0)) <= F.col("n"))

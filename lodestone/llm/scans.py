@@ -8,7 +8,7 @@ sequence of words under added and dropped blanks, hyphens and confused character
 from __future__ import annotations
 
 import re
-from collections import Counter
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import ahocorasick
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.names import Lexicon, learned, lowered
+from lodestone.llm.names import Lexicon, evidence, lowered, shown
 from lodestone.sources.tables import cut, spread
 
 #: What scanners make of characters: as read, and as meant. Fixed values.
@@ -39,7 +39,6 @@ AROUND = int(UNKNOWN / ADDED)
 _LINE = re.compile(r"\r\n|\n|\r")
 _RUN = re.compile(r"[\w@¦~|]*[^\W\d_][\w@¦~|]*(?:\([\w@¦~|]*[^\W\d_][\w@¦~|]*)*|\([\w@¦~]*[^\W\d_][\w@¦~]*")
 _PARTS = re.compile(r"[^ \n-]+")
-_WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 _MARK = re.compile(r"([^\W\d_][\w@¦~(]*|[@¦~])([-‐¬­])[ \t]*$")
 _MAIL = re.compile(r"\S+\s?(?:@|[(\[]at[)\]])\s?\S+[.]\w{2,}|\w+@\w+[.]\w+", re.IGNORECASE)
 _D = r"[0-9lIOo|S]"
@@ -202,8 +201,7 @@ def _furniture(lines: list[tuple[int, str]], reader: Reader, running: frozenset[
     """For each line ``header``, ``page_number`` or none. ``running``: lines, as ``bare_line`` gives them, of several pages."""
     bare = [t.strip() for _, t in lines]
     kinds: list[str | None] = [None] * len(lines)
-    letters = [c for t in bare for c in t if c.isalpha()]
-    shouted = sum(c.isupper() for c in letters) > 0.6 * len(letters) and len(letters) > 200
+    shouted: bool | None = None  # whether the whole text is in capitals, looked at only where a line is
     for i, t in enumerate(bare):
         if t and len(t) <= 24 and _PAGE.fullmatch(t):
             kinds[i] = "page_number"
@@ -221,10 +219,14 @@ def _furniture(lines: list[tuple[int, str]], reader: Reader, running: frozenset[
         elif running and bare_line(t) in running:
             kinds[i] = "header"
     for i, t in enumerate(bare):
-        if kinds[i] or not 4 <= len(t) <= 110 or shouted:
+        if kinds[i] or not 4 <= len(t) <= 110:
             continue
         m = _UPPER.fullmatch(t)
-        if not m or sum(c.isalpha() for c in t) < 3 or any(c.islower() for c in t.replace("ß", "")):
+        if m and shouted is None:
+            whole = "".join(bare)
+            letters = sum(map(str.isalpha, whole))
+            shouted = sum(map(str.isupper, whole)) > 0.6 * letters and letters > 200
+        if not m or shouted or sum(c.isalpha() for c in t) < 3 or any(c.islower() for c in t.replace("ß", "")):
             continue
         words = [w.lower() for w in re.findall(r"[^\s\d/]{3,}", t)]
         if not words or not any(reader.read(w) for w in words):
@@ -248,7 +250,8 @@ def _breaks(lines: list[tuple[int, str]], kinds: list[str | None]) -> Iterator[t
     the rest."""
     body = [i for i, kind in enumerate(kinds) if kind is None]
     for i, j in zip(body, body[1:], strict=False):
-        m = _MARK.search(lines[i][1])
+        bare = lines[i][1].rstrip(" \t")
+        m = _MARK.search(lines[i][1], bare.rfind(" ") + 1) if bare[-1:] and bare[-1] in "-‐¬­" else None
         after = lines[j][1]
         start = len(after) - len(after.lstrip(" \t"))
         if m and start < len(after) and (after[start].isalpha() or after[start] in "@¦~(") and (j == i + 1 or all(kinds[k] for k in range(i + 1, j))):
@@ -322,10 +325,11 @@ def examine(text: str | None, reader: Reader, running: frozenset[str] = frozense
         joins[i] = (j, put)
         if put:
             noises.append((lines[i][0] + m.start(2), "hyphen"))
-    stream, place = [], []
-    skip = 0
+    stream: list[str] = []
+    starts: list[int] = []  # in the stream, of each part of a line
+    places: list[int] = []  # where they stand in the text
+    size = skip = 0
     body = [i for i, kind in enumerate(kinds) if kind is None]
-    ends: list[int] = []  # index in ``stream`` after each line of the body
     for i in body:
         start, line = lines[i]
         line_from, line_to = skip, len(line)
@@ -336,12 +340,11 @@ def examine(text: str | None, reader: Reader, running: frozenset[str] = frozense
                 line_to -= 1
             after = lines[joins[i][0]][1]
             skip = len(after) - len(after.lstrip(" \t"))
-        stream.extend(line[line_from:line_to])
-        place.extend(range(start + line_from, start + max(line_from, line_to)))
-        if i not in joins:
-            stream.append("\n")
-            place.append(start + len(line))
-        ends.append(len(stream))
+        part = line[line_from:line_to] if i in joins else f"{line[line_from:line_to]}\n"
+        stream.append(part)
+        starts.append(size)
+        places.append(start + line_from)
+        size += len(part)
     whole = "".join(stream)
     mails = [m.span() for m in _MAIL.finditer(whole)] if "@" in whole or "(at)" in whole or "[at]" in whole else []
     # words that stand for themselves, that are open, and that no reading goes over
@@ -361,23 +364,24 @@ def examine(text: str | None, reader: Reader, running: frozenset[str] = frozense
                 state = "fixed"
         tokens.append((start, raw, state))
     fixes: list[tuple[int, int, str]] = []
-    for run in _stretches(whole, tokens):
+    for run in _stretches(whole, tokens) if any(t[2] == "open" for t in tokens) else ():
         start, stop = run[0][0], run[-1][0] + len(run[-1][1])
         # a capitalised word within a sentence is a noun or name: no two words
         own = frozenset(t - start for t, raw, _ in run if not raw.isalpha() or not raw[1:].islower() or raw[0].isupper() and not (t == 0 or whole[:t].rstrip()[-1:] in ".!?:"))
         for a, b, meant, swaps in reader.decode(lowered(whole[start:stop]), own):
             raw = whole[start + a : start + b]
             if swaps:
-                noises.append((place[start + a], "misread"))
+                own_part = bisect_right(starts, start + a) - 1
+                noises.append((places[own_part] + start + a - starts[own_part], "misread"))
             if swaps or meant != raw.lower():
                 fixes.append((start + a, start + b, meant.upper() if raw.isupper() else meant[:1].upper() + meant[1:] if raw[:1].isupper() else meant))
             if start + b < stop and whole[start + b] not in " \n-":
                 fixes.append((start + b, start + b, " "))
     noises.sort()
-    return noises, _paragraphs(whole, fixes, ends)
+    return noises, _paragraphs(whole, fixes)
 
 
-def _paragraphs(stream: str, fixes: list[tuple[int, int, str]], ends: list[int]) -> str:
+def _paragraphs(stream: str, fixes: list[tuple[int, int, str]]) -> str:
     """Repaired text: the fixes made, lines joined to paragraphs. Each line end is a border or not; the borders with the
     least total cost are chosen - of each border by the look of the two lines, of each paragraph by its length."""
     parts, last = [], 0
@@ -427,33 +431,11 @@ def _paragraphs(stream: str, fixes: list[tuple[int, int, str]], ends: list[int])
     return "\n\n".join(reversed(out))
 
 
-def vocabulary(chunks: DataFrame) -> list[str]:
-    """Words (also with hyphens) of the texts without pages, as often as SHARE says; counted over all of them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
-
-        def rows() -> pa.RecordBatch:
-            sums: Counter[str] = Counter()
-            for word, n in counts.items():
-                sums[word.lower()] += n
-            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], ["word", "n"])
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words = _WORD.findall(text)
-                counts.update(words)
-                counts[""] += len(words)  # the empty word holds the number of all
-                counts.update([p for w in words if "-" in w for p in w.split("-")])
-            if len(counts) > 500_000:
-                yield rows()
-                counts.clear()
-        yield rows()
-
-    texts = spread(chunks.where("page is null and text is not null").select("text"))
-    counted = cut(texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    total = counted.where("word = ''").agg(F.sum("n")).first()[0] or 0
-    known = counted.where((F.col("n") >= max(2, SHARE * total)) & (F.col("word") != "")).select("word").collect()
+def vocabulary(counts: DataFrame) -> list[str]:
+    """Words (also with hyphens) of the texts without pages, as often as SHARE says, from the ``evidence`` of all texts."""
+    words = counts.where("what = 'word'").select(F.col("a").alias("word"), "n")
+    total = words.where("word = ''").agg(F.sum("n")).first()[0] or 0
+    known = words.where((F.col("n") >= max(2, SHARE * total)) & (F.col("word") != "")).select("word").collect()
     return [r[0] for r in known]  # at most 1 / SHARE words
 
 
@@ -480,7 +462,8 @@ def scanned(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
     """``key, page, noises, repaired`` of every chunk with a page: noises as ``array<struct<pos,noise_kind>>`` and the text as
     continuous paragraphs. Null texts have no noises and stay null; repeated rows stay; with no text that has no page there
     is no vocabulary, so only furniture and plain line-end marks are found."""
-    words = chunks.sparkSession.sparkContext.broadcast((frozenset(vocabulary(chunks)), learned(chunks)))
+    counts = cut(evidence(chunks, words_where=F.col("page").isNull()))
+    words = chunks.sparkSession.sparkContext.broadcast((frozenset(vocabulary(counts)), shown(counts)))
     kind = pa.list_(pa.struct([("pos", pa.int32()), ("noise_kind", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,7 @@
+from pyspark.sql import functions as F
+
 from lodestone.llm import scans
-from lodestone.llm.names import Lexicon, learned
+from lodestone.llm.names import Lexicon, evidence, learned
 
 WORDS = frozenset("the committee reviewed a long-term long term budget number treasurer approved delivery holdings seguros summary warm copy file provided under new plan sign-off sign off mortgage".split())
 
@@ -56,7 +58,8 @@ def test_edges(spark, chunks):
 def test_family_names_of_no_list_are_no_damage(spark, chunks):
     assert [k for _, k in scans.examine("the hartrnan", scans.Reader(WORDS | {"hartman"}, Lexicon(frozenset({"hartrnan"}))))[0]] == []
     rows = [(i, 1, 0, t, 0, 0, None, None) for i, t in enumerate(["Mr John Abernathy came.", "the committee reviewed", "the committee"])]
-    assert set(scans.vocabulary(chunks(rows))) == {"the", "committee"}
+    assert "abernathy" in learned(chunks([(1, "Mr John Abernathy came.")]))["family"]
+    assert set(scans.vocabulary(evidence(chunks(rows), F.col("page").isNull()))) == {"the", "committee"}
 
 
 def test_joint_reading_of_blanks_and_damage():
