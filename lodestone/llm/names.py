@@ -48,6 +48,9 @@ FIRM = frozenset(
     "services solutions systems insurance university hospital school church club street road lane avenue drive square place court terrace close hill row way house park station hotel centre center foundation society association".split()
 )
 
+#: Ends of German street names, which are written as one word. Fixed values.
+STREET_ENDS = ("straße", "strasse", "str", "allee", "weg", "gasse", "platz")
+
 B = r"(?:[ \t\xa0]|[ \t\xa0]?\r?\n[ \t\xa0]?|\r)"
 _UPPER = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĘĚĞĢĪĮİĶĹĻĽŁŃŅŇŌŐŒŔŘŚŞŠŢŤŪŮŰŲŹŻŽ"
 CAPITAL = rf"[{_UPPER}][^\W\d_]*(?:['’-][^\W\d_]+)*"
@@ -175,7 +178,7 @@ class Lexicon:
             return None  # words in capitals go on
         if strong and (gap := _GAP.match(text, stop)) and (more := _TOKEN.match(text, gap.end())) and "\n" not in gap[0]:
             low = more[0].lower()
-            if more[0][0].isupper() and len(more[0]) > 1 and text[stop - len(_LAST.search(text, at, stop)[0]) : stop].lower() not in self.family and low not in OTHER and low not in FIRM and not self._is_given(text[at : _TOKEN.match(text, at).end()]) and _ENDS.match(text, more.end()):
+            if more[0][0].isupper() and len(more[0]) > 1 and text[stop - len(_LAST.search(text, at, stop)[0]) : stop].lower() not in self.family and low not in OTHER and low not in FIRM and not low.endswith(STREET_ENDS) and not self._is_given(text[at : _TOKEN.match(text, at).end()]) and _ENDS.match(text, more.end()):
                 stop = more.end()
         return at, stop
 
@@ -336,8 +339,9 @@ def evidence(chunks: DataFrame, words_where: Column | None = None) -> DataFrame:
 
 
 #: Family names behind titles and labels that a given name needs, and the share of a word's capitalised places at which a
-#: family name must stand behind a given name, initial or title; family names before a kind of firm.
-DIVERSE, SHARE, NAMED = 2, 0.1, 5
+#: family name must stand behind a given name, initial or title; family names before a kind of firm,
+#: and the share of its capitalised places at which it must stand behind such a name or kind.
+DIVERSE, SHARE, NAMED, NAMED_SHARE = 2, 0.1, 5, 0.3
 
 
 def learned(chunks: DataFrame) -> dict[str, frozenset[str]]:
@@ -350,8 +354,8 @@ def shown(counts: DataFrame) -> dict[str, frozenset[str]]:
 
     A given name stands behind titles, salutations or labels before ``DIVERSE`` different words that are hardly ever written
     in lower case. A family name is such a word that stands behind given names or initials, not much rarer than in lower case and
-    at ``SHARE`` of its capitalised places at least. A town stands beside postcodes more often than in lower case. A
-    kind of firm (or a word before it) stands behind ``NAMED`` different family names, or often behind such a word. They are collected, as all tasks look them up: as many as the corpus has different names (1,100 on sf0.1).
+    at ``SHARE`` of its capitalised places at least. A town stands beside postcodes more often than in lower case and at ``SHARE`` of its capitalised places. A
+    kind of firm (or a word before it) stands behind ``NAMED`` different family names or behind such a word, and at ``NAMED_SHARE`` of its capitalised places. They are collected, as all tasks look them up: as many as the corpus has different names (1,100 on sf0.1).
     """
     of = lambda what: counts.where(F.col("what") == what)
     small, large = (of(what).select(F.col("a").alias("word"), F.col("n").alias(what)) for what in ("small", "large"))
@@ -364,12 +368,14 @@ def shown(counts: DataFrame) -> dict[str, frozenset[str]]:
     behind = behind.join(given.select(F.col("a").alias("word")), "word", "left_anti")
     behind = behind.unionByName(behind.where("word like '%-%'").select(F.explode(F.split("word", "-")).alias("word"), "n"))  # of double names each
     family = behind.groupBy("word").agg(F.sum("n").alias("n")).where((F.length("word") > 2) & ~F.col("word").isin(*(OTHER | FIRM | CUES | PARTICLE_WORDS)))
-    family = family.join(small, "word", "left").join(large, "word", "left").where((4 * F.col("n") > F.coalesce("small", F.lit(0))) & (F.col("n") >= SHARE * F.coalesce("large", F.lit(0))))
+    family = family.join(small, "word", "left").join(large, "word", "left").where((4 * F.col("n") > F.coalesce("small", F.lit(0))) & (F.col("n") >= SHARE * F.coalesce("large", F.lit(0))) & ~F.col("word").rlike(f"(?:{'|'.join(STREET_ENDS)})$"))
     family = cut(family.join(given.select(F.col("a").alias("word")), "word", "left_anti").select("word"))
     named = of("pair").join(family.select(F.col("word").alias("a")), "a", "left_semi").join(given.select(F.col("a").alias("b")), "b", "left_anti").join(family.select(F.col("word").alias("b")), "b", "left_anti")
-    kinds = named.groupBy("b").agg(F.count(F.lit(1)).alias("names")).where((F.col("names") >= NAMED) & ~F.col("b").isin(*(OTHER | CUES | PARTICLE_WORDS)) & (F.length("b") > 1))
-    behind = of("pair").join(kinds.select(F.col("b").alias("a")), "a", "left_semi").groupBy("b").agg(F.sum("n").alias("names")).where((F.col("names") >= NAMED) & ~F.col("b").isin(*(OTHER | CUES | PARTICLE_WORDS)))
-    kinds = kinds.select("b").unionByName(behind.join(large, behind["b"] == large["word"], "left").where(F.col("names") >= SHARE * F.coalesce("large", F.lit(0))).select("b")).distinct()
-    towns = of("town").select(F.col("a").alias("word"), "n").join(small, "word", "left").where(F.col("n") > F.coalesce("small", F.lit(0)))
+    often = lambda df: df.join(large, df["b"] == large["word"], "left").where((F.col("n") >= NAMED_SHARE * F.coalesce("large", F.lit(0))) & (F.length("b") > 1) & ~F.col("b").isin(*(OTHER | CUES | PARTICLE_WORDS)) & ~F.col("b").rlike(f"(?:{'|'.join(STREET_ENDS)})$")).select("b")
+    kinds = often(named.groupBy("b").agg(F.count(F.lit(1)).alias("names"), F.sum("n").alias("n")).where(F.col("names") >= NAMED))
+    behind = often(of("pair").join(kinds.select(F.col("b").alias("a")), "a", "left_semi").groupBy("b").agg(F.sum("n").alias("n")).where(F.col("n") >= NAMED))
+    kinds = kinds.unionByName(behind).distinct()
+    towns = of("town").select(F.col("a").alias("word"), "n").join(small, "word", "left").join(large, "word", "left")
+    towns = towns.where((F.col("n") > F.coalesce("small", F.lit(0))) & (F.col("n") >= SHARE * F.coalesce("large", F.lit(0))))
     take = lambda df, c: frozenset(r[0] for r in df.select(c).collect())
     return {"family": take(family, "word"), "given": take(given, "a"), "towns": take(towns, "word"), "kinds": take(kinds, "b")}
