@@ -2,14 +2,16 @@ import os
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.operators import access, ingest
 from lodestone.plans import intake
-from lodestone.plans.answer import answer_in_parts, answer_single, split_questions, sub_queries, summarize, summarize_together, verdicts
-from lodestone.plans.model import WIDTH, Composite, ModelError, OfflineModel, Unavailable, build_model
+from lodestone.plans.answer import answer_in_parts, answer_remembered, answer_single, remind, split_questions, sub_queries, summarize, summarize_together, verdicts
+from lodestone.plans.model import WIDTH, Composite, HttpModel, ModelError, OfflineModel, Unavailable, build_model
 from lodestone.settings import Settings
 from lodestone.sources import files
 from lodestone.sources.store import Store
+from lodestone.sources.tables import cut
 from lodestone.streaming import jobs
 
 
@@ -216,6 +218,55 @@ def test_answers_in_parts(spark):
     assert failing == {1: "NOT_FOUND"}
 
 
+def test_answers_are_remembered(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    chunks = spark.createDataFrame([(1, 1, 0, "The rent is due in March.", None), (2, 1, 1, "The garden is green.", None)], "chunk_id long, doc_id long, chunk_idx int, text string, page int")
+    docs = spark.createDataFrame([(1, "f.txt", "/f.txt")], "doc_id long, filename string, path string")
+    asked = spark.createDataFrame([(1, "when is the rent due"), (2, "when is the rent due"), (3, "zzzz")], "qid long, question string")
+    items = spark.createDataFrame([(7, "the rent is high", 0.9)], "item_id long, text string, importance double")
+    turns, cache, got = store.table("conversation_turns"), store.table("answers"), []
+    for time, generation in (("2024-03-01 10:00:00", 1), ("2024-03-01 10:30:00", 1), ("2024-03-01 10:40:00", 2), ("2024-03-01 12:00:00", 2)):
+        made, turns, cache = answer_remembered(asked, chunks, docs, turns, items, cache, F.lit(time).cast("timestamp_ntz"), generation)
+        got.append({r["qid"]: (r["answer"], r["pipeline"], len(r["sources"] or [])) for r in made.collect()})
+        turns, cache = cut(turns), cut(cache)
+    assert got[0][1][:2] == ("See [1] and [2].", "fast") and {x[1] for x in got[0].values()} == {"fast"}
+    assert {x[1] for x in got[1].values()} == {"cached"} and [x[0] for x in got[1].values()] == [got[0][q][0] for q in got[1]]
+    assert {x[1] for x in got[2].values()} == {"fast"} and {x[1] for x in got[3].values()} == {"fast"}  # another generation; expired
+    assert turns.count() == 3 * 6 and cache.count() == 2 and turns.where("role = 'user'").count() == 9
+    assert [r[0] for r in turns.orderBy("turn_id").select("turn_id").collect()] == list(range(1, 19))
+
+
+def test_reminders_by_a_model(spark):
+    class Splitter(OfflineModel):  # within the test, so that tasks get it whole
+        def chat_json(self, system, user, schema=None):
+            return {"title": "water plants", "when_phrase": "tomorrow at noon"} if "plants" in user else {"title": "x", "when_phrase": None}
+
+    rows = spark.createDataFrame([(1, "remind me to pay rent tomorrow"), (2, "plants want water soonish"), (3, "some day"), (4, None)], "qid long, text string").withColumn("now", F.lit("2024-03-20 12:34:56").cast("timestamp_ntz"))
+    got = {r["qid"]: (r["title"], str(r["due_at"]), r["error"]) for r in remind(rows, Splitter()).collect()}
+    assert got[1] == ("pay rent", "2024-03-21 09:00:00", None) and got[2] == ("water plants", "2024-03-21 12:00:00", None)
+    assert got[3][:2] == (None, "None") and got[3][2] and got[4][2]
+    assert remind(rows, Unavailable()).where("error is null").count() == 1 and remind(rows).where("error is null").count() == 1
+
+
+def test_due_stream_gives_each_reminder_once(spark, tmp_path):
+    rows = spark.sql("SELECT * FROM VALUES (1L, TIMESTAMP'2024-01-01 00:00:00', TIMESTAMP'2024-01-02 00:00:00'), (1L, TIMESTAMP'2024-01-01 00:00:00', TIMESTAMP'2024-01-02 00:01:00'), (2L, TIMESTAMP'2025-01-01 00:00:00', TIMESTAMP'2024-01-02 00:00:00') AS t(reminder_id, due_at, now)")
+    rows.write.parquet(str(tmp_path / "events"))
+    stream = jobs.due_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "events")))
+    stream.writeStream.format("memory").queryName("due_once").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(120)
+    assert [r["reminder_id"] for r in spark.table("due_once").collect()] == [1]
+
+
+def test_a_server_model_asks_again_and_counts(monkeypatch):
+    model, said = HttpModel("http://x/", "chat", "embed"), iter(["no json", '{"a": 1}', "[1]", "none"])
+    monkeypatch.setattr(HttpModel, "_send", lambda self, route, body=None: {"choices": [{"message": {"content": next(said)}}]} if "chat" in route else {"data": [{"id": "chat:latest"}]} if route == "/models" else {"data": [{"index": 1, "embedding": [2.0]}, {"index": 0, "embedding": [1.0]}]})
+    assert model.chat_json("s", "u", {"type": "object"}) == {"a": 1}
+    with pytest.raises(ModelError):
+        model.chat_json("s", "u")
+    assert model.embed(["a", "b"]) == [[1.0], [2.0]] and model.is_up() and model.missing_models() == ["embed"]
+    with pytest.raises(ModelError):
+        model.embed(["a"])
+
+
 def test_summaries(spark):
     docs = spark.createDataFrame([(1, "a", "Short text. " * 3), (2, "b", None), (3, "c", "Long sentence here. " * 400)], "doc_id long, filename string, text string")
     got = {r["doc_id"]: r["summary"] for r in summarize(docs, limit_tokens=100).collect()}
