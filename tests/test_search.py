@@ -40,6 +40,28 @@ def test_bm25_in_blocks_and_from_a_stored_index(spark, monkeypatch):
     assert sorted(map(tuple, search.bm25(None, qs, index=search.postings(docs)).collect())) == want
 
 
+def moved(spark):
+    """Rows that all stages so far wrote for others."""
+    gateway = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_bm25_moves_no_hits_and_counts_equal_questions_once(spark, monkeypatch):
+    rng = random.Random(1)
+    vocab = [f"w{i}" for i in range(30)]
+    docs = [(i, " ".join(rng.choice(vocab) for _ in range(20))) for i in range(600)] + [(i, f"same {i % 2}") for i in range(600, 640)]
+    qs = [(q, " ".join(rng.choice(vocab) for _ in range(12))) for q in range(40)] + [(q, "same") for q in range(40, 45)]
+    chunks, asked = spark.createDataFrame(docs, "chunk_id long, text string"), spark.createDataFrame(qs, "qid long, question string")
+    for sizes in ({}, {"CHUNKS": 7, "GROUP": 3, "ASKED": 200}):
+        for name, n in sizes.items():
+            monkeypatch.setattr(search, name, n)
+        before = moved(spark)
+        got = sorted(map(tuple, search.bm25(chunks, asked).select("qid", "rank", "chunk_id").collect()))
+        assert moved(spark) - before < 640 * 8 or sizes  # hits and pairs are far more
+        assert got == [(q, n, i) for q, text in qs for n, i in enumerate(by_hand(docs, text, 8), 1)]
+
+
 def test_bm25_phrases_and_marks(spark):
     docs = spark.createDataFrame([(1, "foo bar baz"), (2, "bar foo"), (3, "Café crème"), (4, None), (5, "other text here")], "chunk_id long, text string")
     qs = spark.createDataFrame([(1, "foo_bar"), (2, "cafe"), (3, "CRÈME")], "qid long, question string")
