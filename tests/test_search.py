@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 
 from lodestone.operators import context, search
+from lodestone.plans.model import signed_words
 
 
 def by_hand(docs, question, k):
@@ -62,6 +63,36 @@ def test_bm25_moves_no_hits_and_counts_equal_questions_once(spark, monkeypatch):
         assert got == [(q, n, i) for q, text in qs for n, i in enumerate(by_hand(docs, text, 8), 1)]
 
 
+def test_vectors_of_texts_and_their_neighbours_move_little(spark):
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.randint(0, 60)}" for _ in range(15)) if i else None) for i in range(800)], "chunk_id long, text string").repartition(4).cache()
+    docs.count()
+    before, batch = moved(spark), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        vectors = search.hash_embedding(docs, "chunk_id", "text")
+        rows = {r["chunk_id"]: r["embedding"] for r in vectors.collect()}
+        assert moved(spark) == before and rows[0] == [0.0] * 48
+        words = {r["chunk_id"]: r["text"] for r in docs.collect()}
+        assert all(np.allclose(rows[i], signed_words(words[i] or "")) for i in rows)
+        got = search.cosine(vectors, vectors.where("chunk_id % 100 = 1").withColumnRenamed("chunk_id", "qid"), 3).collect()
+        assert moved(spark) - before <= 4 * 8 * 3 + 16  # a task hands on three rows a query
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    x = np.array([rows[i] for i in range(800)])
+    for q in range(1, 800, 100):
+        s = np.round(x @ x[q], 6)
+        assert [r["chunk_id"] for r in sorted((r for r in got if r["qid"] == q), key=lambda r: r["rank"])] == [int(i) for i in np.lexsort((np.arange(800), -s))[:3]]
+
+
+def test_texts_of_hits_are_the_only_ones_moved(spark):
+    chunks = spark.range(500).selectExpr("id AS chunk_id", "'text' AS text")
+    hits = spark.createDataFrame([(1, 7), (2, 7), (1, 300)], "qid long, chunk_id long")
+    before = moved(spark)
+    assert sorted(r["chunk_id"] for r in search.found(chunks, hits).collect()) == [7, 300]
+    assert moved(spark) - before < 50
+
+
 def test_bm25_phrases_and_marks(spark):
     docs = spark.createDataFrame([(1, "foo bar baz"), (2, "bar foo"), (3, "Café crème"), (4, None), (5, "other text here")], "chunk_id long, text string")
     qs = spark.createDataFrame([(1, "foo_bar"), (2, "cafe"), (3, "CRÈME")], "qid long, question string")
