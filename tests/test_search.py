@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 
 from lodestone.operators import context, search
+from lodestone.plans import model
 from lodestone.plans.model import signed_words
 
 
@@ -85,6 +86,12 @@ def test_vectors_of_texts_and_their_neighbours_move_little(spark):
         assert [r["chunk_id"] for r in sorted((r for r in got if r["qid"] == q), key=lambda r: r["rank"])] == [int(i) for i in np.lexsort((np.arange(800), -s))[:3]]
 
 
+def test_offline_embedding_hashes_a_word_once():
+    model._place.cache_clear()
+    made = [signed_words(f"one two {'two' * (i % 2)} one") for i in range(50)]
+    assert model._place.cache_info().misses == 3 and all(abs(sum(x * x for x in v) - 1) < 1e-9 for v in made) and not any(signed_words(""))
+
+
 def test_texts_of_hits_are_the_only_ones_moved(spark):
     chunks = spark.range(500).selectExpr("id AS chunk_id", "'text' AS text")
     hits = spark.createDataFrame([(1, 7), (2, 7), (1, 300)], "qid long, chunk_id long")
