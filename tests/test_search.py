@@ -100,6 +100,14 @@ def test_texts_of_hits_are_the_only_ones_moved(spark):
     assert moved(spark) - before < 50
 
 
+def test_bm25_of_nothing(spark):
+    docs, none = spark.createDataFrame([(1, "foo bar")], "chunk_id long, text string"), spark.createDataFrame([], "chunk_id long, text string")
+    asked, silent = spark.createDataFrame([(1, "foo")], "qid long, question string"), spark.createDataFrame([(1, "- ")], "qid long, question string")
+    assert len(search.bm25(docs, asked).collect()) == len(search.bm25(None, asked, index=search.postings(docs)).collect()) == 1
+    for chunks, qs in ((none, asked), (docs, silent), (none, silent)):
+        assert not search.bm25(chunks, qs).collect() and not search.bm25(None, qs, index=search.postings(chunks)).collect()
+
+
 def test_bm25_phrases_and_marks(spark):
     docs = spark.createDataFrame([(1, "foo bar baz"), (2, "bar foo"), (3, "Café crème"), (4, None), (5, "other text here")], "chunk_id long, text string")
     qs = spark.createDataFrame([(1, "foo_bar"), (2, "cafe"), (3, "CRÈME")], "qid long, question string")
