@@ -4,9 +4,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
+from lodestone.functions.text import raw_terms
 from lodestone.operators import context, search
-from lodestone.plans import model
+from lodestone.plans import model, search_queries
 from lodestone.plans.model import signed_words
 
 
@@ -160,3 +163,28 @@ def test_memory_within_budget(spark):
     facts = spark.createDataFrame([(q, p, "z" * 100) for q in (1, 2, 3) for p in range(1, 8)], "qid long, place long, text string")
     got = {r["qid"]: r["context"] for r in context.bounded_memory(turns, facts, spark.createDataFrame([(q,) for q in (1, 2, 3, 4)], "qid long")).collect()}
     assert got[1].count("user:") == 5 and got[1].count("known:") == 5 and got[2].count("known:") == 0 and got[3].startswith("Remembered") and got[4] == ""
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_of_bytes_are_those_of_the_pattern(spark):
+    rng = random.Random(3)
+    pool = "abz09 _-.,äÉßñ–’„中١𝐀😀İǅ́²Ⅷ\n�ჿ\U0001f130"
+    texts = ["".join(rng.choice(pool) for _ in range(rng.choice([0, 1, 2, 9, 60]))) for _ in range(400)] + [None, "", "a" * 500, "end", "next"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string").coalesce(1)
+    want = [r["w"] for r in rows.orderBy("chunk_id").select(F.coalesce(raw_terms(F.col("text")), F.array().cast("array<string>")).alias("w")).collect()]
+    lower = pa.array([r["l"] for r in rows.orderBy("chunk_id").select(F.lower(F.coalesce("text", F.lit(""))).alias("l")).collect()])
+    for own, expected in ((lower, want), (lower.slice(7, 90), want[7:97]), (lower.slice(401, 1), [[]]), (lower.slice(3, 0), [])):
+        n, words = search._words(own, search._letters())
+        assert n.tolist() == list(map(len, expected)) and words.to_pylist() == [w for x in expected for w in x]
+    assert "regexp_extract_all" not in plan(search.hash_embedding(rows, "chunk_id", "text"))
+
+
+def test_parts_of_questions_look_at_each_word_once(spark):
+    rows = spark.createDataFrame([(n, " ".join(f"w{i}" for i in range(n)) + "  ") for n in range(40)] + [(50, " \n"), (51, None)], "qid long, question string")
+    parts = search_queries.thirds(rows)
+    want = [(n * 10 + s, " ".join(f"w{i}" for i in range(n) if i * 3 // n == s)) for n in range(40) for s in range(3)]
+    assert sorted(map(tuple, parts.collect())) == [x for x in want if x[1]]
+    assert "lambdafunction" not in plan(parts)
