@@ -134,6 +134,19 @@ def test_cosine_both_ways(spark, monkeypatch):
     assert [r[:2] for r in again] == [r[:2] for r in got]
 
 
+def test_neighbours_closer_than_single_precision_keep_their_order():
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((3000, 8))
+    x[100:200] = x[0] + rng.standard_normal((100, 8)) * 1e-4
+    x[500:900] = x[1]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    score, own = np.full((50, 8), -np.inf), np.zeros((50, 8), np.int64)
+    for lo in range(0, 3000, 700):
+        search._near(x[:50], x[lo : lo + 700], np.arange(lo, min(lo + 700, 3000)), score, own)
+    s = np.round(x[:50] @ x.T, 6)
+    assert all(own[q].tolist() == np.lexsort((np.arange(3000), -s[q]))[:8].tolist() for q in range(50))
+
+
 def test_fusion_prefers_what_both_found(spark):
     lists = [spark.createDataFrame([(1, c, i + 1) for i, c in enumerate(x)], "qid long, chunk_id long, rank long") for x in ([1, 2, 3], [3, 4, 5])]
     assert [r["chunk_id"] for r in search.fuse(lists).orderBy("rank").collect()] == [3, 1, 2, 4, 5]
