@@ -95,6 +95,14 @@ def test_offline_embedding_hashes_a_word_once():
     assert model._place.cache_info().misses == 2 and all(abs(sum(x * x for x in v) - 1) < 1e-9 for v in made) and not any(signed_words(""))
 
 
+def test_offline_embedding_looks_at_texts_together(monkeypatch):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abC _é²ß中١-.İ\n😀") for _ in range(rng.choice([0, 3, 40]))) for _ in range(200)] + ["", "--", "x y x", "X_y"]
+    want = [signed_words(t) for t in texts]
+    monkeypatch.setattr(model, "signed_words", None)
+    assert model.OfflineModel().embed(texts) == want and model.OfflineModel().embed([]) == []
+
+
 def test_texts_of_hits_are_the_only_ones_moved(spark):
     chunks = spark.range(500).selectExpr("id AS chunk_id", "'text' AS text")
     hits = spark.createDataFrame([(1, 7), (2, 7), (1, 300)], "qid long, chunk_id long")
@@ -190,7 +198,7 @@ def test_words_of_bytes_are_those_of_the_pattern(spark):
     want = [r["w"] for r in rows.orderBy("chunk_id").select(F.coalesce(raw_terms(F.col("text")), F.array().cast("array<string>")).alias("w")).collect()]
     lower = pa.array([r["l"] for r in rows.orderBy("chunk_id").select(F.lower(F.coalesce("text", F.lit(""))).alias("l")).collect()])
     for own, expected in ((lower, want), (lower.slice(7, 90), want[7:97]), (lower.slice(401, 1), [[]]), (lower.slice(3, 0), [])):
-        n, words = search._words(own, search._letters())
+        n, words = search.words_of(own, search._letters())
         assert n.tolist() == list(map(len, expected)) and words.to_pylist() == [w for x in expected for w in x]
     assert "regexp_extract_all" not in plan(search.hash_embedding(rows, "chunk_id", "text"))
 
