@@ -67,6 +67,33 @@ def test_bm25_moves_no_hits_and_counts_equal_questions_once(spark, monkeypatch):
         assert got == [(q, n, i) for q, text in qs for n, i in enumerate(by_hand(docs, text, 8), 1)]
 
 
+def test_bm25_goes_ahead_with_a_part_and_hands_on_what_reaches_its_scores(spark, monkeypatch):
+    rng = random.Random(5)
+    kinds = [[f"{kind}{i}" for i in range(40)] for kind in "abc"]
+    docs = [(i, " ".join(rng.choice(kinds[i % 3]) for _ in range(rng.randint(1, 30)))) for i in range(3000)] + [(i, "a1 a2 b1 same") for i in range(3000, 3020)] + [(9000, None)]
+    rng.shuffle(docs)
+    qs = [(q, " ".join(rng.choice(kinds[q % 3]) for _ in range(6))) for q in range(60)] + [(99, "a1 a2 same"), (98, "same"), (97, "zzz"), (96, "a1 a2 same")]
+    chunks, asked = spark.createDataFrame(docs, "chunk_id long, text string").repartition(40).cache(), spark.createDataFrame(qs, "qid long, question string")
+    assert chunks.count() == len(docs)
+    want = [(q, n, i) for q, text in sorted(qs) for n, i in enumerate(by_hand([(i, t or "") for i, t in docs], text, 8), 1)]
+    monkeypatch.setattr(search, "PAIRS", 1)
+    for sizes in ({}, {"AHEAD": 5, "CHUNKS": 40, "GROUP": 3}):
+        for name, n in sizes.items():
+            monkeypatch.setattr(search, name, n)
+        before = moved(spark)
+        assert sorted(map(tuple, search.bm25(chunks, asked).select("qid", "rank", "chunk_id").collect())) == want
+        assert moved(spark) - before < 40 * 63 * 8 * 2 / 3  # every part would hand on eight a question
+
+
+def test_bm25_spares_questions_that_chunks_cannot_serve():
+    made = search._Questions([[(0, 1.0), (1, 2.0)], [(2, 3.0)], [(1, 2.0), (2, 3.0)]], np.array([5.0, 4.0, 3.0]), 10.0)
+    best = search._Best(made, 2, np.array([4.0, 0.5, 4.0])[made.order])
+    kept = []
+    best._keep = lambda asked, *_: kept.extend(made.order[q] for q in asked)
+    best.meet(np.arange(3), np.full(3, 10), np.array([0, 1, 2, 3]), np.array([0, 1, 2]), np.array([1, 1, 1]))
+    assert kept == [1]
+
+
 def test_vectors_of_texts_and_their_neighbours_move_little(spark):
     rng = random.Random(2)
     docs = spark.createDataFrame([(i, " ".join(f"w{rng.randint(0, 60)}" for _ in range(15)) if i else None) for i in range(800)], "chunk_id long, text string").repartition(4).cache()
