@@ -228,6 +228,22 @@ def test_words_of_bytes_are_those_of_the_pattern(spark):
         n, words = search.words_of(own, search._letters())
         assert n.tolist() == list(map(len, expected)) and words.to_pylist() == [w for x in expected for w in x]
     assert "regexp_extract_all" not in plan(search.hash_embedding(rows, "chunk_id", "text"))
+    n, words = search.words_of(pa.array(["a\0b", "\0", "é\0\0c"]), search._letters())
+    assert n.tolist() == [2, 0, 2] and words.to_pylist() == ["a", "b", "é", "c"]
+
+
+def test_only_beginnings_of_longer_phrases_look_for_the_next_term():
+    rng = np.random.default_rng(6)
+    terms = [("a",), ("b",), ("a", "b"), ("b", "b", "c"), ("c", "a"), ("d",)]
+    own = search._Phrases(terms)
+    text = [[rng.choice(list("abcdx")) for _ in range(rng.integers(0, 30))] for _ in range(50)]
+    rows = [(d, i, own.term[t]) for d, x in enumerate(text) for i, t in enumerate(x) if t != "x"]
+    keys, n = own.counted(*np.array(rows, np.int64).T)
+    want = Counter(d * len(terms) + p for d, x in enumerate(text) for i in range(len(x)) for p, t in enumerate(terms) if tuple(x[i : i + len(t)]) == t)
+    assert dict(zip(keys.tolist(), n.tolist(), strict=True)) == want
+    single = search._Phrases([("a",), ("b",)])
+    single.keys = None  # no look at longer phrases
+    assert [x.tolist() for x in single.counted(np.array([0, 0, 1]), np.array([0, 1, 0]), np.array([1, 1, 0]))] == [[1, 2], [2, 1]]
 
 
 def test_parts_of_questions_look_at_each_word_once(spark):
