@@ -252,3 +252,9 @@ def test_parts_of_questions_look_at_each_word_once(spark):
     want = [(n * 10 + s, " ".join(f"w{i}" for i in range(n) if i * 3 // n == s)) for n in range(40) for s in range(3)]
     assert sorted(map(tuple, parts.collect())) == [x for x in want if x[1]]
     assert "lambdafunction" not in plan(parts)
+
+
+def test_questions_are_cut_into_words_by_all_cores_and_a_pool_is_made_once(spark, folder):
+    asked = search_queries.questions(spark, folder)
+    assert asked.count() and asked.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert "count(1)" not in plan(search_queries._evidence_of(spark, folder))
