@@ -10,7 +10,7 @@ def asked(spark, folder):
     return sorted(r["turn_id"] for r in turns.select("turn_id").distinct().collect())
 
 
-@pytest.mark.parametrize("name", ["answer_by_parts"])
+@pytest.mark.parametrize("name", ["answer_by_parts", "answer_one_pass"])
 def test_every_turn_is_answered_once(spark, folder, name):
     rows = registry.QUERIES[name](spark, folder).collect()
     assert sorted(r["qid"] for r in rows) == asked(spark, folder)
